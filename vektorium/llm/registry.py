@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, token_counts
+from . import decontaminate, quality, simhash, token_counts
 
 
 def queries() -> dict:
     return {
         "op5_token_counts": token_counts.op5_token_counts,
+        "op6_simhash": simhash.op6_simhash,
         "op7_quality_rules": quality.op7_quality_rules,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
