@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, simhash, token_counts
+from . import decontaminate, pieces, quality, simhash, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_simhash": simhash.op6_simhash,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
