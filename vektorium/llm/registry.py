@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, pieces, quality, simhash, substrings, token_counts
+from . import decontaminate, html_text, lines, pieces, quality, simhash, substrings, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substrings.op1_substring_dedup,
+        "op2_line_dedup": lines.op2_line_dedup,
         "op3_html_extraction": html_text.op3_html_extraction,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_simhash": simhash.op6_simhash,
