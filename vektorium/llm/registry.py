@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, lines, pieces, quality, simhash, substrings, token_counts
+from . import decontaminate, html_text, lines, ngram_lm, pieces, quality, simhash, substrings, token_counts
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_simhash": simhash.op6_simhash,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op8_lm_scores": ngram_lm.op8_lm_scores,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
