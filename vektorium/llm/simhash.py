@@ -49,10 +49,13 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf("long")
-def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series([fingerprint(t if isinstance(t, str) else None) for t in texts], dtype="int64")
+def fingerprints(text: Column) -> Column:
+    @F.pandas_udf("long")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([fingerprint(t if isinstance(t, str) else None) for t in texts], dtype="int64")
+
+    return prints(text)
 
 
 class Golay:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, is_small, table
@@ -97,14 +97,17 @@ def cuts(found: DataFrame) -> DataFrame:
     return found.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("ranges"), F.sort_array(F.collect_set("first")).alias("firsts"))
 
 
-@F.pandas_udf("text string, n_removed int")
-def _without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for texts, ranges in batches:
-        rows = []
-        for t, rs in zip(texts, ranges, strict=True):
-            t = t if isinstance(t, str) else None
-            rows.append(without(t, [] if rs is None else [(r["lo"], r["hi"]) for r in rs]))
-        yield pd.DataFrame(rows, columns=["text", "n_removed"])
+def _without(text: Column, ranges: Column) -> Column:
+    @F.pandas_udf("text string, n_removed int")
+    def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, found in batches:
+            rows = []
+            for t, rs in zip(texts, found, strict=True):
+                t = t if isinstance(t, str) else None
+                rows.append(without(t, [] if rs is None else [(r["lo"], r["hi"]) for r in rs]))
+            yield pd.DataFrame(rows, columns=["text", "n_removed"])
+
+    return apply(text, ranges)
 
 
 def without(text: str | None, ranges: list[tuple[int, int]]) -> tuple[str | None, int]:
