@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, lines, ngram_lm, pieces, quality, simhash, substrings, token_counts
+from . import decontaminate, html_text, lines, ngram_lm, pieces, pii, quality, simhash, substrings, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_substring_dedup": substrings.op1_substring_dedup,
         "op2_line_dedup": lines.op2_line_dedup,
         "op3_html_extraction": html_text.op3_html_extraction,
+        "op4_pii": pii.op4_pii,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_simhash": simhash.op6_simhash,
         "op7_quality_rules": quality.op7_quality_rules,
