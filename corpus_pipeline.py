@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vektorium.llm import decontaminate, quality
+from vektorium.llm import decontaminate, lines, pieces, quality, simhash
 from vektorium.llm.common import stored, table
 
 
@@ -13,16 +14,41 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(spark, docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that match an earlier line go from the texts, which may end up empty; every document stays, and n_chars follows."""
+    kept = lines.dedup_lines(spark, docs).drop("__v_lines")
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return simhash.keep_first(spark, docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontaminate.decontaminate(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The piece ids of each text, and whether they decode to it."""
+    return docs.select("doc_id", F.col("text"), pieces.encoded(spark).alias("e")).select(
+        "doc_id",
+        F.col("e.ids").alias("ids"),
+        F.size("e.ids").cast("long").alias("n_pieces"),
+        (F.col("e.decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", simhash_near_dedup),
     ("benchmark decontamination", benchmark_decontamination),
+    ("SentencePiece encoding and decoding", sentencepiece_encoding),
 ]
 
+#: Fingerprints and piece segmentations are beyond SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
