@@ -119,7 +119,7 @@ def judged(spark: SparkSession, docs: DataFrame, text: str = "text", *, sample_d
     base = docs.withColumn("__v_base", base_counts(F.col(text)))
     rows = docs.count()
     fraction = min(1.0, sample_docs / rows) if rows else 1.0
-    sample = base.select(text, "__v_base").sample(fraction, seed=11).cache()
+    sample = docs.select(text).sample(fraction, seed=11).withColumn("__v_base", base_counts(F.col(text))).cache()
     sample.count()
     order = cascade_order(sample, text, "__v_base")
     sample.unpersist()
