@@ -15,6 +15,9 @@ ORDER, BACKOFF, LEAST = 3, 0.4, 2
 #: Text that one chunk of documents holds on average, and n-grams that one bucket of the count table holds at most on average.
 CHUNK_BYTES, BUCKET_GRAMS = 16 << 20, 2_000_000
 
+#: Bits of an n-gram's hash. In chunks of CHUNK_BYTES, gaps between sorted hashes then take five bytes.
+HASH_BITS = 58
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -26,7 +29,7 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 
 
 def grams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Words of each text, and for each n up to order the 64-bit hash of the n-gram that ends at each word of all texts; 0 where the text is too young."""
+    """Words of each text, and for each n up to order the hash of the n-gram that ends at each word of all texts; 0 where the text is too young."""
     import xxhash
 
     ids: dict[bytes, int] = {}
@@ -44,7 +47,7 @@ def grams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndar
         h[1:] = _scramble(found[-1][:-1] * _MIX + word[1:] + np.uint64(n))
         h[at < n - 1] = 0
         found.append(h)
-    return sizes, found
+    return sizes, [h >> np.uint64(64 - HASH_BITS) for h in found]
 
 
 def distinct(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,22 +86,27 @@ def unpack_counts(raw: bytes, n: int) -> np.ndarray:
     return counts
 
 
-def chunk_scores(sizes: np.ndarray, found: list[np.ndarray], keys: np.ndarray, counts: np.ndarray, total: int, backoff: float, least: int) -> np.ndarray:
+def located(found: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The different n-grams, sorted, and where among them each one is, from 1; 0 for none."""
+    keys, at = np.unique(np.concatenate([np.zeros(1, np.uint64), *found]), return_inverse=True)
+    return keys[1:], np.split(at[1:], np.cumsum([len(h) for h in found])[:-1])
+
+
+def chunk_scores(sizes: np.ndarray, places: list[np.ndarray], counts: np.ndarray, total: int, backoff: float, least: int) -> np.ndarray:
     """The sum of log10 scores of each text, given the corpus counts of all its n-grams."""
+    counts = np.concatenate([[0], counts])
 
-    def count(h: np.ndarray, n: int) -> np.ndarray:
-        if not len(keys):
-            return np.zeros(len(h), np.int64)
-        c = np.where(h == 0, 0, counts[np.minimum(np.searchsorted(keys, h), len(keys) - 1)])
+    def count(at: np.ndarray, n: int) -> np.ndarray:
+        c = counts[at]
         return np.where(c < least, 0, c) if n > 1 else c
 
-    by_order = [count(h, n) for n, h in enumerate(found, 1)]
+    by_order = [count(at, n) for n, at in enumerate(places, 1)]
     score = np.log10(np.maximum(by_order[0], 1) / max(total, 1))
-    for n in range(2, len(found) + 1):
+    for n in range(2, len(places) + 1):
         c = by_order[n - 1]
         context = np.concatenate([[1], by_order[n - 2][:-1]])[: len(c)]
         # a word so early in its text has no n-gram of this order: its score stays, without a step back
-        back = np.where(found[n - 1] == 0, score, score + np.log10(backoff))
+        back = np.where(places[n - 1] == 0, score, score + np.log10(backoff))
         score = np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(context, 1)), back)
     return np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=score, minlength=len(sizes))
 
@@ -143,12 +151,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         sizes, found = grams(list(left["text"]), order)
-        keys, _ = distinct(found)
+        keys, places = located(found)
         cut = _cut(keys, buckets)
         counts = np.zeros(len(keys), np.int64)
         for b, raw in zip(right["bucket"], right["totals"], strict=True):
             counts[cut[b] : cut[b + 1]] = unpack_counts(raw, cut[b + 1] - cut[b])
-        s = chunk_scores(sizes, found, keys, counts, words, backoff, least)
+        s = chunk_scores(sizes, places, counts, words, backoff, least)
         return pd.DataFrame({"doc_id": left["doc_id"].astype("Int64"), "n_words": sizes, "score": s, "mean_score": np.where(sizes > 0, s / np.maximum(sizes, 1), np.nan)})
 
     counted = dealt.groupBy("chunk").applyInPandas(tally, "bucket int, chunk long, keys binary, counts binary")
@@ -159,10 +167,28 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def _cut(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where in the sorted keys each bucket, an equal range of hashes, begins, and the end."""
-    step = (1 << 64) // buckets
+    step = (1 << HASH_BITS) // buckets
     return np.append(np.searchsorted(keys, np.array([b * step for b in range(buckets)], np.uint64)), len(keys))
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean_score", 6).alias("mean_score"))
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, i, ws[i] AS a, CASE WHEN i > 1 THEN ws[i - 1] END AS b, CASE WHEN i > 2 THEN ws[i - 2] END AS c
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+n1 AS (SELECT a, count(*) AS n FROM t GROUP BY a),
+n2 AS (SELECT b, a, count(*) AS n FROM t WHERE i > 1 GROUP BY b, a HAVING count(*) > 1),
+n3 AS (SELECT c, b, a, count(*) AS n FROM t WHERE i > 2 GROUP BY c, b, a HAVING count(*) > 1),
+s AS (SELECT t.doc_id, t.i, CAST(u.n AS DOUBLE)/(SELECT count(*) FROM t) AS s1, CAST(g2.n AS DOUBLE)/v.n AS s2, CAST(g3.n AS DOUBLE)/c2.n AS s3
+      FROM t JOIN n1 u ON u.a = t.a LEFT JOIN n1 v ON v.a = t.b LEFT JOIN n2 g2 ON g2.b = t.b AND g2.a = t.a
+      LEFT JOIN n2 c2 ON c2.b = t.c AND c2.a = t.b LEFT JOIN n3 g3 ON g3.c = t.c AND g3.b = t.b AND g3.a = t.a),
+l AS (SELECT doc_id, log10(CASE WHEN s3 IS NOT NULL THEN s3 WHEN s2 IS NOT NULL THEN s2 ELSE s1 END)
+             + CASE WHEN s3 IS NOT NULL THEN 0 ELSE (CASE WHEN i > 2 THEN 1 ELSE 0 END + CASE WHEN s2 IS NULL AND i > 1 THEN 1 ELSE 0 END)*log10(CAST(0.4 AS DOUBLE)) END AS x FROM s),
+z AS (SELECT doc_id, sum(x) AS x FROM l GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(x, 0), 4) AS score, CASE WHEN len(ws) > 0 THEN round(x/len(ws), 6) END AS mean_score
+FROM w LEFT JOIN z ON z.doc_id = w.doc_id
+"""
