@@ -75,7 +75,7 @@ def _batch(rows) -> pa.RecordBatch:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_sentences: int = SENTENCES, n_words: int = WORDS) -> DataFrame:
-    """(doc, lo, hi, first): sentences lo to hi - 1 of the document repeat a span that document ``first`` has earlier.
+    """(doc, lo, hi, first): sentences lo to hi - 1 repeat a span that document ``first``, or if that is null the same document, has earlier.
 
     A span's first place is the smallest document id, and in it the first position. A document gives
     one row for each span to the counts, which are pre-aggregated, so no group of copies meets in
@@ -85,7 +85,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     found = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     found = found.mapInArrow(_spans_of(n_sentences, n_words), _SPANS)
-    within = found.where("again").select("doc", "lo", "hi", F.col("doc").alias("first"))
+    within = found.where("again").select("doc", "lo", "hi", F.lit(None).cast("long").alias("first"))
     one = found.where("NOT again")
     first = one.groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first != last").select("h", "g", "first")
     later = one.select("h", "g", "doc", "lo", "hi").join(first, ["h", "g"]).where("doc != first").select("doc", "lo", "hi", "first")
@@ -127,7 +127,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """(doc_id, text, n_removed, first_doc_ids) for each row of docs.
 
     Sentences that a non-first repeated span covers are removed; a text without any stays as it is,
-    null as null. first_doc_ids: the documents where the removed spans were first. What is to be
+    null as null. first_doc_ids: the other documents where removed spans were first. What is to be
     removed is broadcast if it is measured to be small, else joined by a shuffle.
     """
     ranges = cut(cuts(repeated_spans(docs, id_col, text, **options)))
@@ -139,4 +139,21 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(table(spark, sf_dir, "documents"))
+    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.withColumn("first_doc_ids", F.array_join(F.col("first_doc_ids").cast("array<string>"), ","))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, text, regexp_extract(text, '^\s*') AS head, regexp_extract_all(text, '(?:\S*[^\s.!?][^\S\n]+){0,11}\S+\s*') AS ps FROM documents),
+s AS (SELECT doc_id, i, ps[i] AS piece, regexp_replace(trim(ps[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\s+', ' ', 'g') AS x
+      FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM d)),
+n AS (SELECT *, CAST(sum(len(string_split(x, ' '))) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto, len(string_split(x, ' ')) AS own FROM s),
+r AS (SELECT a.doc_id, a.i AS lo, min(b.i) AS hi FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i + 2 AND a.i + 14 AND b.upto - a.upto + a.own >= 15 GROUP BY a.doc_id, a.i),
+g AS (SELECT r.doc_id, lo, hi, string_agg(x, chr(10) ORDER BY i) AS t FROM r JOIN n ON n.doc_id = r.doc_id AND n.i BETWEEN lo AND hi GROUP BY r.doc_id, lo, hi),
+f AS (SELECT *, first_value(doc_id) OVER (PARTITION BY t ORDER BY doc_id, lo) AS first_doc, row_number() OVER (PARTITION BY t ORDER BY doc_id, lo) AS k FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS i FROM f WHERE k > 1),
+o AS (SELECT doc_id, list_sort(list(DISTINCT first_doc)) AS first_doc_ids FROM f WHERE k > 1 AND first_doc <> doc_id GROUP BY doc_id),
+k AS (SELECT n.doc_id, string_agg(piece, '' ORDER BY n.i) FILTER (c.i IS NULL) AS kept, count(c.i) AS gone FROM n LEFT JOIN c ON c.doc_id = n.doc_id AND c.i = n.i GROUP BY n.doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(gone, 0) = 0 THEN text ELSE head || coalesce(kept, '') END AS text, CAST(coalesce(gone, 0) AS INTEGER) AS n_removed, coalesce(array_to_string(first_doc_ids, ','), '') AS first_doc_ids
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = d.doc_id
+"""
