@@ -393,7 +393,7 @@ def kmeans_fit(spark, sf_dir):
 
 def synthetic_queries(spark, sf_dir):
     """2,000 uniform queries, the same in every run."""
-    return spark.range(2000).select(F.col("id").alias("query_id"), *[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10001)).cast("int")).alias(f"q{k}") for k in range(DIM)])
+    return spark.range(2000).select(F.col("id").alias("query_id"), *[(((F.col("id") * DIM + k + 1) * 2654435761 % 4294967296) % 10001).cast("int").alias(f"q{k}") for k in range(DIM)])
 
 
 def round_robin(spark, sf_dir):
