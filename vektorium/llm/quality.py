@@ -91,7 +91,8 @@ def rules(text: Column, b: Column) -> dict[str, Column]:
     t = F.coalesce(text, F.lit(""))
     return {
         "symbols": 10 * b["n_symbols"] > 2 * b["n_words"],
-        "repeated_lines": 100 * b["n_dup_lines"] > 30 * b["n_lines"],
+        # one or two repeats, as of a head and foot line, say little about a document of few lines
+        "repeated_lines": (b["n_dup_lines"] >= 3) & (100 * b["n_dup_lines"] > 30 * b["n_lines"]),
         "word_length": (b["word_chars"] < 2 * b["n_words"]) | (b["word_chars"] > 15 * b["n_words"]),
         "upper_case": 2 * F.length(F.regexp_replace(t, "[^\\p{Lu}]", "")) > b["word_chars"],
         "few_letters": 2 * F.length(F.regexp_replace(t, "[^\\p{L}]", "")) < b["word_chars"],
@@ -161,7 +162,7 @@ b AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_repl
       FROM w LEFT JOIN p USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > 2 * n_words OR 100 * n_dup_lines > 30 * n_lines
+       NOT (base_failed OR 10 * n_symbols > 2 * n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)
             OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_upper > word_chars OR 2 * n_letters < word_chars) AS kept
 FROM f
 """
