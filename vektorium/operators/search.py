@@ -16,6 +16,29 @@ from .kmeans import nearest
 
 #: Sides of a block of the exact search.
 QUERY_BLOCK, POINT_BLOCK = 4_096, 32_768
+#: Members of a cluster that are searched at once.
+MEMBER_BLOCK = 8_192
+
+
+def _best(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """For each row of left (q, ...) the k nearest rows of right (row_id, v, label), ties to the lower row_id, with left's other columns."""
+    others = [c for c in left.columns if c != "q"]
+    if not len(left) or not len(right):
+        return pd.DataFrame({c: [] for c in (*others, "row_id", "label", "dist")})
+    right = right.sort_values("row_id")
+    a, b = (np.array(x.tolist(), np.float64) for x in (left["q"], right["v"]))
+    norm, few, at, near = (b * b).sum(axis=1), min(k, len(b)), [], []
+    for lo in range(0, len(a), 256):
+        x = a[lo : lo + 256]
+        # whole numbers below 2^53: exact; the place breaks ties
+        d = ((x * x).sum(axis=1)[:, None] + norm - 2 * (x @ b.T)).astype(np.int64)
+        key = d * len(b) + np.arange(len(b))
+        best = np.sort(np.partition(key, few - 1, axis=1)[:, :few], axis=1)
+        at.append((best % len(b)).ravel())
+        near.append((best // len(b)).ravel())
+    rows, at = np.repeat(np.arange(len(a)), few), np.concatenate(at)
+    out = {c: left[c].to_numpy()[rows] for c in others}
+    return pd.DataFrame(out | {"row_id": right["row_id"].to_numpy()[at], "label": right["label"].to_numpy()[at], "dist": np.concatenate(near)})
 
 
 def knn_exact(queries: DataFrame, points: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -32,24 +55,7 @@ def knn_exact(queries: DataFrame, points: DataFrame, k: int = TOP_K) -> DataFram
     p = points.select("row_id", "v", "label").withColumn("pb", side("row_id", n_p)).withColumn("qb", every(n_q))
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "row_id": [], "label": [], "dist": []})
-        right = right.sort_values("row_id")
-        a = np.array(left["q"].tolist(), np.float64)
-        b = np.array(right["v"].tolist(), np.float64)
-        ids, labels, rows = right["row_id"].to_numpy(), right["label"].to_numpy(), []
-        norm = (b * b).sum(axis=1)
-        few = min(k, len(b))
-        for lo in range(0, len(a), 256):
-            x = a[lo : lo + 256]
-            # whole numbers below 2^53: exact; the place breaks ties
-            d = ((x * x).sum(axis=1)[:, None] + norm - 2 * (x @ b.T)).astype(np.int64)
-            key = d * len(b) + np.arange(len(b))
-            best = np.sort(np.partition(key, few - 1, axis=1)[:, :few], axis=1)
-            at = best % len(b)
-            who = np.repeat(left["query_id"].to_numpy()[lo : lo + 256], few)
-            rows.append(pd.DataFrame({"query_id": who, "row_id": ids[at.ravel()], "label": labels[at.ravel()], "dist": (best // len(b)).ravel()}))
-        return pd.concat(rows)
+        return _best(left, right, k)[["query_id", "row_id", "label", "dist"]]
 
     partial = q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(block, "query_id long, row_id long, label int, dist long")
     return ranked(partial, k, "dist", "row_id")
@@ -80,7 +86,27 @@ def scan(probed: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def top(probed: DataFrame, members: DataFrame, k: int = TOP_K) -> DataFrame:
-    return ranked(scan(probed, members), k, "dist", "probe_rank", "row_id")
+    """(query_id, cluster_id, probe_rank, row_id, label, dist, rank): the k nearest members of each query's probed clusters.
+
+    A cluster's members and the queries that probe it are dealt to blocks of bounded size, as many
+    as the cluster needs, so a hot cluster is many tasks' work; members of clusters that nobody
+    probes go first. Each pair of blocks gives k rows a query at most. The table of block counts has
+    a row a cluster, and their number is bounded.
+    """
+    count = lambda df, n, size: df.groupBy("cluster_id").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(n))
+    shape = F.broadcast(count(members, "mbs", MEMBER_BLOCK).join(count(probed, "qbs", QUERY_BLOCK), "cluster_id"))
+    deal = lambda ids, n: F.pmod(F.xxhash64(ids), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = probed.select("query_id", "q", "cluster_id", "probe_rank").join(shape, "cluster_id").withColumn("qb", deal("query_id", "qbs")).withColumn("mb", every("mbs"))
+    m = members.select("row_id", "v", "label", "cluster_id").join(shape, "cluster_id").withColumn("mb", deal("row_id", "mbs")).withColumn("qb", every("qbs"))
+    columns = ["query_id", "cluster_id", "probe_rank", "row_id", "label", "dist"]
+
+    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _best(left[["query_id", "q", "cluster_id", "probe_rank"]], right, k)[columns]
+
+    keys = ["cluster_id", "mb", "qb"]
+    partial = q.drop("mbs", "qbs").groupBy(*keys).cogroup(m.drop("mbs", "qbs").groupBy(*keys)).applyInPandas(block, "query_id long, cluster_id int, probe_rank int, row_id long, label int, dist long")
+    return ranked(partial, k, "dist", "probe_rank", "row_id")
 
 
 def votes(neighbours: DataFrame, queries: DataFrame, name: str = "votes") -> DataFrame:
@@ -95,7 +121,7 @@ def bounded(probed: DataFrame, clusters: DataFrame, members: DataFrame, k: int =
     The k-th distance within the first probe bounds the k-th of all: a box at that distance or beyond
     holds nobody that would come before. A first probe with fewer than k members bounds nothing.
     """
-    first = ranked(scan(probed.where("probe_rank = 1"), members), k, "dist", "row_id")
+    first = top(probed.where("probe_rank = 1"), members, k)
     kth = first.where(F.col("rank") == k).select("query_id", F.col("dist").alias("kth"))
     boxed = probed.join(F.broadcast(clusters.select("cluster_id", "bb_min", "bb_max")), "cluster_id").join(kth, "query_id", "left")
     lb = box_lower_bound(F.col("q"), F.col("bb_min"), F.col("bb_max"))
