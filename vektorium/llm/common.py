@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
+import time
 import types
 import uuid
 
@@ -48,6 +50,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nobody holds any more; it does so when the driver collects its garbage.
+
+    Python's references reach the JVM with a delay, hence the second round.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def is_small(df: DataFrame, row_bytes: Column | int, bound: int = BROADCAST_BYTES) -> bool:
     """Whether all rows of df, an already materialised table, hold bound bytes at most. row_bytes: of one row."""
     size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)).alias("b")).first()["b"]
@@ -59,9 +72,10 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def worker_cache(key: str, make):
-    """A value that lives as long as the Python worker process."""
+def worker_cache(kind: str, key: str, make):
+    """The value of a kind that the Python worker process keeps from task to task; another key's value replaces it."""
     held = sys.modules.setdefault("_vektorium_worker", types.ModuleType("_vektorium_worker")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    if held.get(kind, ("",))[0] != key:
+        held.pop(kind, None)
+        held[kind] = (key, make())
+    return held[kind][1]

@@ -116,13 +116,13 @@ def hits(
         raise ValueError(f"the benchmark has {size} bytes; split it into sets of {BENCHMARK_BYTES} at most")
     shards = shards_of([(r["i"], r["t"]) for r in items.collect()], window, automaton_bytes)
     held = spark.sparkContext.broadcast(shards)
-    key = f"automaton-{uuid.uuid4().hex}"
+    key = uuid.uuid4().hex
 
     @F.pandas_udf(RESULT)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         def automata():
             if len(held.value) == 1:
-                yield worker_cache(key, lambda: _automaton(held.value[0]))
+                yield worker_cache("automaton", key, lambda: _automaton(held.value[0]))
             else:
                 yield from map(_automaton, held.value)
 

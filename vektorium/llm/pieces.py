@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import re
-import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +16,15 @@ from .common import table, worker_cache
 MODEL = "piece_bpe_32k.model"
 #: Space as the model spells it.
 BAR = "▁"
-#: Units are encoded once a worker, as long as so many fit its cache; beyond that it starts anew.
-CACHE, PAIRS = 250_000, 1_000_000
+#: A worker keeps units that it met lately: beyond so many a new generation begins, and the one before the last goes.
+CACHE, PAIRS = 250_000, 500_000
 #: So many bytes of new units are indexed by one suffix array.
 INDEX_BYTES = 1 << 20
 #: No piece crosses the start of a run of spaces that follows other characters, nor a line feed.
 _UNIT = re.compile(f"{BAR}+[^{BAR}\n]*|[^{BAR}\n]+|\n")
+#: If moreover none has one of these letters beside another character, units end there as well.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+_SHORT_UNIT = re.compile(f"{BAR}*[{_LETTER}]+|{BAR}*[^{BAR}\n{_LETTER}]+|{BAR}+|\n")
 
 
 def suffix_array(buf: np.ndarray, depth: int) -> np.ndarray:
@@ -34,7 +36,7 @@ def suffix_array(buf: np.ndarray, depth: int) -> np.ndarray:
         key = key << np.uint64(8) | padded[j : n + j]
     width = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         step = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
         if width >= depth or step[-1] == n - 1:
@@ -70,8 +72,13 @@ class Model:
         self.depth = int(self.lengths.max())
         self.sorted = np.array([p for p, _ in known], f"S{self.depth}")
         self.mask = np.arange(self.depth) < self.lengths[:, None]
-        self.pairs: dict[int, bool] = {}
+        self.pairs: list[dict[int, bool]] = [{} for _ in range(n)]
+        self.known = 0
+        letter = re.compile(f"[{_LETTER}]")
+        beside = {(a, b) for p in self.id for a, b in zip(p, p[1:]) if BAR not in (a, b)}  # noqa: B905
+        self.unit = _UNIT if any(bool(letter.match(a)) != bool(letter.match(b)) for a, b in beside) else _SHORT_UNIT
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
         """The symbols left when the best-scored pair, leftmost first, is merged until none is a piece."""
@@ -88,35 +95,39 @@ class Model:
 
     def adjacent(self, a: int, b: int) -> bool:
         """Whether the pieces a and b stay apart when their text is merged."""
-        key = a << 20 | b
-        held = self.pairs.get(key)
+        held = self.pairs[a].get(b)
         if held is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            held = self.pairs[key] = self.merge(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
+            self.known += 1
+            if self.known > PAIRS:
+                self.known = 1
+                for d in self.pairs:
+                    d.clear()
+            held = self.pairs[a][b] = self.merge(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
         return held
 
     def occurrences(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Edges (start, length, id) of all pieces in buf, by start: binary searches of the suffix array give each piece's range."""
-        order = suffix_array(buf, self.depth)
+        """Edges (start, end, id) of all pieces in buf, by start, the longest first: binary searches of the suffix array give each piece's range."""
+        order = suffix_array(buf, self.depth).astype(np.int32)
         windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(self.depth, np.uint8)]), self.depth)
 
         def bound(after: bool) -> np.ndarray:
             lo, hi = np.zeros(len(self.sorted), np.int64), np.full(len(self.sorted), len(order), np.int64)
             while (open_ := lo < hi).any():
                 mid = (lo + hi) >> 1
-                seen = np.where(self.mask, windows[order[np.minimum(mid, len(order) - 1)]], 0).astype(np.uint8)
-                seen = np.ascontiguousarray(seen).view(f"S{self.depth}").ravel()
+                seen = windows[order[np.minimum(mid, len(order) - 1)]] * self.mask
+                seen = seen.view(f"S{self.depth}").ravel()
                 right = (seen <= self.sorted if after else seen < self.sorted) & open_
                 lo, hi = np.where(right, mid + 1, lo), np.where(open_ & ~right, mid, hi)
             return lo
 
         first, last = bound(False), bound(True)
         count = last - first
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        start, which = order[at], np.repeat(np.arange(len(count)), count)
-        by = np.argsort(start, kind="stable")
-        return start[by], self.lengths[which[by]], self.sorted_ids[which[by]]
+        at = np.repeat((first - np.concatenate([[0], np.cumsum(count)[:-1]])).astype(np.int32), count)
+        at += np.arange(len(at), dtype=np.int32)
+        start, which = order[at], np.repeat(np.arange(len(count), dtype=np.int32), count)
+        by = np.argsort(start.astype(np.int64) << 8 | 255 - self.lengths[which])
+        start, which = start[by], which[by]
+        return start, start + self.lengths[which].astype(np.int32), self.sorted_ids[which]
 
     def learn(self, units: list[str]) -> None:
         """Encodes units into the cache."""
@@ -127,55 +138,82 @@ class Model:
                 held.append(units[at].encode())
                 size += len(held[-1]) + 1
                 at += 1
-            self._relax(held)
-
-    def _relax(self, units: list[bytes]) -> None:
-        # a line feed, which no piece holds, ends each unit; a zero byte would pad a piece, and no piece holds that either
-        buf = np.frombuffer(b"\n".join(units).replace(b"\0", b"\n"), np.uint8)
-        start, length, ids = self.occurrences(buf)
-        row = np.searchsorted(start, np.arange(len(buf) + 1)).tolist()
-        ends, ids = (start + length).tolist(), ids.tolist()
-        pairs, base = self.pairs, 0
+            # a line feed, which no piece holds, ends each unit; a zero byte would pad a piece, and no piece holds that either
+            buf = np.frombuffer(b"\n".join(held).replace(b"\0", b"\n"), np.uint8)
+            start, end, ids = self.occurrences(buf)
+            row = np.searchsorted(start, np.arange(len(buf) + 1, dtype=np.int32)).astype(np.int32)
+            base = lo = 0
+            while lo < len(held):  # numbers become Python's for few units at a time
+                hi, size = lo, 0
+                while hi < len(held) and size < 1 << 14:
+                    size += len(held[hi]) + 1
+                    hi += 1
+                size = min(size, len(buf) - base)
+                r = row[base : base + size + 1]
+                self._relax(held[lo:hi], (r - r[0]).tolist(), (end[r[0] : r[-1]] - base).tolist(), ids[r[0] : r[-1]].tolist())
+                base, lo = base + size, hi
+
+    def _relax(self, units: list[bytes], row: list[int], ends: list[int], ids: list[int]) -> None:
+        """Segments units that lie one after another, each followed by one byte; row[p]: the first edge from position p on.
+
+        Edges extend the segmentation of what lies before them if their piece and its last one stay
+        apart. A prefix has one segmentation, so an end reached once is never reached by another;
+        where the longest edges lead nowhere, the search steps back.
+        """
+        pairs, cache, base, none = self.pairs, self.cache, 0, {}
         for unit in units:
-            n = len(unit)
-            last: list[int | None] = [None] * (n + 1)  # the last piece of the only segmentation of a prefix; -1: a character without a piece
-            back = [0] * (n + 1)
-            for pos in range(n):
-                if pos and last[pos] is None:
-                    continue
-                prev, whole = last[pos] if pos else -1, False
-                c = unit[pos]
-                width = 1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
-                for e in range(row[base + pos], row[base + pos + 1]):
-                    end, i = ends[e] - base, ids[e]
-                    whole = whole or end == pos + width
-                    if last[end] is None:
-                        ok = prev < 0
+            n = base + len(unit)
+            pos, prev, e, apart = base, -1, row[base], none
+            steps, out, dead = [], [], none
+            while pos < n:
+                last = row[pos + 1]
+                while e < last:
+                    i = ids[e]
+                    e += 1
+                    if prev >= 0:
+                        ok = apart.get(i)
+                        if ok is None:
+                            ok = self.adjacent(prev, i)
                         if not ok:
-                            ok = pairs.get(prev << 20 | i)
-                            if ok is None:
-                                ok = self.adjacent(prev, i)
-                        if ok:
-                            last[end], back[end] = i, pos
-                if not whole and last[pos + width] is None:
-                    last[pos + width], back[pos + width] = -1, pos
-            out, pos = [], n
-            while pos:
-                i = last[pos]
-                out += [i] if i >= 0 else [self.byte[b] for b in reversed(unit[back[pos] : pos])]
-                pos = back[pos]
-            self.cache[unit.decode()] = np.array(out[::-1], "<i4").tobytes()
-            base += n + 1
+                            continue
+                    end = ends[e - 1]
+                    if not dead or end not in dead:
+                        break
+                else:
+                    c = unit[pos - base]
+                    end, i = pos + (1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4), -1
+                    # a character with a piece of its own has an edge for it, and one without merges with nothing
+                    if end in dead or unit[pos - base : end - base].decode() in self.id:
+                        dead = {**dead, pos: True}
+                        pos, prev, e = steps.pop()
+                        out.pop()
+                        apart = pairs[prev] if prev >= 0 else none
+                        continue
+                steps.append((pos, prev, e))
+                out.append(i)
+                pos, prev, e = end, i, row[end]
+                apart = pairs[i] if i >= 0 else none
+            if -1 in out:
+                ends_ = [p for p, _, _ in steps[1:]] + [n]
+                out = [j for i, (p, _, _), q in zip(out, steps, ends_, strict=True) for j in ([i] if i >= 0 else [self.byte[b] for b in unit[p - base : q - base]])]
+            cache[unit.decode()] = array("i", out).tobytes()
+            base = n + 1
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, four bytes each."""
-        cut = [_UNIT.findall(BAR + t.replace(" ", BAR)) if t else [] for t in texts]
-        missing = {u for us in cut for u in us if u not in self.cache}
-        if len(self.cache) + len(missing) > CACHE and self.cache:
-            self.cache.clear()
-            missing = {u for us in cut for u in us}
-        self.learn(sorted(missing))
-        return [b"".join([self.cache[u] for u in us]) for us in cut]
+        cut = [self.unit.findall(BAR + t.replace(" ", BAR)) if t else [] for t in texts]
+        every = set().union(*cut)
+        if len(self.cache) > CACHE:
+            self.older, self.cache = self.cache, {}
+        older, missing = self.older, []
+        for u in every.difference(self.cache):
+            if u in older:
+                self.cache[u] = older[u]
+            else:
+                missing.append(u)
+        self.learn(missing)
+        cache = self.cache
+        return [b"".join([cache[u] for u in us]) for us in cut]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: the space that encoding put first goes, bytes that aren't UTF-8 become U+FFFD."""
@@ -183,7 +221,7 @@ class Model:
         return got.decode(errors="replace").removeprefix(" ")
 
 
-def encoded(spark: SparkSession, text: Column | str = "text", *, model: str = MODEL, path: str | None = None, chunk: int = 4_000_000) -> Column:
+def encoded(spark: SparkSession, text: Column | str = "text", *, model: str = MODEL, path: str | None = None, chunk: int = 2_000_000) -> Column:
     """A struct column: ``ids``, the piece ids of the whole text, and ``decoded``, the text they give again.
 
     Null and empty texts have no ids and decode to the empty string. The ids are those of the
@@ -197,23 +235,22 @@ def encoded(spark: SparkSession, text: Column | str = "text", *, model: str = MO
     import public_tokenizers
 
     path = path or public_tokenizers.path(model)
-    key = f"pieces-{uuid.uuid4().hex}"
-
-    @F.pandas_udf("ids array<int>, decoded string")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        held = worker_cache(key, lambda: Model(path))
-        for texts in batches:
-            texts = [t if isinstance(t, str) else None for t in texts]
-            ids, decoded, at = [], [], 0
-            while at < len(texts):
-                size, lo = 0, at
-                while at < len(texts) and size < chunk:
-                    size += len(texts[at] or "")
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held = worker_cache("pieces", path, lambda: Model(path))
+        for batch in batches:
+            at = 0
+            while at < len(batch):
+                texts, size = [], 0
+                while at < len(batch) and size < chunk:
+                    texts.append(batch[at].as_py())
+                    size += len(texts[-1] or "")
                     at += 1
-                for raw in held.encode(texts[lo:at]):
-                    ids.append(np.frombuffer(raw, "<i4"))
-                    decoded.append(held.decode(raw))
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
+                raw = held.encode(texts)
+                ends = np.cumsum([0, *(len(r) // 4 for r in raw)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+                yield pa.StructArray.from_arrays([ids, pa.array([held.decode(r) for r in raw], pa.string())], ["ids", "decoded"])
 
     return encode(F.col(text) if isinstance(text, str) else text)
 

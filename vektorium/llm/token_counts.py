@@ -113,11 +113,11 @@ def token_count(
         few = few.sample(min(1.0, 2 * sample_docs / rows), seed=7).limit(sample_docs)
     common = {r["p"]: r["n"] for r in few.coalesce(1).mapInPandas(learn, "p string, n long").collect()}
     held = spark.sparkContext.broadcast(common)
-    key = f"counter-{uuid.uuid4().hex}"
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = worker_cache(key, lambda: Counter5(path, held.value))
+        counter = worker_cache("tokens", key, lambda: Counter5(path, held.value))
         for texts in batches:
             yield pd.Series(counter.count([t if isinstance(t, str) else None for t in texts]), dtype="int64")
 
