@@ -50,6 +50,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what stored() wrote for df, once nothing that is still to run reads it."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nobody holds any more; it does so when the driver collects its garbage.
 

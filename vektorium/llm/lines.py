@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, is_small, let, stored, table
-from .quality import word_array
+from .common import cut, discard, is_small, let, release, stored, table
+from .quality import BLANK, word_array
 
 #: Lines are alike at this Jaccard similarity of their token sets or more: 4/5.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Token counts are kept in so many slots whatever the size of the corpus; tokens share slots by hash.
 SLOTS = 1 << 17
-#: The rarest tokens of a line under which lines are first compared with the earliest that has them.
-STAR_TOKENS = 3
+#: Under each of the last STAR_TOKENS of its prefix that more than CROWD lines of its size have there, a line is first compared with at most HEADS of those.
+STAR_TOKENS, CROWD, HEADS = 6, 4, 12
+#: Lines of so many tokens have parities of two, and of four words.
+WIDE = (16, 64)
+PARITY = ("p0", "p1", "p2", "p3")
 
 
-def _slot(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(SLOTS)).cast("int")
+def _low(h: Column) -> Column:
+    """A hash's slot: its low bits."""
+    return h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
 
 
 def rarity(lines: DataFrame, text: str) -> DataFrame:
     """One row with an array of SLOTS classes, 0 to 255: four for each doubling of a slot's token count over the whole corpus."""
     spark = lines.sparkSession
-    tokens = lines.select(F.explode(F.split(text, "[ \\t-\\r]+")).alias("w")).select(_slot(F.col("w")).alias("s"), F.lit(1).cast("long").alias("n"))
+    tokens = lines.select(F.explode(F.split(text, "[ \\t-\\r]+")).alias("w")).select(_low(F.xxhash64("w")).alias("s"), F.lit(1).cast("long").alias("n"))
     every = spark.range(SLOTS).select(F.col("id").cast("int").alias("s"), F.lit(0).cast("long").alias("n"))
     counts = tokens.groupBy("s").agg(F.sum("n").alias("n")).union(every).groupBy("s").agg(F.sum("n").alias("n"))
     classes = counts.select("s", F.least(F.lit(255), F.floor(4 * F.log2(1 + F.col("n")))).cast("int").alias("c"))
@@ -33,10 +37,10 @@ def rarity(lines: DataFrame, text: str) -> DataFrame:
 def token_keys(words: Column, classes: Column) -> Column:
     """A line's distinct tokens as numbers, rarest class first and by hash within a class: 8 bits of class, 55 of hash."""
 
-    def key(w):
-        return let(F.xxhash64(w), lambda h: F.shiftleft(F.get(classes, F.pmod(h, F.lit(SLOTS)).cast("int")).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(h, 9)))
+    def key(h):
+        return F.shiftleft(F.get(classes, _low(h)).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(h, 9))
 
-    return F.sort_array(F.transform(F.array_distinct(words), key))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), key))
 
 
 def _least_overlap(n: Column) -> Column:
@@ -49,10 +53,30 @@ def exploded(docs: DataFrame) -> DataFrame:
     return docs.select("doc", F.posexplode(F.split("text", "\\n")).alias("pos", "line"))
 
 
+def _parity(keys: Column, n: Column, word: int) -> Column:
+    """A word of a set's parity: which of its bits are the slot, by hash, of an odd number of members. Long lines have two or four words, the rest of which is 0 for others."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    of = lambda ks: F.aggregate(ks, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+    mine = lambda words: of(F.filter(keys, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(words - 1)) == word))
+    wide = F.when(n >= WIDE[1], mine(4))
+    if word < 2:
+        wide = wide.when(n >= WIDE[0], mine(2))
+    return wide.otherwise(of(keys) if word == 0 else F.lit(0).cast("long"))
+
+
+def _differing(x: str, y: str) -> Column:
+    """Bits in which two parities differ, folded to the words that both have: no more than the members of one set alone."""
+    w = [F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}")) for k in range(4)]
+    least = F.least(_n(x), _n(y))
+    two = F.bit_count(w[0].bitwiseXOR(w[2])) + F.bit_count(w[1].bitwiseXOR(w[3]))
+    one = F.bit_count(w[0].bitwiseXOR(w[1]).bitwiseXOR(w[2]).bitwiseXOR(w[3]))
+    return F.when(least >= WIDE[1], sum((F.bit_count(v) for v in w[1:]), F.bit_count(w[0]))).when(least >= WIDE[0], two).otherwise(one)
+
+
 def first_lines(docs: DataFrame) -> DataFrame:
-    """A row for each different line with a token: where it is first, its number of tokens, its prefix and a parity word of its set."""
-    keyed = docs.withColumn("classes", rarity(docs, "text").scalar())
-    per_line = keyed.select("doc", "classes", F.posexplode(F.split("text", "\\n")).alias("pos", "line"))
+    """A row for each different line with a token: where it is first, its number of tokens, its prefix and its set's parity."""
+    # the classes come in after the lines are made: a generator would copy them with each line
+    per_line = exploded(docs).where(F.btrim("line", F.lit(BLANK)) != "").withColumn("classes", rarity(docs, "text").scalar())
     per_line = per_line.select("doc", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), token_keys(word_array(F.col("line")), F.col("classes")).alias("keys"))
 
     def shape(k):
@@ -60,29 +84,49 @@ def first_lines(docs: DataFrame) -> DataFrame:
         return F.struct(
             n.alias("n"),
             F.slice(k, 1, n - _least_overlap(n) + 1).alias("prefix"),
-            F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))).alias("parity"),
+            *[_parity(k, n, word).alias(f"p{word}") for word in range(4)],
         )
 
-    shaped = per_line.where(F.size("keys") > 0).select("doc", "pos", "h", "g", let(F.col("keys"), shape).alias("s"))
+    shaped = per_line.select("doc", "pos", "h", "g", let(F.col("keys"), shape).alias("s"))
     firsts = shaped.groupBy("h", "g").agg(F.min(F.struct("doc", "pos")).alias("at"), F.first("s").alias("s"), F.count(F.lit(1)).alias("copies"))
-    return firsts.select("h", "g", "at.doc", "at.pos", "s.n", "s.prefix", "s.parity", "copies")
+    return firsts.select("h", "g", "at.doc", "at.pos", "s.n", "s.prefix", *[f"s.p{k}" for k in range(4)], "copies")
 
 
-def _alike(x: str, y: str) -> Column:
-    """The length, positional and parity filters on two postings of a token; each keeps all pairs that are alike."""
-    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+def _alike(x: str, y: str, first: bool = True) -> Column:
+    """The length, parity and positional filters on two postings of a token; each keeps all pairs that are alike.
+
+    The positional one counts on no common token before this one, and so keeps a pair at its first
+    common token; without ``first`` it is left out.
+    """
+    nx, ny = _n(x), _n(y)
     # overlap >= t / (1 + t) (nx + ny), times 1 + t
     need = NUMERATOR * (nx + ny)
     whole = NUMERATOR + DENOMINATOR
     length = (DENOMINATOR * nx >= NUMERATOR * ny) & (DENOMINATOR * ny >= NUMERATOR * nx)
-    position = whole * (1 + F.least(nx - F.col(f"{x}.i"), ny - F.col(f"{y}.i"))) >= need
+    position = whole * (1 + F.least(nx - _i(x), ny - _i(y))) >= need
     # the symmetric difference has nx + ny - 2 overlap members, and no fewer than the bits in which the parities differ
-    parity = whole * (nx + ny - F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))) >= 2 * need
-    return length & position & parity
+    parity = whole * (nx + ny - _differing(x, y)) >= 2 * need
+    return length & position & parity if first else length & parity
+
 
+def _postings(firsts: DataFrame, settled: Column, last: int | None = None) -> DataFrame:
+    """(token, p0, doc, pos, shape, p1, p2, p3) for each prefix token, or for the last few of them. shape: the set's size, the token's place from 1, and whether the line is settled.
+
+    The order and packing keep what is alike from row to row together, for the shuffle's compression.
+    """
+    start = F.greatest(F.size("prefix") - last + 1, F.lit(1)) if last else F.lit(1)
+    tokens = F.slice("prefix", start, last) if last else F.col("prefix")
+    each = firsts.select("doc", "pos", "n", *PARITY, settled.cast("long").alias("settled"), start.alias("start"), F.posexplode(tokens).alias("i", "token"))
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft((F.col("i") + F.col("start")).cast("long"), 1)).bitwiseOR(F.col("settled"))
+    return each.select("token", "p0", "doc", "pos", packed.alias("shape"), *PARITY[1:])
+
+
+def _n(side: str) -> Column:
+    return F.shiftright(F.col(f"{side}.shape"), 32)
 
-def _postings(firsts: DataFrame, *more: str) -> DataFrame:
-    return firsts.select("doc", "pos", "n", "parity", *more, F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
+
+def _i(side: str) -> Column:
+    return F.shiftright(F.col(f"{side}.shape"), 1).bitwiseAND(F.lit((1 << 31) - 1))
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -93,7 +137,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     side = F.broadcast(wanted) if is_small(wanted, 32 + 4 * F.size("wanted")) else wanted
     held = docs.join(side, "doc")
     held = held.select("doc", "wanted", F.split("text", "\\n").alias("ls")).select("doc", F.explode(F.transform("wanted", lambda p: F.struct(p.alias("pos"), F.get("ls", p).alias("line")))).alias("w"))
-    words = held.select("doc", F.col("w.pos").alias("pos"), F.array_distinct(word_array(F.col("w.line"))).alias("ws")).dropDuplicates(["doc", "pos"])
+    words = held.select("doc", F.col("w.pos").alias("pos"), F.array_distinct(word_array(F.col("w.line"))).alias("ws"))
     x = words.select(F.col("doc").alias("xd"), F.col("pos").alias("xp"), F.col("ws").alias("xs"))
     y = words.select(F.col("doc").alias("yd"), F.col("pos").alias("yp"), F.col("ws").alias("ys"))
     joined = pairs.join(x, ["xd", "xp"]).join(y, ["yd", "yp"])
@@ -105,23 +149,30 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def later_matches(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(doc, pos) of the first places of lines that are alike to a different line with an earlier first place.
 
-    Each line is first compared with the earliest line under each of its STAR_TOKENS rarest tokens,
-    which finds most members of a large group of near copies at a cost in proportion to the group;
-    only what that leaves meets all earlier lines that share a prefix token, so that nothing is lost.
+    Where many lines of a size share one of their prefix's last tokens, as near copies do, for an
+    edit's new tokens are rarer and come before those, each is first compared with the earliest of
+    each of HEADS groups of them by hash. That finds a match for most members of a large group at
+    a cost in proportion to the group; only lines that this leaves meet all earlier lines with a
+    prefix token in common, so that nothing is lost.
     """
     before = lambda x, y: F.struct(F.col(f"{x}.doc"), F.col(f"{x}.pos")) < F.struct(F.col(f"{y}.doc"), F.col(f"{y}.pos"))
     ends = lambda: (F.col("x.doc").alias("xd"), F.col("x.pos").alias("xp"), F.col("y.doc").alias("yd"), F.col("y.pos").alias("yp"))
-    rare = _postings(firsts.withColumn("prefix", F.slice("prefix", 1, STAR_TOKENS)))
-    heads = rare.groupBy("token").agg(F.min(F.struct("doc", "pos", "n", "parity", "i")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "m.*")
-    stars = rare.alias("y").join(heads.alias("x"), (F.col("x.token") == F.col("y.token")) & before("x", "y") & _alike("x", "y"))
+    late = _postings(firsts, F.lit(False), STAR_TOKENS).withColumn("n", F.shiftright("shape", 32).cast("int"))
+    hot = late.groupBy("token", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("token", "n")
+    crowd = late.join(hot, ["token", "n"])
+    salt = F.pmod(F.xxhash64("doc", "pos"), F.lit(HEADS))
+    heads = crowd.groupBy("token", "n", salt.alias("salt")).agg(F.min(F.struct("doc", "pos", "shape", *PARITY)).alias("m")).select("token", "n", "m.*")
+    stars = crowd.alias("y").join(heads.alias("x"), (F.col("x.token") == F.col("y.token")) & (F.col("x.n") == F.col("y.n")) & before("x", "y") & _alike("x", "y", first=False))
     found = cut(verified(docs, stars.select(*ends())))
+    del late, hot, crowd, heads, stars
+    release(docs.sparkSession)
     settled = found.select("doc", "pos", F.lit(True).alias("settled"))
     side = F.broadcast(settled) if is_small(settled, 32) else settled
     marked = firsts.join(side, ["doc", "pos"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    postings = _postings(marked, "settled")
+    postings = _postings(marked, F.col("settled"))
     x, y = postings.alias("x"), postings.alias("y")
     # one condition on both sides, so that both read the same exchange
-    open_ = F.when(F.col("y.settled"), F.lit(False)).otherwise(before("x", "y"))
+    open_ = F.when(F.col("y.shape").bitwiseAND(F.lit(1)) == 1, F.lit(False)).otherwise(before("x", "y"))
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & open_ & _alike("x", "y"))
     return found.union(verified(docs, pairs.select(*ends()))).distinct()
 
@@ -136,10 +187,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     firsts = stored(first_lines(docs))
+    release(docs.sparkSession)
     copied = firsts.where("copies > 1").select("h", "g", F.col("doc").alias("fd"), F.col("pos").alias("fp"))
     lines = exploded(docs).select("doc", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
     copies = lines.join(copied, ["h", "g"]).where((F.col("doc") != F.col("fd")) | (F.col("pos") != F.col("fp"))).select("doc", "pos")
-    return copies.union(later_matches(docs, firsts)).groupBy("doc").agg(F.collect_set("pos").alias("removed"))
+    removed = cut(copies.union(later_matches(docs, firsts)).groupBy("doc").agg(F.collect_set("pos").alias("removed")))
+    discard(firsts)
+    return removed
 
 
 def without_lines(text: Column, removed: Column) -> Column:
@@ -163,7 +217,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     All rows and columns stay, null texts as null; a text may end up empty. The positions to remove
     are broadcast if they are measured to be few, else joined by a shuffle.
     """
-    removed = cut(repeated_lines(docs, id_col, text)).select(F.col("doc").alias("__v_doc"), F.col("removed").alias("__v_removed"))
+    removed = repeated_lines(docs, id_col, text).select(F.col("doc").alias("__v_doc"), F.col("removed").alias("__v_removed"))
     side = F.broadcast(removed) if is_small(removed, 48 + 4 * F.size("__v_removed")) else removed
     joined = docs.join(side, docs[id_col] == side["__v_doc"], "left")
     cut_ = joined.withColumn("__v_lines", without_lines(F.col(text), F.col("__v_removed")))
@@ -173,3 +227,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", "__v_lines.n_lines", "__v_lines.n_removed")
+
+
+ORACLE = r"""
+WITH l AS (SELECT doc_id, i, ls[i] AS line, list_distinct(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS ws
+           FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+s AS (SELECT min({'d': doc_id, 'i': i}) AS loc, w, len(w) AS n FROM (SELECT doc_id, i, list_sort(ws) AS w FROM l WHERE len(ws) > 0) GROUP BY w),
+t AS (SELECT loc, n, unnest(w) AS tok FROM s),
+f AS (SELECT tok, count(*) AS df FROM t GROUP BY tok),
+p AS (SELECT loc, n, tok FROM (SELECT loc, n, t.tok, row_number() OVER (PARTITION BY loc ORDER BY df, t.tok) AS k FROM t JOIN f ON f.tok = t.tok)
+      WHERE k <= n - (4*n + 4) // 5 + 1),
+c AS (SELECT DISTINCT x.loc AS xa, y.loc AS ya FROM p x JOIN p y ON x.tok = y.tok AND x.loc < y.loc AND 5*x.n >= 4*y.n AND 5*y.n >= 4*x.n),
+m AS (SELECT DISTINCT ya AS loc FROM c JOIN s a ON a.loc = xa JOIN s b ON b.loc = ya WHERE 5*len(list_intersect(a.w, b.w)) >= 4*(a.n + b.n - len(list_intersect(a.w, b.w)))),
+g AS (SELECT l.doc_id, l.i FROM l JOIN s ON s.w = list_sort(l.ws) LEFT JOIN m ON m.loc = s.loc WHERE len(l.ws) > 0 AND (m.loc IS NOT NULL OR s.loc.d <> l.doc_id OR s.loc.i <> l.i))
+SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text, count(*) AS n_lines, count(g.i) AS n_removed
+FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
+"""

@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {
+        "op1_substring_dedup": substrings.ORACLE,
+        "op2_line_dedup": lines.ORACLE,
+        "op7_quality_rules": quality.ORACLE,
+        "op8_lm_scores": ngram_lm.ORACLE,
+        "op10_decontaminate": decontaminate.ORACLE,
+    }
