@@ -124,9 +124,11 @@ def near_lines(spark):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(4), dict(rows)
 
 
-@pytest.mark.parametrize("star", [1, 3])
-def test_lines_brute_force(spark, documents, texts, near_lines, monkeypatch, star):
+@pytest.mark.parametrize(("star", "heads"), [(1, 2), (3, 16)])
+def test_lines_brute_force(spark, documents, texts, near_lines, monkeypatch, star, heads):
     monkeypatch.setattr(lines, "STAR_TOKENS", star)
+    monkeypatch.setattr(lines, "HEADS", heads)
+    monkeypatch.setattr(lines, "CROWD", heads)
     for df, own in ((documents, texts), near_lines):
         gone = removed_lines(own)
         got = by_id(lines.dedup_lines(spark, df).select("doc_id", "text", "__v_lines.n_removed"), "text", "n_removed")
