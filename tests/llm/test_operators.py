@@ -218,6 +218,14 @@ def test_collisions_get_another_attempt(spark):
     assert odd["surname", value] >= 1
 
 
+def test_crowded_names_get_surrogates(spark):
+    found = {(f"given{key[1]}", n.lower()) for key, names in pii.GIVEN.items() for n in names}
+    found |= {("surname", a + b) for a in "bcdfghjklmnpqrst" for b in "aeiou"} | {("secret", "-" * 12), ("ip", "8.8.8.8"), ("surname", "schmidt")}
+    odd = {(r["kind"], r["value"]): r["attempt"] for r in pii.tries(spark.createDataFrame(sorted(found), "kind string, value string"), b"k").collect()}
+    new = {(k, v): pii.surrogate(pii.Cipher(b"k"), k, v, odd.get((k, v), 0)) for k, v in found}
+    assert len({(k, x) for (k, _), x in new.items()}) == len(found) and all(x != v for (k, v), x in new.items() if k != "secret")
+
+
 def test_clean_text_stays(documents, texts):
     got = by_id(pii.pseudonymised(documents).select("doc_id", "__v_pii.text", "__v_pii.entities"), "text", "entities")
     assert all((t == texts[i]) == (not e) for i, (t, e) in got.items()) and 0 < sum(bool(e) for _, e in got.values()) < len(got)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import ipaddress
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,6 +33,9 @@ _POOL = {name.lower(): (key, k) for key, names in GIVEN.items() for k, name in e
 #: Domains that name nobody stay as they are.
 PUBLIC_DOMAINS = ("example.com", "example.org", "example.net", "gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "gmx.de", "web.de", "orange.fr")
 
+#: A space is crowded if more than one value in so many is an entity. From this size on no space is.
+CROWDED, LARGE = 4, 1 << 40
+
 #: Networks of special use, a fixed value.
 NETWORKS = [ipaddress.IPv4Network(n) for n in "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.168.0.0/16 224.0.0.0/4 240.0.0.0/4".split()]
 
@@ -216,6 +220,41 @@ def surrogate(cipher: Cipher, kind: str, value: str, attempt: int = 0) -> str:
     return spell(value)
 
 
+def _mask(text: str) -> str:
+    return "".join("0" if c in _DIGITS else "a" if c in _LOWER else "A" if c in _UPPER else c for c in text)
+
+
+def space(kind: str, value: str) -> tuple[str, int]:
+    """The closed set that holds a canonical value and its surrogates: its name, and about how many values it has."""
+    size = lambda v: math.prod(len(a) for a in _plain(v) if a)
+    if kind == "email":
+        local, _, domain = value.partition("@")
+        if any(domain == d or domain.endswith("." + d) for d in PUBLIC_DOMAINS):
+            return f"email {_mask(local)}@{domain}", size(local)
+        own, _, top = domain.rpartition(".")
+        return f"email {_mask(local)}@{_mask(own)}.{top}", size(local) * size(own)
+    if kind == "phone":
+        low = value[0] in "01"
+        return f"phone {len(value)} {low}", (2 if low else 8) * 10 ** (len(value) - 1)
+    if kind == "card":
+        good = luhn(value)
+        return f"card {value[0]} {len(value)} {good}", (1 if good else 9) * 10 ** (len(value) - 2)
+    if kind == "ip":
+        x = ipaddress.IPv4Address(".".join(str(int(p)) for p in value.split(".")))
+        net = next((n for n in NETWORKS if x in n), None)
+        return f"ip {net}", net.num_addresses if net else (1 << 32) - sum(n.num_addresses for n in NETWORKS)
+    if kind == "iban":
+        return f"iban {value[:2]} {_mask(value[4:])}", size(value[4:])
+    if kind == "secret" and re.fullmatch(r"[0-9a-f]+", value):
+        return f"secret {len(value)}", 16 ** len(value)
+    if kind.startswith("given") and value in _POOL:
+        key = _POOL[value][0]
+        return f"{kind} {key}", len(GIVEN[key])
+    if kind == "surname" or kind.startswith("given"):
+        return f"{kind} {[_CLASS.get(c, c) for c in value]}", math.prod(len(CLASSES[_CLASS[c]]) for c in value if c in _CLASS)
+    return f"{kind} {_mask(value)}", size(value)
+
+
 def dressed(kind: str, value: str, new: str) -> str:
     """The surrogate in the mention's own punctuation and case."""
     if kind in ("phone", "card", "ssn"):
@@ -263,25 +302,36 @@ def tries(found: DataFrame, key: bytes, limit: int = 16) -> DataFrame:
     """(kind, value, attempt) of the entities whose first surrogate won't do. found: different (kind, value), materialised.
 
     A surrogate must be no entity of the corpus, and of one entity only; where several ask for the
-    same, the smallest value keeps it. The others try again under another permutation.
+    same, the smallest value keeps it. The others try again under another permutation. Where a
+    crowded space (given names, very short values) has no such assignment, all its entities keep the
+    first permutation, which alone makes surrogates distinct and none its own.
     """
     cipher = Cipher(key)
 
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, v, *space(k, v)) for k, v in zip(b["kind"], b["value"], strict=True)]
+            yield pd.DataFrame([r for r in rows if r[3] < LARGE], columns=["kind", "value", "space", "size"])
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(new=[surrogate(cipher, k, v, a) for k, v, a in zip(b["kind"], b["value"], b["attempt"], strict=True)])
 
-    now = found.select("kind", "value", F.lit(0).alias("attempt"))
+    placed = found.mapInPandas(place, "kind string, value string, space string, size long")
+    full = placed.groupBy("space").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).where(F.col("n") * CROWDED > F.col("size"))
+    crowded = placed.join(full.select("space"), "space", "left_semi").select("kind", "value", F.lit(True).alias("crowded"))
+    now = found.join(crowded, ["kind", "value"], "left").select("kind", "value", F.lit(0).alias("attempt"), F.coalesce("crowded", F.lit(False)).alias("crowded"))
     taken = found.select("kind", F.col("value").alias("new"))
     for _ in range(limit):
-        made = cut(now.mapInPandas(make, "kind string, value string, attempt int, new string"))
-        real = made.join(taken, ["kind", "new"], "left_semi").select("kind", "value")
-        twice = made.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("keeper")).where("n > 1")
-        shared = made.join(twice.select("kind", "new", "keeper"), ["kind", "new"]).where("value != keeper").select("kind", "value")
+        made = cut(now.mapInPandas(make, "kind string, value string, attempt int, crowded boolean, new string"))
+        free = made.where("NOT crowded")
+        real = free.join(taken, ["kind", "new"], "left_semi").select("kind", "value")
+        twice = made.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(~F.col("crowded"), "value"))["value"].alias("keeper")).where("n > 1")
+        shared = free.join(twice.select("kind", "new", "keeper"), ["kind", "new"]).where("value != keeper").select("kind", "value")
         again = cut(real.union(shared).distinct())
         if again.isEmpty():
             return made.where("attempt > 0").select("kind", "value", "attempt")
-        now = made.join(again.withColumn("bad", F.lit(1)), ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt"))
+        now = made.join(again.withColumn("bad", F.lit(1)), ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt"), "crowded")
     raise RuntimeError(f"surrogates still collide after {limit} attempts")
 
 
