@@ -218,6 +218,18 @@ def test_collisions_get_another_attempt(spark):
     assert odd["surname", value] >= 1
 
 
+def test_later_mentions_of_names():
+    c = pii.Cipher(b"key")
+    text = "The Schmidts met. Mrs Anna Schmidt came with Dr Paul Ódz. Schmidt said that Anna's house and Schmidt's, or Annas, are SCHMIDT-built; Ódz left Paul at mail anna@gmail.com. Annabel Schmidtke stays, as schmidt and Paulus do. Paul Miller came."
+    new, found = pii.replaced(text, c, {})
+    anna, schmidt, paul, odz = (pii.dressed(k, "x", pii.surrogate(c, k, v)) for k, v in (("givenf", "anna"), ("surname", "schmidt"), ("givenm", "paul"), ("surname", "ódz")))
+    mail = new[new.index("mail ") + 5 :].split(". ")[0]
+    assert new == f"The {schmidt}s met. Mrs {anna} {schmidt} came with Dr {paul} {odz}. {schmidt} said that {anna}'s house and {schmidt}'s, or {anna}s, are {schmidt.upper()}-built; {odz} left {paul} at mail {mail}. Annabel Schmidtke stays, as schmidt and Paulus do. {paul} {pii.dressed('surname', 'x', pii.surrogate(c, 'surname', 'miller'))} came."
+    assert found == sorted(found, key=lambda x: x[1]) and all(a[2] <= b[1] for a, b in zip(found, found[1:]))
+    assert [x[:2] for x in pii.detect("Mr Miller saw Mrs Anna-Schmidt. Anna Schmidt and Miller-Schmidt")][-2:] == [(49, 55), (56, 63)]
+    assert pii.detect("The Schmidt Anna and Paul") == [] and "anna" not in mail
+
+
 def test_crowded_names_get_surrogates(spark):
     found = {(f"given{key[1]}", n.lower()) for key, names in pii.GIVEN.items() for n in names}
     found |= {("surname", a + b) for a in "bcdfghjklmnpqrst" for b in "aeiou"} | {("secret", "-" * 12), ("ip", "8.8.8.8"), ("surname", "schmidt")}

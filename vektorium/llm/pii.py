@@ -50,6 +50,8 @@ _NUMBER = re.compile(
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁΆ-Ώ][a-zà-öø-ÿа-яёά-ώ]+"
 _CAPITALS = re.compile(_NAME)
+#: Words that may mention a name again, and the parts of hyphenated ones.
+_WORDS, _PART = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-ÞА-ЯЁΆ-Ώ][^\W\d_]+(?:-[^\W\d_]+)*(?!\w)"), re.compile(r"[^\W\d_]+")
 _TITLED = re.compile(rf"\b({'|'.join(TITLES)})\.?[ \t]+({_NAME}(?:-{_NAME})?)(?:[ \t]+({_NAME}(?:-{_NAME})?))?")
 _GIVEN = re.compile(rf"\b({'|'.join(n for names in GIVEN.values() for n in names)})[ \t]+({_NAME}(?:-{_NAME})?)\b")
 
@@ -63,7 +65,10 @@ def luhn(digits: str) -> bool:
 
 
 def detect(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the entities, by start and without overlaps: the one that starts first stays."""
+    """(start, end, kind) of the entities, by start and without overlaps: the one that starts first stays.
+
+    A name that is found once, by a title or a listed given name, is found wherever the text has it.
+    """
     if not text:
         return []
     found: list[tuple[int, int, str]] = []
@@ -83,8 +88,9 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     words = set(_CAPITALS.findall(text))
     if not words.isdisjoint(TITLES):
         for m in _TITLED.finditer(text):
-            given = "given" + (TITLES[m[1]] or "")
-            found += [(*m.span(2), given if m[3] or m[2].lower() in _POOL else "surname")] + ([(*m.span(3), "surname")] if m[3] else [])
+            pooled = _POOL.get(m[2].lower())
+            given = "given" + (pooled[0][1] if pooled else TITLES[m[1]])
+            found += [(*m.span(2), given if m[3] or pooled else "surname")] + ([(*m.span(3), "surname")] if m[3] else [])
     if not words.isdisjoint(_GIVEN_NAMES):
         for m in _GIVEN.finditer(text):
             if m[1] != m[2] and m[2].lower() not in _POOL:
@@ -94,7 +100,33 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
         if lo >= end:
             out.append((lo, hi, kind))
             end = hi
-    return out
+    return _with_mentions(text, out)
+
+
+def _with_mentions(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """found, and all other mentions of the names among it: as they are or in capitals, also with a genitive s."""
+    names: dict[str, str] = {}
+    for lo, hi, kind in found:
+        if kind == "surname" or kind.startswith("given"):
+            names.setdefault(text[lo:hi], kind)
+    if not names:
+        return found
+    for name in list(names):
+        if len(name) > 3:  # shorter words in capitals are abbreviations
+            names.setdefault(name.upper(), names[name])
+    out, k = [], 0
+    for m in _WORDS.finditer(text):
+        lo, word = m.start(), m[0]
+        name = next((n for n in (word, word[:-1] if word[-1] in "sS" else "") if n in names), None)
+        parts = [(lo, name)] if name else [(lo + p.start(), p[0]) for p in _PART.finditer(word)] if "-" in word else []
+        for at, part in parts:
+            while k < len(found) and found[k][1] <= at:
+                out.append(found[k])
+                k += 1
+            part = next((n for n in (part, part[:-1] if part[-1] in "sS" else "") if n in names), None)
+            if part and (k == len(found) or at + len(part) <= found[k][0]):
+                out.append((at, at + len(part), names[part]))
+    return out + found[k:]
 
 
 def _iban_ok(s: str) -> bool:
@@ -269,7 +301,7 @@ def dressed(kind: str, value: str, new: str) -> str:
     if kind == "email" and len(new) == len(value):
         return "".join(n.upper() if v.isupper() else n for v, n in zip(value, new, strict=True))
     if kind == "surname" or kind.startswith("given"):
-        return "-".join(p[:1].upper() + p[1:] for p in new.split("-"))
+        return new.upper() if value.isupper() else "-".join(p[:1].upper() + p[1:] for p in new.split("-"))
     return new
 
 
