@@ -178,6 +178,14 @@ def test_pages(page, text):
     assert html_text.main_text(page)[0] == text
 
 
+@pytest.mark.parametrize("before", ["<datalist><option value=a><option value=b></datalist>", "<select><option>One<option>Two</select>", "<button>Menu", "<svg><path d=x>", "<video src=a>", "<audio>", "<canvas>", "<object>", "<select><option>One", "İ<SCRIPT>var a = 'İ<p>no' + x<y;</SCRIPT>", "<script>if (a<b && c == '</script>", "<button><div>No</div></button><svg><g><svg></svg><text>No</text></g></svg>"])
+@pytest.mark.parametrize("after", ["", "<button>B</button><video></video><svg></svg><canvas></canvas><object></object><audio></audio><select></select>"])
+def test_unclosed_elements_lose_no_text(before, after):
+    page = f"<article><p>First words of the page.</p>{before}<p>Second words of the page.</p>{after}<p>Third words of the page.</p></article>"
+    text = html_text.main_text(page)[0].split("\n")
+    assert [t for t in text if t != "İ"] == ["First words of the page.", "Second words of the page.", "Third words of the page."]
+
+
 def test_pages_odd(odd, none):
     assert odd.select(html_text.extracted("text").alias("x")).count() == odd.count()
     assert none.select(html_text.extracted("text").alias("x")).count() == 0

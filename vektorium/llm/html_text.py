@@ -20,7 +20,12 @@ _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg math iframe object select option button canvas audio video".split())
+#: Text up to the closing tag, or to the page's end, whatever it looks like.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style textarea title noscript iframe noembed noframes xmp".split()}
+#: Elements that aren't text of the page; those of SINGLE end where another of theirs starts. Where
+#: such an element isn't closed, the next block starts outside of it.
+NOT_SHOWN = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in "template svg math object select datalist option optgroup button canvas audio video".split()}
+SINGLE = frozenset("select datalist option optgroup button".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -80,11 +85,25 @@ def _kind(tag: str, attrs: str, above: int) -> int:
     return 0
 
 
+def _closed(html: str, tag: str) -> set[int]:
+    """Where the elements of a tag start that have a closing tag of their own."""
+    found, opened = set(), []
+    for m in NOT_SHOWN[tag].finditer(html):
+        if not m[1]:
+            opened = [] if tag in SINGLE else opened
+            opened.append(m.start())
+        elif opened:
+            found.add(opened.pop())
+    return found
+
+
 def blocks(html: str) -> list[Block]:
     """The page's runs of text between block tags, in page order. Scripts, styles, comments and what is hidden are left out."""
     found: list[Block] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, kind, number
-    number, links, now, at, low = 0, 0, None, 0, ""
+    number, links, now, at = 0, 0, None, 0
+    closed: dict[str, set[int]] = {}
+    loose: set[int] = set()  # elements not shown and not closed
 
     def put(raw: str) -> None:
         nonlocal now
@@ -103,9 +122,7 @@ def blocks(html: str) -> list[Block]:
         if links:
             now.linked += len("".join(text.split()))
 
-    for m in _TOKEN.finditer(html):
-        if m.start() < at:
-            continue
+    while m := _TOKEN.search(html, at):
         put(html[at : m.start()])
         at = m.end()
         tag = m[2]
@@ -124,11 +141,17 @@ def blocks(html: str) -> list[Block]:
                 del stack[depth:]
             continue
         if tag in RAW:
-            low = low or html.lower()
-            close = low.find(f"</{tag}", at) if len(low) == len(html) else html.find(f"</{tag}", at)
             if not m[3].rstrip().endswith("/"):
-                at = close if close >= 0 else len(html)
+                close = RAW[tag].search(html, at)
+                at = close.start() if close else len(html)
             continue
+        if loose and (tag in BLOCK or tag in NOT_SHOWN):
+            depth = next((d for d in range(len(stack)) if stack[d][2] in loose), 0)
+            if depth and (tag in BLOCK or stack[depth][0] == tag):
+                for t, _, _ in stack[depth:]:
+                    links -= t == "a"
+                del stack[depth:]
+            loose = {k for _, _, k in stack if k in loose}
         if tag in BLOCK:
             now = None
             if tag in ENDS_P:
@@ -143,8 +166,13 @@ def blocks(html: str) -> list[Block]:
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
         above = stack[-1][1]
-        kind = -2 if above == -2 else _kind(tag, m[3], above)
+        kind = -2 if above == -2 or tag in NOT_SHOWN else _kind(tag, m[3], above)
         number += 1
+        if tag in NOT_SHOWN:
+            if tag not in closed:
+                closed[tag] = _closed(html, tag)
+            if m.start() not in closed[tag]:
+                loose.add(number)
         stack.append((tag, kind or above if above > -1 or kind == -2 else -1, number))
         links += tag == "a"
     put(html[at:])
