@@ -178,6 +178,31 @@ def test_pages(page, text):
     assert html_text.main_text(page)[0] == text
 
 
+STORY = [" ".join(f"word{k}x{i}" for i in range(30)) + "." for k in range(4)]
+PARAGRAPHS = "".join(f"<p>{p}</p>" for p in STORY)
+
+
+@pytest.mark.parametrize(
+    ("page", "n"),
+    [
+        ("<body class='single has-sidebar'><article>{}</article></body>", 4),
+        ("<body><main class='has-sidebar'>{}</main></body>", 4),
+        ("<body><div class='page header-fixed'><article>{}</article></div></body>", 4),
+        ("<body><div class='page header-fixed'><div class='has-sidebar'>{}</div></div></body>", 4),
+        ("<form id='aspnetForm'><nav><a href=a>Home</a></nav><div>{}</div><div class='comments'><p>Nice post, really, I liked it.</p></div></form>", 4),
+        ("<div class='text'>Call us</div><div>{}</div>", 4),
+        ("<article>{}<div class='share-bar'><p>Share this long story with all of your many friends.</p></div></article>", 4),
+        ("<div class='post'><p>" + STORY[0] + " " + STORY[1] + "</p></div><div id='comments'><div class='text'>{}{}{}</div></div>", 0),
+        ("<article><p>" + STORY[0] + "</p></article><section class='related'><article class='teaser'>{}</article></section>", 0),
+    ],
+)
+def test_wrappers_with_boilerplate_names(page, n):
+    assert html_text.main_text("<div class='page header-fixed'><p>Only a few words here.</p></div>")[0] == "Only a few words here."
+    text = html_text.main_text(page.replace("{}", PARAGRAPHS))[0].split("\n")
+    assert [t for t in text if t in STORY] == (STORY if n else STORY[:1] if "<article><p>" in page else [])
+    assert not any(t.startswith(("Nice", "Share", "Home")) for t in text)
+
+
 @pytest.mark.parametrize("before", ["<datalist><option value=a><option value=b></datalist>", "<select><option>One<option>Two</select>", "<button>Menu", "<svg><path d=x>", "<video src=a>", "<audio>", "<canvas>", "<object>", "<select><option>One", "İ<SCRIPT>var a = 'İ<p>no' + x<y;</SCRIPT>", "<script>if (a<b && c == '</script>", "<button><div>No</div></button><svg><g><svg></svg><text>No</text></g></svg>"])
 @pytest.mark.parametrize("after", ["", "<button>B</button><video></video><svg></svg><canvas></canvas><object></object><audio></audio><select></select>"])
 def test_unclosed_elements_lose_no_text(before, after):

@@ -31,7 +31,7 @@ BLOCK = frozenset(
 )
 #: Opening one of these ends an open paragraph.
 ENDS_P = BLOCK - {"body", "html", "head"}
-BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog head search fieldset".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside menu dialog head search fieldset".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 BOILERPLATE_NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising alert author avatar banner bar bio breadcrumb breadcrumbs byline
@@ -44,45 +44,54 @@ BOILERPLATE_NAMES = frozenset(
 CONTENT_NAMES = frozenset("article articlebody body content entry main post story text".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
+#: So many words of running text make an article; fewer may be a label.
+ARTICLE_WORDS = 40
+
 #: Costs are rounded to so many units.
 UNIT = 1000
 
 
 class Block:
-    __slots__ = ("parts", "linked", "kind", "mark", "parent", "text", "tag")
+    __slots__ = ("parts", "linked", "kind", "mark", "parent", "text", "tag", "doubts", "inner", "article")
 
-    def __init__(self, mark: int, kind: int, parent: int, tag: str):
+    def __init__(self, mark: int, kind: int, parent: int, tag: str, doubts: tuple[int, ...] = (), inner: int = 0, article: bool = False):
         self.parts: list[str] = []
         self.linked = 0
         self.mark, self.kind, self.parent, self.tag = mark, kind, parent, tag
+        #: The elements round it that only their names, or a form's tag, make boilerplate; the element
+        #: that holds it; and whether it is in an article or main element.
+        self.doubts, self.inner, self.article = doubts, inner, article
         self.text = ""
 
+    def weight(self) -> float:
+        """Words outside of links, about."""
+        return (self.text.count(" ") + 1) * (1 - self.linked / max(1, len(self.text.replace(" ", ""))))
+
 
-def _kind(tag: str, attrs: str, above: int) -> int:
-    """What an element says of all below it: -2 not shown, -1 boilerplate, 1 content, 0 nothing new."""
+def _kind(tag: str, attrs: str, above: int) -> tuple[int, bool]:
+    """What an element says of all below it: -2 not shown, -1 boilerplate, 1 content, 0 nothing new; and whether its names call it boilerplate."""
     names: list[str] = []
     role = ""
     if attrs and not attrs.isspace():
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return -2
+                return -2, False
             if name == "role":
                 role = value.lower()
             elif name in ("class", "id", "itemprop", "data-role"):
                 names += [w.lower() for w in _NAME_PART.findall(value)]
-    if tag in BOILERPLATE_TAGS or role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"):
-        return -1
+    if tag in BOILERPLATE_TAGS or role in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar"):
+        return -1, False
     if tag == "header":
-        return -1 if above != 1 else 2
+        return -1 if above != 1 else 2, False
+    content = any(n in CONTENT_NAMES for n in names)
+    named = tag == "form" or role == "form" or any(n in BOILERPLATE_NAMES for n in names)
     if tag in CONTENT_TAGS or role in ("main", "article"):
-        return -1 if any(n in BOILERPLATE_NAMES for n in names) and not any(n in CONTENT_NAMES for n in names) else 1
-    if tag not in ("html", "body", "p", *HEADINGS) or names:
-        if any(n in BOILERPLATE_NAMES for n in names):
-            return -1
-        if tag not in ("html", "body") and any(n in CONTENT_NAMES for n in names):
-            return 1
-    return 0
+        return 1, named and not content and tag != "main" and role != "main"
+    if tag in ("html", "body"):
+        return 0, False
+    return int(content), named
 
 
 def _closed(html: str, tag: str) -> set[int]:
@@ -101,6 +110,7 @@ def blocks(html: str) -> list[Block]:
     """The page's runs of text between block tags, in page order. Scripts, styles, comments and what is hidden are left out."""
     found: list[Block] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, kind, number
+    doubts: set[int] = set()
     number, links, now, at = 0, 0, None, 0
     closed: dict[str, set[int]] = {}
     loose: set[int] = set()  # elements not shown and not closed
@@ -115,7 +125,8 @@ def blocks(html: str) -> list[Block]:
             mark = next((k for _, kind, k in reversed(stack) if kind and kind > -3), 0)
             holder = next(((t, k) for t, _, k in reversed(stack) if t in BLOCK), ("", 0))
             outer = next((k for t, _, k in reversed(stack[:-1]) if t in BLOCK and k != holder[1]), 0)
-            now = Block(mark, stack[-1][1], outer, holder[0])
+            round_it = tuple(k for _, _, k in stack if k in doubts) if doubts else ()
+            now = Block(mark, stack[-1][1], outer, holder[0], round_it, stack[-1][2], any(t in CONTENT_TAGS for t, _, _ in stack))
             found.append(now)
         text = unescape(raw) if "&" in raw else raw
         now.parts.append(text)
@@ -166,8 +177,10 @@ def blocks(html: str) -> list[Block]:
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
         above = stack[-1][1]
-        kind = -2 if above == -2 or tag in NOT_SHOWN else _kind(tag, m[3], above)
+        kind, named = (-2, False) if above == -2 or tag in NOT_SHOWN else _kind(tag, m[3], above)
         number += 1
+        if named:
+            doubts.add(number)
         if tag in NOT_SHOWN:
             if tag not in closed:
                 closed[tag] = _closed(html, tag)
@@ -181,10 +194,43 @@ def blocks(html: str) -> list[Block]:
     return [b for b in found if b.text]
 
 
-def score(b: Block, has_content: bool, plain: bool = False) -> float:
+def settle(found: list[Block]) -> None:
+    """Decides which elements that names call boilerplate are so, and marks the blocks in those.
+
+    Such an element is a wrapper, and says nothing, if the page's text is in it: if outside of it
+    there is neither a marked article nor a fifth of the running text (none, if it holds few words),
+    or if it holds most text of the article and main elements. Outer elements are decided first.
+    """
+    inside: dict[int, list[Block]] = {}
+    for b in found:
+        if b.kind != -1:
+            for k in b.doubts:
+                inside.setdefault(k, []).append(b)
+    if not inside:
+        return
+    weight = {id(b): b.weight() for b in found if b.kind != -1}
+    total, articles = sum(weight.values()), sum(weight[id(b)] for b in found if b.article and b.kind != -1)
+    lifted: set[int] = set()
+    for k in sorted(inside):
+        held = sum(weight[id(b)] for b in inside[k])
+        article = sum(weight[id(b)] for b in inside[k] if b.article)
+        if 2 * held < total and 2 * article <= articles:
+            continue
+        rest = [b for b in found if b.kind != -1 and k not in b.doubts and lifted.issuperset(b.doubts)]
+        marked = sum(weight[id(b)] for b in rest if b.kind == 1)
+        outer = all(b.article for b in inside[k]) and any(b.article for b in rest)  # it is itself a part of an article
+        outside = sum(weight[id(b)] for b in rest)
+        if article > 4 * marked and not outer or marked < ARTICLE_WORDS and 4 * outside < held and (held >= ARTICLE_WORDS or not outside):
+            lifted.add(k)
+    for b in found:
+        if b.kind != -1 and not lifted.issuperset(b.doubts):
+            b.kind, b.mark = -1, b.inner
+
+
+def score(b: Block, has_content: float, plain: bool = False) -> float:
     """Cost of calling the block boilerplate less that of calling it content: a fixed linear classifier.
 
-    has_content: the page marks its content; plain: it marks neither content nor boilerplate.
+    has_content: how far, 0 to 1, what the page marks as content may be all of it; plain: it marks neither content nor boilerplate.
     """
     words = b.text.count(" ") + 1
     density = b.linked / max(1, len(b.text.replace(" ", "")))
@@ -196,7 +242,7 @@ def score(b: Block, has_content: bool, plain: bool = False) -> float:
     s += 0.8 * (b.text[-1] in ".!?:;…»”\"'。") + 0.6 * (b.tag in HEADINGS) + 0.4 * (b.tag == "p")
     if b.kind == 1:
         return s + 6.0
-    return s - 6.0 if has_content else s
+    return s - 6.0 * has_content
 
 
 def min_cut(terminal: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -259,7 +305,9 @@ def main_text(html: str | None) -> tuple[str, int, int]:
     found = blocks(html) if html else []
     if not found:
         return "", 0, 0
-    has_content = any(b.kind == 1 for b in found)
+    settle(found)
+    marked, other = (sum(b.weight() for b in found if b.kind == k) for k in (1, 0))
+    has_content = min(1.0, max(marked / (2 * ARTICLE_WORDS), 4 * marked / max(1.0, marked + other)))
     plain = not any(b.kind for b in found)
     costs = [round(UNIT * score(b, has_content, plain)) for b in found]
     edges = []
