@@ -547,3 +547,20 @@ def test_decontamination_odd(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 3
     assert decontaminate.decontaminate(spark, odd, bench.limit(0)).count() == odd.count()
     assert decontaminate.decontaminate(spark, none, bench).count() == 0
+
+
+def test_items_without_an_id(spark, tmp_path):
+    import duckdb
+
+    docs = [(1, "Here one two three four stand"), (2, "five six seven and one two three four"), (3, "nothing"), (4, None)]
+    items = [(None, "one two three four"), (None, "seven and"), ("b", "one two three"), ("a", None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = decontaminate.op10_decontaminate(spark, str(tmp_path)).toPandas()
+    assert rows_of(got) == rows_of(con.sql(decontaminate.ORACLE).df())
+    for bound in (1 << 20, 5):
+        found = spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", decontaminate.hits(spark, spark.createDataFrame(items, "item_id string, text string"), automaton_bytes=bound).alias("h")).collect()
+        assert {r["doc_id"]: (r["h"]["n_hit"], r["h"]["item_ids"]) for r in found} == {1: (4, ["b", None]), 2: (6, ["b", None]), 3: (0, []), 4: (0, [])}

@@ -36,10 +36,15 @@ def _split(text: str | None) -> list[str]:
     return [w for w in words(text) if w]
 
 
-def shards_of(items: list[tuple[str, str | None]], window: int, bound: int) -> list[list[tuple[str, int, tuple[str, ...]]]]:
+def _sorted(ids) -> list[str | None]:
+    """Ids in order, a null one last."""
+    return sorted(ids, key=lambda i: (i is None, i or ""))
+
+
+def shards_of(items: list[tuple[str | None, str | None]], window: int, bound: int) -> list[list[tuple[str, int, tuple[str | None, ...]]]]:
     """Patterns (text, number of words, ids of the items that hold it), dealt so that no shard covers more than bound bytes of items."""
     shards, size = [{}], 0
-    for item, text in sorted(items, key=lambda x: x[0]):
+    for item, text in sorted(items, key=lambda x: (x[0] is None, x[0] or "")):
         ws = _split(text)
         if not ws:
             continue
@@ -51,7 +56,7 @@ def shards_of(items: list[tuple[str, str | None]], window: int, bound: int) -> l
         n = min(window, len(ws))
         for i in range(len(ws) - n + 1):
             shards[-1].setdefault(tuple(ws[i : i + n]), set()).add(item)
-    return [[(f" {' '.join(p)} ", len(p), tuple(sorted(ids))) for p, ids in s.items()] for s in shards if s]
+    return [[(f" {' '.join(p)} ", len(p), tuple(_sorted(ids))) for p, ids in s.items()] for s in shards if s]
 
 
 def _automaton(shard):
@@ -64,7 +69,7 @@ def _automaton(shard):
     return a
 
 
-def scan(text: str | None, automata) -> tuple[int, int, list[str], list[tuple[int, int]]]:
+def scan(text: str | None, automata) -> tuple[int, int, list[str | None], list[tuple[int, int]]]:
     """Words, words hit, items hit and the hit passages as offsets into the original text."""
     ws = _split(text)
     line = f" {' '.join(ws)} "
@@ -88,7 +93,7 @@ def scan(text: str | None, automata) -> tuple[int, int, list[str], list[tuple[in
     return (
         len(ws),
         sum(hi - lo for lo, hi in joined),
-        sorted(items),
+        _sorted(items),
         [(place[lo][0], place[hi - 1][1]) for lo, hi in joined],
     )
 
@@ -107,10 +112,10 @@ def hits(
 
     A window is ``window`` consecutive words of an item; an item of fewer words is one window. Null
     and empty texts have no words and no hits, null and empty items no windows; items of equal text
-    all count; an empty benchmark hits nothing. The benchmark is measured before it is collected.
+    all count; items with a null id count as one, which item_ids has as a null at its end; an empty benchmark hits nothing. The benchmark is measured before it is collected.
     The text is scanned once for each automaton, and there is one up to AUTOMATON_BYTES of items.
     """
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t"))
     size = items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     if size > BENCHMARK_BYTES:
         raise ValueError(f"the benchmark has {size} bytes; split it into sets of {BENCHMARK_BYTES} at most")
@@ -158,7 +163,7 @@ def _merged(texts, automata):
             elif h:
                 out.append((a, b))
             open_ = h
-        rows.append((len(place), sum(hit), sorted(ids), out))
+        rows.append((len(place), sum(hit), _sorted(ids), out))
     return rows
 
 
