@@ -124,9 +124,9 @@ def near_lines(spark):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(4), dict(rows)
 
 
-@pytest.mark.parametrize(("star", "heads"), [(1, 2), (3, 16)])
-def test_lines_brute_force(spark, documents, texts, near_lines, monkeypatch, star, heads):
-    monkeypatch.setattr(lines, "STAR_TOKENS", star)
+@pytest.mark.parametrize(("keys", "heads"), [(1, 2), (3, 16)])
+def test_lines_brute_force(spark, documents, texts, near_lines, monkeypatch, keys, heads):
+    monkeypatch.setattr(lines, "CROWD_KEYS", keys)
     monkeypatch.setattr(lines, "HEADS", heads)
     monkeypatch.setattr(lines, "CROWD", heads)
     for df, own in ((documents, texts), near_lines):
@@ -135,6 +135,25 @@ def test_lines_brute_force(spark, documents, texts, near_lines, monkeypatch, sta
         assert got == {i: ("\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i]), len(gone[i])) for i, t in own.items()}
 
 
+SHARED = [
+    (1, "one two three four five six seven\nonly here\tand here"), (2, "one two three four five six seven\nsomething else of its own"), (2, "totally unrelated words\n foo  bar \nlast words of all"),
+    (2, "totally unrelated words\n foo  bar \nlast words of all"), (2, "foo bar\ncompletely fresh line\none two three four five six seven eight"), (3, "only here and here\nbar\x0bfoo"), (3, "bar foo bar"),
+]
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    import xxhash
+
+    number = lambda t: int.from_bytes(xxhash.xxh64_digest(t.encode(), 42), "big", signed=True)
+    ids = Counter(i for i, _ in SHARED)
+    own = {(i, number(t) if ids[i] > 1 else 0): t for i, t in SHARED}
+    gone = removed_lines(own)
+    want = sorted((k[0], "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[k])) for i, t in SHARED for k in [(i, number(t) if ids[i] > 1 else 0)])
+    got = lines.dedup_lines(spark, spark.createDataFrame(SHARED, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == want
+    assert sum("totally unrelated words" in t for _, t in want) == 2
+
+
 def test_lines_odd(spark, odd, none):
     got = lines.dedup_lines(spark, odd)
     assert got.columns == [*odd.columns, "__v_lines"] and got.count() == odd.count() and lines.dedup_lines(spark, none).count() == 0

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import sys
 import tempfile
-import time
 import types
 import uuid
 
@@ -58,15 +56,18 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nobody holds any more; it does so when the driver collects its garbage.
+def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """docs with ``__v_doc``, the id as a number, and ``__v_sub``, which tells apart the texts that share an id.
 
-    Python's references reach the JVM with a delay, hence the second round.
+    ``__v_sub`` is 0 where a single row has the id, which the id column alone tells, else a hash of
+    the text: rows of one id and equal text are the same document. A null id stays null.
     """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    own = docs.withColumn("__v_doc", F.col(id_col).cast("long"))
+    shared = cut(own.where("__v_doc IS NOT NULL").groupBy("__v_doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__v_doc", F.lit(True).alias("__v_shared")))
+    if shared.isEmpty():
+        return own.withColumn("__v_sub", F.lit(0).cast("long"))
+    side = F.broadcast(shared) if is_small(shared, 24) else shared
+    return own.join(side, "__v_doc", "left").withColumn("__v_sub", F.when(F.col("__v_shared"), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))).drop("__v_shared")
 
 
 def is_small(df: DataFrame, row_bytes: Column | int, bound: int = BROADCAST_BYTES) -> bool:

@@ -5,42 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, is_small, let, release, stored, table
+from .common import cut, discard, is_small, keyed, let, stored, table
 from .quality import BLANK, word_array
 
 #: Lines are alike at this Jaccard similarity of their token sets or more: 4/5.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Token counts are kept in so many slots whatever the size of the corpus; tokens share slots by hash.
-SLOTS = 1 << 17
-#: Under each of the last STAR_TOKENS of its prefix that more than CROWD lines of its size have there, a line is first compared with at most HEADS of those.
-STAR_TOKENS, CROWD, HEADS = 6, 4, 12
-#: Lines of so many tokens have parities of two, and of four words.
-WIDE = (16, 64)
-PARITY = ("p0", "p1", "p2", "p3")
+#: Token counts are kept in one slot for so many bytes of text, a power of two between these bounds; tokens share slots by hash.
+SLOT_BYTES, SLOTS = 1024, (1 << 12, 1 << 22)
+#: Lines with one of their CROWD_KEYS keys in common with more than CROWD lines are first compared with HEADS of those at most.
+CROWD_KEYS, CROWD, HEADS = 3, 4, 2
+#: Sets of so many tokens have a parity of two words.
+WIDE = 64
+PLACE = ("doc", "sub", "pos")
+#: Bits of a token's key that hold its hash, below its rarity class.
+HASH_BITS = 56
 
 
-def _low(h: Column) -> Column:
-    """A hash's slot: its low bits."""
-    return h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+def tokens(line: Column) -> Column:
+    """A line's tokens. Splitting at single spaces is the quick way, open to lines without other blanks or empty parts."""
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for blank in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(line, F.lit(blank))
+    return F.when(odd, word_array(line)).otherwise(F.split(line, " "))
 
 
-def rarity(lines: DataFrame, text: str) -> DataFrame:
-    """One row with an array of SLOTS classes, 0 to 255: four for each doubling of a slot's token count over the whole corpus."""
-    spark = lines.sparkSession
-    tokens = lines.select(F.explode(F.split(text, "[ \\t-\\r]+")).alias("w")).select(_low(F.xxhash64("w")).alias("s"), F.lit(1).cast("long").alias("n"))
-    every = spark.range(SLOTS).select(F.col("id").cast("int").alias("s"), F.lit(0).cast("long").alias("n"))
-    counts = tokens.groupBy("s").agg(F.sum("n").alias("n")).union(every).groupBy("s").agg(F.sum("n").alias("n"))
-    classes = counts.select("s", F.least(F.lit(255), F.floor(4 * F.log2(1 + F.col("n")))).cast("int").alias("c"))
-    return classes.agg(F.sort_array(F.collect_list(F.struct("s", "c"))).alias("a")).select(F.col("a.c").alias("a"))
+def _slot(h: Column, slots: int) -> Column:
+    return h.bitwiseAND(F.lit(slots - 1)).cast("int")
 
 
-def token_keys(words: Column, classes: Column) -> Column:
-    """A line's distinct tokens as numbers, rarest class first and by hash within a class: 8 bits of class, 55 of hash."""
+def rarity(docs: DataFrame, text: str, slots: int) -> DataFrame:
+    """One row with an array of ``slots`` classes, 0 to 127: two for each doubling of a slot's token count over the whole corpus."""
+    spark = docs.sparkSession
+    found = docs.select(F.explode(F.split(text, "[ \\t-\\r]+")).alias("w")).select(_slot(F.xxhash64("w"), slots).alias("s"), F.lit(1).cast("long").alias("n"))
+    every = spark.range(slots).select(F.col("id").cast("int").alias("s"), F.lit(0).cast("long").alias("n"))
+    counts = found.groupBy("s").agg(F.sum("n").alias("n")).union(every).groupBy("s").agg(F.sum("n").alias("n"))
+    classes = counts.select("s", F.least(F.lit(127), F.floor(2 * F.log2(1 + F.col("n")))).cast("tinyint").alias("c"))
+    # in two steps, so that the last one gets a few rows
+    parts = classes.groupBy(F.shiftright("s", 12).alias("part")).agg(F.sort_array(F.collect_list(F.struct("s", "c"))).alias("a"))
+    return parts.agg(F.sort_array(F.collect_list(F.struct("part", F.col("a.c").alias("c")))).alias("a")).select(F.flatten("a.c").alias("a"))
+
+
+def token_keys(line: Column, classes: Column, slots: int) -> Column:
+    """A line's distinct tokens as numbers, rarest class first and by hash within a class."""
 
     def key(h):
-        return F.shiftleft(F.get(classes, _low(h)).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(h, 9))
+        rare = F.coalesce(F.get(classes, _slot(h, slots)), F.lit(0).cast("tinyint"))  # never null, which keeps the sort on primitive values
+        return F.shiftleft(rare.cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
 
-    return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), key))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(tokens(line), lambda w: F.xxhash64(w)), key)))
 
 
 def _least_overlap(n: Column) -> Column:
@@ -49,149 +61,146 @@ def _least_overlap(n: Column) -> Column:
 
 
 def exploded(docs: DataFrame) -> DataFrame:
-    """(doc, pos, line) for each line."""
-    return docs.select("doc", F.posexplode(F.split("text", "\\n")).alias("pos", "line"))
+    """(doc, sub, pos, line) for each line."""
+    return docs.select("doc", "sub", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-def _parity(keys: Column, n: Column, word: int) -> Column:
-    """A word of a set's parity: which of its bits are the slot, by hash, of an odd number of members. Long lines have two or four words, the rest of which is 0 for others."""
+def _parity(keys: Column, half: int | None = None) -> Column:
+    """A word of a set's parity: which of its bits are the low bits of an odd number of members, or of those whose next bit is ``half``."""
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    of = lambda ks: F.aggregate(ks, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
-    mine = lambda words: of(F.filter(keys, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(words - 1)) == word))
-    wide = F.when(n >= WIDE[1], mine(4))
-    if word < 2:
-        wide = wide.when(n >= WIDE[0], mine(2))
-    return wide.otherwise(of(keys) if word == 0 else F.lit(0).cast("long"))
+    mine = keys if half is None else F.filter(keys, lambda x: x.bitwiseAND(F.lit(64)) == 64 * half)
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
 
 
 def _differing(x: str, y: str) -> Column:
-    """Bits in which two parities differ, folded to the words that both have: no more than the members of one set alone."""
-    w = [F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}")) for k in range(4)]
-    least = F.least(_n(x), _n(y))
-    two = F.bit_count(w[0].bitwiseXOR(w[2])) + F.bit_count(w[1].bitwiseXOR(w[3]))
-    one = F.bit_count(w[0].bitwiseXOR(w[1]).bitwiseXOR(w[2]).bitwiseXOR(w[3]))
-    return F.when(least >= WIDE[1], sum((F.bit_count(v) for v in w[1:]), F.bit_count(w[0]))).when(least >= WIDE[0], two).otherwise(one)
+    """Bits in which two parities differ, folded to one word unless both have two: no more than the members of one set alone."""
+    p, q = (F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}")) for w in ("p", "q"))
+    return F.when(F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) >= WIDE, F.bit_count(p) + F.bit_count(q)).otherwise(F.bit_count(p.bitwiseXOR(q)))
 
 
-def first_lines(docs: DataFrame) -> DataFrame:
+def first_lines(docs: DataFrame, slots: int) -> DataFrame:
     """A row for each different line with a token: where it is first, its number of tokens, its prefix and its set's parity."""
     # the classes come in after the lines are made: a generator would copy them with each line
-    per_line = exploded(docs).where(F.btrim("line", F.lit(BLANK)) != "").withColumn("classes", rarity(docs, "text").scalar())
-    per_line = per_line.select("doc", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), token_keys(word_array(F.col("line")), F.col("classes")).alias("keys"))
-
-    def shape(k):
-        n = F.size(k)
-        return F.struct(
+    some = (F.col("line") >= "!") | (F.btrim("line", F.lit(BLANK)) != "")
+    per_line = exploded(docs).where(some).withColumn("classes", rarity(docs, "text", slots).scalar())
+    per_line = per_line.select(*PLACE, F.xxhash64("line").alias("h"), F.hash("line").alias("g"), token_keys(F.col("line"), F.col("classes"), slots).alias("keys"))
+    n = F.size("keys")
+    shaped = per_line.select(
+        *PLACE, "h", "g",
+        F.struct(
             n.alias("n"),
-            F.slice(k, 1, n - _least_overlap(n) + 1).alias("prefix"),
-            *[_parity(k, n, word).alias(f"p{word}") for word in range(4)],
-        )
+            F.slice("keys", 1, n - _least_overlap(n) + 1).alias("prefix"),
+            F.when(n >= WIDE, _parity(F.col("keys"), 0)).otherwise(_parity(F.col("keys"))).alias("p"),
+            F.when(n >= WIDE, _parity(F.col("keys"), 1)).otherwise(F.lit(0).cast("long")).alias("q"),
+        ).alias("s"),
+    )
+    firsts = shaped.groupBy("h", "g").agg(F.min(F.struct(*PLACE)).alias("at"), F.first("s").alias("s"), F.count(F.lit(1)).alias("copies"))
+    return firsts.select("h", "g", "at.*", "s.*", "copies")
 
-    shaped = per_line.select("doc", "pos", "h", "g", let(F.col("keys"), shape).alias("s"))
-    firsts = shaped.groupBy("h", "g").agg(F.min(F.struct("doc", "pos")).alias("at"), F.first("s").alias("s"), F.count(F.lit(1)).alias("copies"))
-    return firsts.select("h", "g", "at.doc", "at.pos", "s.n", "s.prefix", *[f"s.p{k}" for k in range(4)], "copies")
 
+def _before(x: str, y: str) -> Column:
+    a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
+    return (a("doc") < b("doc")) | ((a("doc") == b("doc")) & (F.struct(a("sub"), a("pos")) < F.struct(b("sub"), b("pos"))))
 
-def _alike(x: str, y: str, first: bool = True) -> Column:
-    """The length, parity and positional filters on two postings of a token; each keeps all pairs that are alike.
 
-    The positional one counts on no common token before this one, and so keeps a pair at its first
-    common token; without ``first`` it is left out.
-    """
-    nx, ny = _n(x), _n(y)
-    # overlap >= t / (1 + t) (nx + ny), times 1 + t
-    need = NUMERATOR * (nx + ny)
-    whole = NUMERATOR + DENOMINATOR
+def _alike(x: str, y: str) -> Column:
+    """The length and parity filters: false only for sets that aren't alike."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
     length = (DENOMINATOR * nx >= NUMERATOR * ny) & (DENOMINATOR * ny >= NUMERATOR * nx)
-    position = whole * (1 + F.least(nx - _i(x), ny - _i(y))) >= need
-    # the symmetric difference has nx + ny - 2 overlap members, and no fewer than the bits in which the parities differ
-    parity = whole * (nx + ny - _differing(x, y)) >= 2 * need
-    return length & position & parity if first else length & parity
-
-
-def _postings(firsts: DataFrame, settled: Column, last: int | None = None) -> DataFrame:
-    """(token, p0, doc, pos, shape, p1, p2, p3) for each prefix token, or for the last few of them. shape: the set's size, the token's place from 1, and whether the line is settled.
-
-    The order and packing keep what is alike from row to row together, for the shuffle's compression.
-    """
-    start = F.greatest(F.size("prefix") - last + 1, F.lit(1)) if last else F.lit(1)
-    tokens = F.slice("prefix", start, last) if last else F.col("prefix")
-    each = firsts.select("doc", "pos", "n", *PARITY, settled.cast("long").alias("settled"), start.alias("start"), F.posexplode(tokens).alias("i", "token"))
-    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft((F.col("i") + F.col("start")).cast("long"), 1)).bitwiseOR(F.col("settled"))
-    return each.select("token", "p0", "doc", "pos", packed.alias("shape"), *PARITY[1:])
+    # overlap >= t / (1 + t) (nx + ny); the symmetric difference has nx + ny - 2 overlap members, and no fewer than the bits in which the parities differ
+    whole = NUMERATOR + DENOMINATOR
+    return length & (whole * (nx + ny - _differing(x, y)) >= 2 * NUMERATOR * (nx + ny))
 
 
-def _n(side: str) -> Column:
-    return F.shiftright(F.col(f"{side}.shape"), 32)
+def _position(x: str, y: str) -> Column:
+    """The positional filter on two postings of a token, for a pair's first common token: what comes after it in both sets can't be enough."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    i, j = (F.shiftright(f"{side}.at", 1) for side in (x, y))
+    return (NUMERATOR + DENOMINATOR) * (1 + F.least(nx - i, ny - j)) >= NUMERATOR * (nx + ny)
 
 
-def _i(side: str) -> Column:
-    return F.shiftright(F.col(f"{side}.shape"), 1).bitwiseAND(F.lit((1 << 31) - 1))
+def _ends(x: str, y: str) -> list[Column]:
+    return [F.col(f"{side}.{c}").alias(f"{name}{c}") for side, name in ((x, "x"), (y, "y")) for c in PLACE]
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc, pos) of the later lines of pairs (xd, xp, yd, yp) whose token sets are alike, by the words themselves."""
-    pairs = cut(pairs.distinct())
-    ends = pairs.select(F.col("xd").alias("doc"), F.col("xp").alias("pos")).union(pairs.select("yd", "yp")).distinct()
-    wanted = cut(ends.groupBy("doc").agg(F.collect_list("pos").alias("wanted")))
-    side = F.broadcast(wanted) if is_small(wanted, 32 + 4 * F.size("wanted")) else wanted
-    held = docs.join(side, "doc")
-    held = held.select("doc", "wanted", F.split("text", "\\n").alias("ls")).select("doc", F.explode(F.transform("wanted", lambda p: F.struct(p.alias("pos"), F.get("ls", p).alias("line")))).alias("w"))
-    words = held.select("doc", F.col("w.pos").alias("pos"), F.array_distinct(word_array(F.col("w.line"))).alias("ws"))
-    x = words.select(F.col("doc").alias("xd"), F.col("pos").alias("xp"), F.col("ws").alias("xs"))
-    y = words.select(F.col("doc").alias("yd"), F.col("pos").alias("yp"), F.col("ws").alias("ys"))
-    joined = pairs.join(x, ["xd", "xp"]).join(y, ["yd", "yp"])
+    """The places of the later lines y of pairs whose token sets are alike, by the words themselves."""
+    pairs = cut(pairs)
+    side_of = lambda s: [F.col(f"{s}{c}").alias(c) for c in PLACE]
+    wanted = cut(pairs.select(*side_of("x")).union(pairs.select(*side_of("y"))).distinct().groupBy("doc", "sub").agg(F.collect_list("pos").alias("wanted")))
+    side = F.broadcast(wanted) if is_small(wanted, 40 + 4 * F.size("wanted")) else wanted
+    held = docs.join(side, ["doc", "sub"]).select("doc", "sub", "wanted", F.split("text", "\n").alias("ls"))
+    held = held.select("doc", "sub", F.explode(F.transform("wanted", lambda p: F.struct(p.alias("pos"), F.get("ls", p).alias("line")))).alias("w"))
+    words = held.select("doc", "sub", F.col("w.pos").alias("pos"), F.col("w.line").alias("line"))
+    named = lambda s: words.select(*[F.col(c).alias(f"{s}{c}") for c in PLACE], F.col("line").alias(f"{s}s"))
+    joined = pairs.join(named("x"), [f"x{c}" for c in PLACE]).join(named("y"), [f"y{c}" for c in PLACE])
+    distinct = lambda c: F.array_distinct(tokens(F.col(c)))
+    sets = joined.select(*[f"y{c}" for c in PLACE], distinct("xs").alias("xs"), distinct("ys").alias("ys"))
     both = F.size(F.array_intersect("xs", "ys"))
     same = DENOMINATOR * both >= NUMERATOR * (F.size("xs") + F.size("ys") - both)
-    return joined.where(same).select(F.col("yd").alias("doc"), F.col("yp").alias("pos")).distinct()
+    return sets.where(same).select(*side_of("y")).distinct()
+
+
+def crowds(firsts: DataFrame) -> DataFrame:
+    """Pairs of a line of a crowd and the likeliest match among a few heads of it, at most one for each line.
+
+    A line's keys are the least of its prefix tokens by a few hashes, so that near copies, whatever
+    their edits, share most of them. A crowd is the lines with a key in common, and its heads are the
+    earliest of each of HEADS groups of them by hash: the cost is in proportion to the crowd.
+    """
+    keys = F.array(*[F.array_min(F.transform("prefix", lambda t, r=r: F.xxhash64(t, F.lit(r)))) for r in range(CROWD_KEYS)])
+    keyed_ = firsts.select(*PLACE, "n", "p", "q", F.explode(keys).alias("key"))
+    part = F.pmod(F.xxhash64(*PLACE), F.lit(HEADS))
+    heads = []
+    for k in range(HEADS):  # by min_by alone, which needs no sort
+        own = F.when(part == k, F.col("doc"))
+        heads.append(F.struct(F.min(own).alias("doc"), *[F.min_by(c, own).alias(c) for c in ("sub", "pos", "n", "p", "q")]))
+    found = keyed_.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *[h.alias(f"h{k}") for k, h in enumerate(heads)]).where(F.col("c") > CROWD)
+    x = cut(found.select("key", F.explode(F.array(*[f"h{k}" for k in range(HEADS)])).alias("x")).select("key", "x.*").where("doc IS NOT NULL"))
+    x = (F.broadcast(x) if is_small(x, 64) else x).alias("x")
+    stars = keyed_.alias("y").join(x, (F.col("x.key") == F.col("y.key")) & _before("x", "y") & _alike("x", "y"))
+    likely = stars.select(*_ends("x", "y"), _differing("x", "y").alias("d")).groupBy(*[f"y{c}" for c in PLACE])
+    return likely.agg(*[F.min_by(f"x{c}", "d").alias(f"x{c}") for c in PLACE])
 
 
 def later_matches(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(doc, pos) of the first places of lines that are alike to a different line with an earlier first place.
+    """Places of the lines that are alike to a different line with an earlier first place.
 
-    Where many lines of a size share one of their prefix's last tokens, as near copies do, for an
-    edit's new tokens are rarer and come before those, each is first compared with the earliest of
-    each of HEADS groups of them by hash. That finds a match for most members of a large group at
-    a cost in proportion to the group; only lines that this leaves meet all earlier lines with a
-    prefix token in common, so that nothing is lost.
+    Lines of crowds are compared with a few heads first, which finds a match for most members of a
+    large group; only lines that this leaves meet all earlier lines with a prefix token in common,
+    so that nothing is lost.
     """
-    before = lambda x, y: F.struct(F.col(f"{x}.doc"), F.col(f"{x}.pos")) < F.struct(F.col(f"{y}.doc"), F.col(f"{y}.pos"))
-    ends = lambda: (F.col("x.doc").alias("xd"), F.col("x.pos").alias("xp"), F.col("y.doc").alias("yd"), F.col("y.pos").alias("yp"))
-    late = _postings(firsts, F.lit(False), STAR_TOKENS).withColumn("n", F.shiftright("shape", 32).cast("int"))
-    hot = late.groupBy("token", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("token", "n")
-    crowd = late.join(hot, ["token", "n"])
-    salt = F.pmod(F.xxhash64("doc", "pos"), F.lit(HEADS))
-    heads = crowd.groupBy("token", "n", salt.alias("salt")).agg(F.min(F.struct("doc", "pos", "shape", *PARITY)).alias("m")).select("token", "n", "m.*")
-    stars = crowd.alias("y").join(heads.alias("x"), (F.col("x.token") == F.col("y.token")) & (F.col("x.n") == F.col("y.n")) & before("x", "y") & _alike("x", "y", first=False))
-    found = cut(verified(docs, stars.select(*ends())))
-    del late, hot, crowd, heads, stars
-    release(docs.sparkSession)
-    settled = found.select("doc", "pos", F.lit(True).alias("settled"))
-    side = F.broadcast(settled) if is_small(settled, 32) else settled
-    marked = firsts.join(side, ["doc", "pos"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    postings = _postings(marked, F.col("settled"))
+    found = cut(verified(docs, crowds(firsts)))
+    settled = found.withColumn("settled", F.lit(True))
+    marked = firsts.join(F.broadcast(settled) if is_small(settled, 40) else settled, list(PLACE), "left")
+    postings = marked.select(*PLACE, "n", "p", "q", F.coalesce("settled", F.lit(False)).cast("int").alias("settled"), F.posexplode("prefix").alias("i", "token"))
+    # at: the token's place in its line from 1, and in the lowest bit whether the line is settled; so both sides read the same exchange
+    postings = postings.select("token", *PLACE, "n", F.shiftleft(F.col("i") + 1, 1).bitwiseOR(F.col("settled")).alias("at"), "p", "q")
     x, y = postings.alias("x"), postings.alias("y")
-    # one condition on both sides, so that both read the same exchange
-    open_ = F.when(F.col("y.shape").bitwiseAND(F.lit(1)) == 1, F.lit(False)).otherwise(before("x", "y"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & open_ & _alike("x", "y"))
-    return found.union(verified(docs, pairs.select(*ends()))).distinct()
+    open_ = F.when(F.col("y.at").bitwiseAND(F.lit(1)) == 1, F.lit(False)).otherwise(_before("x", "y"))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & open_ & _position("x", "y") & _alike("x", "y"))
+    return found.union(verified(docs, pairs.select(*_ends("x", "y")).distinct())).distinct()
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, removed): the positions of the lines that match an earlier line, removed or not, for each document that has any.
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """(doc, sub, removed): the positions of the lines that match an earlier line, removed or not, for each of keyed() documents that has any.
 
     Lines are what line feeds separate, tokens runs of non-blank characters, a line's set its distinct
-    tokens; places are ordered by document id, then position. Two lines match if their sets are equal
-    or have a Jaccard similarity of 4/5 or more; lines without tokens match nothing. Null ids and
-    null and empty texts have no lines. Rows that share an id are one document.
+    tokens; places are ordered by document id, then, where texts share an id, by the text's number,
+    then by position. Two lines match if their sets are equal or have a Jaccard similarity of 4/5 or
+    more; lines without tokens match nothing. Null ids and null and empty texts have no lines, an
+    empty table gives none. Rows of one id with different texts are different documents, rows of one
+    id and equal text the same. Texts and lines of any length are read whole.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    firsts = stored(first_lines(docs))
-    release(docs.sparkSession)
-    copied = firsts.where("copies > 1").select("h", "g", F.col("doc").alias("fd"), F.col("pos").alias("fp"))
-    lines = exploded(docs).select("doc", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
-    copies = lines.join(copied, ["h", "g"]).where((F.col("doc") != F.col("fd")) | (F.col("pos") != F.col("fp"))).select("doc", "pos")
-    removed = cut(copies.union(later_matches(docs, firsts)).groupBy("doc").agg(F.collect_set("pos").alias("removed")))
+    docs = docs.where("doc IS NOT NULL AND text IS NOT NULL")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    slots = min(SLOTS[1], max(SLOTS[0], 1 << (size // SLOT_BYTES).bit_length()))
+    firsts = stored(first_lines(docs, slots))
+    copied = firsts.where("copies > 1").select("h", "g", *[F.col(c).alias(f"f{c}") for c in PLACE])
+    lines = exploded(docs).select(*PLACE, F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
+    side = F.broadcast(copied) if is_small(copied, 48) else copied
+    copies = lines.join(side, ["h", "g"]).where(F.struct(*PLACE) != F.struct("fdoc", "fsub", "fpos")).select(*PLACE)
+    removed = cut(copies.union(later_matches(docs, firsts)).groupBy("doc", "sub").agg(F.collect_set("pos").alias("removed")))
     discard(firsts)
     return removed
 
@@ -217,10 +226,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     All rows and columns stay, null texts as null; a text may end up empty. The positions to remove
     are broadcast if they are measured to be few, else joined by a shuffle.
     """
-    removed = repeated_lines(docs, id_col, text).select(F.col("doc").alias("__v_doc"), F.col("removed").alias("__v_removed"))
-    side = F.broadcast(removed) if is_small(removed, 48 + 4 * F.size("__v_removed")) else removed
-    joined = docs.join(side, docs[id_col] == side["__v_doc"], "left")
-    cut_ = joined.withColumn("__v_lines", without_lines(F.col(text), F.col("__v_removed")))
+    own = keyed(docs, id_col, text)
+    removed = repeated_lines(own.select(F.col("__v_doc").alias("doc"), F.col("__v_sub").alias("sub"), F.col(text).alias("text")))
+    removed = removed.select(F.col("doc").alias("__v_doc"), F.col("sub").alias("__v_sub"), F.col("removed").alias("__v_removed"))
+    side = F.broadcast(removed) if is_small(removed, 56 + 4 * F.size("__v_removed")) else removed
+    cut_ = own.join(side, ["__v_doc", "__v_sub"], "left").withColumn("__v_lines", without_lines(F.col(text), F.col("__v_removed")))
     return cut_.select(*[F.col("__v_lines.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], "__v_lines")
 
 
