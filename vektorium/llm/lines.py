@@ -10,8 +10,8 @@ from .quality import BLANK, word_array
 
 #: Lines are alike at this Jaccard similarity of their token sets or more: 4/5.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Token counts are kept in one slot for so many bytes of text, a power of two between these bounds; tokens share slots by hash.
-SLOT_BYTES, SLOTS = 1024, (1 << 12, 1 << 22)
+#: Token counts are kept in so many slots for each document, a power of two between these bounds; tokens share slots by hash.
+DOCUMENT_SLOTS, SLOTS = 2, (1 << 14, 1 << 22)
 #: Lines with one of their CROWD_KEYS keys in common with more than CROWD lines are first compared with HEADS of those at most.
 CROWD_KEYS, CROWD, HEADS = 3, 4, 2
 #: Sets of so many tokens have a parity of two words.
@@ -65,21 +65,25 @@ def exploded(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "sub", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-def _parity(keys: Column, half: int | None = None) -> Column:
-    """A word of a set's parity: which of its bits are the low bits of an odd number of members, or of those whose next bit is ``half``."""
+def _parity(keys: Column) -> Column:
+    """Which of 64 bits are the low bits of an odd number of members."""
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    mine = keys if half is None else F.filter(keys, lambda x: x.bitwiseAND(F.lit(64)) == 64 * half)
-    return F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
 
 
 def _differing(x: str, y: str) -> Column:
-    """Bits in which two parities differ, folded to one word unless both have two: no more than the members of one set alone."""
+    """Bits in which two sets' parities differ: no more than the members of one set alone.
+
+    Two sets of WIDE tokens are told apart by twice as many bits: q is the parity of the members with
+    another bit, and so p without q that of the rest.
+    """
     p, q = (F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}")) for w in ("p", "q"))
-    return F.when(F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) >= WIDE, F.bit_count(p) + F.bit_count(q)).otherwise(F.bit_count(p.bitwiseXOR(q)))
+    both = F.bit_count(p.bitwiseXOR(q)) + F.bit_count(q)
+    return F.when(F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) >= WIDE, both).otherwise(F.bit_count(p))
 
 
 def first_lines(docs: DataFrame, slots: int) -> DataFrame:
-    """A row for each different line with a token: where it is first, its number of tokens, its prefix and its set's parity."""
+    """A row for each different line with a token: where it is first, its number of tokens, its prefix, its set's parity and its keys for crowds()."""
     # the classes come in after the lines are made: a generator would copy them with each line
     some = (F.col("line") >= "!") | (F.btrim("line", F.lit(BLANK)) != "")
     per_line = exploded(docs).where(some).withColumn("classes", rarity(docs, "text", slots).scalar())
@@ -90,12 +94,13 @@ def first_lines(docs: DataFrame, slots: int) -> DataFrame:
         F.struct(
             n.alias("n"),
             F.slice("keys", 1, n - _least_overlap(n) + 1).alias("prefix"),
-            F.when(n >= WIDE, _parity(F.col("keys"), 0)).otherwise(_parity(F.col("keys"))).alias("p"),
-            F.when(n >= WIDE, _parity(F.col("keys"), 1)).otherwise(F.lit(0).cast("long")).alias("q"),
+            _parity(F.col("keys")).alias("p"),
+            F.when(n >= WIDE, _parity(F.filter("keys", lambda x: x.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long")).alias("q"),
         ).alias("s"),
     )
     firsts = shaped.groupBy("h", "g").agg(F.min(F.struct(*PLACE)).alias("at"), F.first("s").alias("s"), F.count(F.lit(1)).alias("copies"))
-    return firsts.select("h", "g", "at.*", "s.*", "copies")
+    least = [F.array_min(F.transform("prefix", lambda t, r=r: F.xxhash64(t, F.lit(r)))) for r in range(CROWD_KEYS)]
+    return firsts.select("h", "g", "at.*", "s.*", "copies").withColumn("least", F.array(*least))
 
 
 def _before(x: str, y: str) -> Column:
@@ -148,8 +153,7 @@ def crowds(firsts: DataFrame) -> DataFrame:
     their edits, share most of them. A crowd is the lines with a key in common, and its heads are the
     earliest of each of HEADS groups of them by hash: the cost is in proportion to the crowd.
     """
-    keys = F.array(*[F.array_min(F.transform("prefix", lambda t, r=r: F.xxhash64(t, F.lit(r)))) for r in range(CROWD_KEYS)])
-    keyed_ = firsts.select(*PLACE, "n", "p", "q", F.explode(keys).alias("key"))
+    keyed_ = firsts.select(*PLACE, "n", "p", "q", F.explode("least").alias("key"))
     part = F.pmod(F.xxhash64(*PLACE), F.lit(HEADS))
     heads = []
     for k in range(HEADS):  # by min_by alone, which needs no sort
@@ -159,8 +163,12 @@ def crowds(firsts: DataFrame) -> DataFrame:
     x = cut(found.select("key", F.explode(F.array(*[f"h{k}" for k in range(HEADS)])).alias("x")).select("key", "x.*").where("doc IS NOT NULL"))
     x = (F.broadcast(x) if is_small(x, 64) else x).alias("x")
     stars = keyed_.alias("y").join(x, (F.col("x.key") == F.col("y.key")) & _before("x", "y") & _alike("x", "y"))
-    likely = stars.select(*_ends("x", "y"), _differing("x", "y").alias("d")).groupBy(*[f"y{c}" for c in PLACE])
-    return likely.agg(*[F.min_by(f"x{c}", "d").alias(f"x{c}") for c in PLACE])
+    return likeliest(stars.select(*_ends("x", "y"), _differing("x", "y").alias("d")))
+
+
+def likeliest(pairs: DataFrame) -> DataFrame:
+    """Of each later line's pairs the one whose parities differ least, and how many it had."""
+    return pairs.groupBy(*[f"y{c}" for c in PLACE]).agg(*[F.min_by(f"x{c}", "d").alias(f"x{c}") for c in PLACE], F.count(F.lit(1)).alias("c"))
 
 
 def later_matches(docs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -179,7 +187,14 @@ def later_matches(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     x, y = postings.alias("x"), postings.alias("y")
     open_ = F.when(F.col("y.at").bitwiseAND(F.lit(1)) == 1, F.lit(False)).otherwise(_before("x", "y"))
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & open_ & _position("x", "y") & _alike("x", "y"))
-    return found.union(verified(docs, pairs.select(*_ends("x", "y")).distinct())).distinct()
+    pairs = cut(pairs.select(*_ends("x", "y"), _differing("x", "y").alias("d")).distinct())
+    # the likeliest pair of each line first; all others only of lines for which that was not one
+    best = cut(likeliest(pairs))
+    more = cut(verified(docs, best))
+    named = [F.col(c).alias(f"y{c}") for c in PLACE]
+    left = cut(best.where("c > 1").join(more.select(*named), [f"y{c}" for c in PLACE], "left_anti").select(*[f"y{c}" for c in PLACE]))
+    rest = pairs.join(F.broadcast(left) if is_small(left, 40) else left, [f"y{c}" for c in PLACE], "left_semi")
+    return found.union(more).union(verified(docs, rest)).distinct()
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -192,9 +207,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     empty table gives none. Rows of one id with different texts are different documents, rows of one
     id and equal text the same. Texts and lines of any length are read whole.
     """
+    slots = min(SLOTS[1], max(SLOTS[0], 1 << (DOCUMENT_SLOTS * docs.count()).bit_length() - 1))
     docs = docs.where("doc IS NOT NULL AND text IS NOT NULL")
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    slots = min(SLOTS[1], max(SLOTS[0], 1 << (size // SLOT_BYTES).bit_length()))
     firsts = stored(first_lines(docs, slots))
     copied = firsts.where("copies > 1").select("h", "g", *[F.col(c).alias(f"f{c}") for c in PLACE])
     lines = exploded(docs).select(*PLACE, F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
