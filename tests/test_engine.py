@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from vektorium.functions import scalars as s
 from vektorium.functions.features import is_valid, request_features
-from vektorium.operators import evaluate, index, kmeans, search
+from vektorium.operators import evaluate, index, kmeans, ranges, search
 from vektorium.schema import DIM
 from vektorium.sources import records, requests
 
+#: A Saturday's purchase. Expected values are worked out by hand in the tests.
 PAYLOAD = {
-    "id": "tx-1",
-    "transaction": {"amount": 250.0, "installments": 1, "requested_at": "2026-03-11T03:45:53Z"},
-    "customer": {"avg_amount": 100.0, "tx_count_24h": 3, "known_merchants": ["MERC-001"]},
-    "merchant": {"id": "MERC-002", "mcc": "5411", "avg_amount": 200.0},
-    "terminal": {"is_online": False, "card_present": True, "km_from_home": 12.5},
+    "id": "order 77",
+    "transaction": {"amount": 1234.5, "installments": 6, "requested_at": "2025-11-15T21:07:30Z"},
+    "customer": {"avg_amount": 617.25, "tx_count_24h": 5, "known_merchants": ["bakery", "garage"]},
+    "merchant": {"id": "garage", "mcc": "7801", "avg_amount": 2500.0},
+    "terminal": {"is_online": True, "card_present": False, "km_from_home": 40.0},
     "last_transaction": None,
 }
 
@@ -30,27 +31,28 @@ def parsed(spark, payload):
     return spark.createDataFrame([(body,)], "body string").select(requests.parse_body(F.col("body")).alias("r"))
 
 
-def test_canonical_payload(spark):
+def test_features_of_a_request(spark):
     df = parsed(spark, PAYLOAD)
     got = df.select(*[f.alias(f"f{k}") for k, f in enumerate(request_features(F.col("r")))]).first()
-    assert list(got) == [0.025, 0.0833, 0.25, 0.1304, 0.3333, -1.0, -1.0, 0.0125, 0.15, 0.0, 1.0, 1.0, 0.15, 0.02]
+    # 1234.5/10000, 6/12, (1234.5/617.25)/10, 21/23, day 5 of 0-6, no last one twice, 40/1000, 5/20, online, no card, known, risk, 2500/10000
+    assert list(got) == [0.1235, 0.5, 0.2, 0.913, 0.8333, -1.0, -1.0, 0.04, 0.25, 1.0, 0.0, 0.0, 0.8, 0.25]
     assert df.select(is_valid(F.col("r")).alias("x")).first()["x"]
 
 
 def test_features_without_average_and_with_last_transaction(spark):
     payload = json.loads(json.dumps(PAYLOAD))
     payload["customer"]["avg_amount"] = 0.0
-    payload["last_transaction"] = {"timestamp": "2026-03-11T02:45:53Z", "km_from_current": 5000.0}
+    payload["last_transaction"] = {"timestamp": "2025-11-15T09:07:30Z", "km_from_current": 730.0}
     got = list(parsed(spark, payload).select(*request_features(F.col("r"))).first())
-    assert got[2] == 1.0 and got[5] == pytest.approx(round(60 / 1440, 4)) and got[6] == 1.0
+    assert got[2] == 1.0 and got[5] == 0.5 and got[6] == 0.73  # half a day of 1440 minutes
 
 
-@pytest.mark.parametrize("body", ['{"id": 1', "", "[]", json.dumps(PAYLOAD | {"merchant": None}), json.dumps(PAYLOAD | {"transaction": {"amount": 1.0, "installments": 1, "requested_at": "2026-13-11T03:45:53Z"}})])
+@pytest.mark.parametrize("body", ['{"id": 1', "", "[]", json.dumps(PAYLOAD | {"merchant": None}), json.dumps(PAYLOAD | {"transaction": {"amount": 1.0, "installments": 1, "requested_at": "2025-11-31T21:07:30Z"}})])
 def test_malformed_bodies_are_rejected(spark, body):
     assert not parsed(spark, body).select(is_valid(F.col("r")).alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("x", "q"), [(1.0, 10000), (0.0, 0), (-0.5, -10000), (-1.0, -10000), (0.0056, 56), (3.0, 10000), (0.00005, 1)])
+@pytest.mark.parametrize(("x", "q"), [(0.9999, 9999), (0.99996, 10000), (7.25, 10000), (0.00004, 0), (0.12345, 1235), (-0.0001, -10000), (-42.0, -10000), (0.0, 0)])
 def test_quantize(spark, x, q):
     assert one(spark, s.quantize(s.d(x))) == q
 
@@ -65,12 +67,14 @@ def ints(values):
 
 
 def test_distances(spark):
-    q = ints([100] + [0] * 13)
-    assert [one(spark, s.squared_distance(q, ints([v] + [0] * 13))) for v in (50, 150, 0)] == [2500, 2500, 10000]
-    centre = ints([5000] * 14)
-    assert [one(spark, s.squared_distance(centre, ints([v] * 14))) for v in (5000, 0, 10000)] == [0, 14 * 5000**2, 14 * 5000**2]
-    assert one(spark, s.squared_distance(ints([-10000] * 14), ints([10000] * 14))) == 14 * 20000**2
-    assert one(spark, s.box_lower_bound(centre, ints([0] * 14), ints([10000] * 14))) == 0
+    ramp, back = list(range(0, 14000, 1000)), list(range(13000, -1000, -1000))
+    # differences 13000, 11000, ..., 1000 and back: 2 (1 + 9 + 25 + ... + 169) = 910 millions
+    assert one(spark, s.squared_distance(ints(ramp), ints(back))) == 910_000_000
+    assert one(spark, s.squared_distance(ints(ramp), ints(ramp))) == 0
+    assert one(spark, s.squared_distance(ints([-10000, 3] * 7), ints([10000, 7] * 7))) == 7 * (20000**2 + 4**2)
+    # outside of the box by 2000 in the first, by 500 in the last coordinate
+    assert one(spark, s.box_lower_bound(ints([0, *[50] * 12, 900]), ints([2000, *[0] * 13]), ints([9000, *[100] * 12, 400]))) == 2000**2 + 500**2
+    assert one(spark, s.box_lower_bound(ints([7] * 14), ints([7] * 14), ints([8] * 14))) == 0
 
 
 def test_verdicts(spark):
@@ -81,16 +85,18 @@ def test_verdicts(spark):
 
 def test_routing(spark):
     body = json.dumps(PAYLOAD)
+    size = len(body)
     raw = [
-        (1, "GET /ready HTTP/1.1\r\n\r\n", 200),
-        (2, "POST /ready HTTP/1.1\r\n\r\n", 404),
-        (3, f"POST /fraud-score HTTP/1.1\r\nCONTENT-length:\t{len(body)}\r\n\r\n{body}", 200),
-        (4, "POST /fraud-score HTTP/1.1\r\nContent-Length: 100\r\n\r\n", 400),
-        (5, "POST /fraud-score HTTP/1.1\r\n\r\n" + " " * 5000, 413),
+        ("GET /ready HTTP/1.0\r\naccept: text/plain\r\n\r\n", 200),
+        ("GET /fraud-score HTTP/1.1\r\n\r\n", 404),
+        ("DELETE /ready HTTP/1.1\r\n\r\n", 404),
+        (f"POST /fraud-score HTTP/1.1\r\naccept: */*\r\nConTent-lengtH:  {size}\r\n\r\n{body}", 200),
+        (f"POST /fraud-score HTTP/1.1\r\nContent-Length: {size}\r\n\r\n{body[:-2]}", 400),
+        ("POST /fraud-score HTTP/1.1\r\n\r\n" + "x" * 4200, 413),
     ]
-    df = requests.route(spark.createDataFrame(raw, "event_id long, raw string, want int"))
-    assert [r["status"] for r in df.orderBy("event_id").collect()] == [r[2] for r in raw]
-    assert df.where("event_id = 3").first()["content_length"] == len(body)
+    df = requests.route(spark.createDataFrame([(k, *r) for k, r in enumerate(raw)], "event_id long, raw string, want int"))
+    assert [r["status"] for r in df.orderBy("event_id").collect()] == [r[1] for r in raw]
+    assert df.where("event_id = 3").first()["content_length"] == size
 
 
 def test_split_trim(spark):
@@ -134,6 +140,100 @@ def test_index_and_search(spark, tmp_path):
     assert all(votes[2][k] == (votes[1][k] if 1 <= votes[0][k] <= 4 else votes[0][k]) for k in votes[0]) and len(votes[2]) == 30
 
 
+def test_too_few_points_are_refused(spark):
+    p = points(spark, 3)
+    with pytest.raises(ValueError, match="too few"):
+        kmeans.fit(p, 4, 1)
+    with pytest.raises(ValueError, match="too few"):
+        kmeans.fit(p.limit(0), 1, 1)
+    with pytest.raises(ValueError, match="too few"):
+        index.build(p, kmeans.lowest_rows(points(spark, 8), 8))
+
+
+def seeded_again(rows, k, seed):
+    """k-means++ in plain Python: rows of whole numbers."""
+    dist = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    state = seed
+
+    def draw():
+        nonlocal state
+        state = (state * 6364136223846793005 + 1442695040888963407) % 2**64
+        return state
+
+    chosen = [draw() % len(rows)]
+    while len(chosen) < min(k, len(rows)):
+        least = [min(dist(r, rows[c]) for c in chosen) for r in rows]
+        total = sum(least)
+        goal, acc, at = (draw() >> 11) / 2**53 * total if total else 0, 0, 0
+        if total:
+            for at, w in enumerate(least):
+                acc += w
+                if acc >= goal:
+                    break
+        chosen.append(at)
+    return [rows[c] for c in chosen], dist
+
+
+@pytest.mark.parametrize(("n", "k", "size"), [(200, 6, 80), (5, 5, 100), (40, 3, 40)])
+def test_seeding_and_fit_brute_force(spark, n, k, size):
+    p = points(spark, n).cache()
+    drawn = [tuple(r["v"]) for r in kmeans.sample_with_replacement(p, size, 5).orderBy("draw").collect()]
+    all_rows = [tuple(r["v"]) for r in p.orderBy("row_id").collect()]
+    rng = kmeans.Lcg(5)
+    assert drawn == [all_rows[rng.below(n)] for _ in range(min(size, n))]
+    sample = spark.createDataFrame([(i, list(v)) for i, v in enumerate(drawn)], "row_id long, v array<int>")
+    want, dist = seeded_again(drawn, k, 5)
+    assert [tuple(r["c"]) for r in kmeans.seed_plus_plus(sample, k, 5).orderBy("cluster_id").collect()] == want
+    now = [list(map(float, c)) for c in want]
+    for _ in range(3):
+        near = [min(range(len(now)), key=lambda i, r=r: (dist(r, now[i]), i)) for r in drawn]
+        now = [[sum(r[d] for r, b in zip(drawn, near, strict=True) if b == i) * (1.0 / near.count(i)) for d in range(DIM)] if i in near else c for i, c in enumerate(now)]
+    assert [r["c"] for r in kmeans.fit(p, k, 3, seed=5, sample_size=size).orderBy("cluster_id").collect()] == now
+
+
+@pytest.mark.parametrize("few", [10, 50_000])
+def test_ranges(spark, monkeypatch, few):
+    """Ranks, running totals and numbers by ranges are those of the sorted rows, with ties, nulls and far outliers."""
+    monkeypatch.setattr(ranges, "FEW", few)
+    rng = kmeans.Lcg(3)
+    values = sorted([rng.below(50) / 7 for _ in range(400)] + [1e9, -1e9] + [3.25] * 300)
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(5)
+    for rank in (0, 1, 200, 350, len(values) - 1):
+        assert ranges.value_at_rank(df, "x", rank) == values[rank]
+    assert ranges.value_at_rank(df, "x", len(values)) is None and ranges.value_at_rank(df.limit(0), "x", 0) is None
+    want = df.agg(F.percentile("x", F.lit(0.99)).alias("p")).first()["p"]
+    assert evaluate.percentile99(df, "x").first()["p99"] == pytest.approx(want) and evaluate.percentile99(df.limit(0), "x").first()["p99"] is None
+    rows = spark.createDataFrame([(k * k, k % 3, k % 5) for k in range(300)], "row_id long, g int, w long").repartition(4)
+    got = {r["row_id"]: r["place"] for r in ranges.numbered(rows, "row_id", "g").collect()}
+    assert got == {k * k: k // 3 for k in range(300)} and ranges.numbered(rows.limit(0), "row_id").count() == 0
+    acc = 0
+    for k in range(300):
+        acc += k % 5
+        if acc >= 250:
+            break
+    assert [tuple(r) for r in kmeans.weighted_pick(rows, 250).select("row_id", "acc").collect()] == [(k * k, acc)] and kmeans.weighted_pick(rows, 10**6).count() == 0
+
+
+def test_recall_of_the_index(spark):
+    """Recall of the five nearest against brute force, for the queries divisible by 20, over an index fitted on a sample."""
+    p = points(spark, 600).cache()
+    q = p.where("row_id % 20 = 0").select(F.col("row_id").alias("query_id"), F.col("v").alias("q"))
+    clusters, members = index.build(p, kmeans.fit(p, 8, 3, sample_size=300))
+    near = {(r["query_id"], r["row_id"]) for r in search.top(search.probes(q, clusters, 6), members, clusters=clusters).collect()}
+    exact = {(r["query_id"], r["row_id"]) for r in search.knn_exact(q, p).collect()}
+    assert len(near & exact) >= 0.9 * len(exact)
+
+
+def test_a_half_written_index_is_refused(spark, tmp_path):
+    p = points(spark, 40)
+    clusters, members = index.build(p, kmeans.lowest_rows(p, 4))
+    index.write(clusters, members, str(tmp_path / "i"), files=1)
+    tables = next(x for x in (tmp_path / "i").iterdir() if x.name.startswith("tables"))
+    members.limit(3).write.mode("overwrite").parquet(str(tables / "members"))
+    with pytest.raises(ValueError, match="other numbers"):
+        index.read(spark, str(tmp_path / "i"))
+
+
 def test_exact_search_in_blocks(spark, monkeypatch):
     p = points(spark, 300)
     q = p.where("row_id % 10 = 0").select(F.col("row_id").alias("query_id"), F.col("v").alias("q"))
@@ -144,7 +244,7 @@ def test_exact_search_in_blocks(spark, monkeypatch):
 
 
 def test_index_of_another_version_is_refused(spark, tmp_path):
-    spark.createDataFrame([(1, DIM, 8, 3)], "version int, dim int, block_size int, k long").write.parquet(str(tmp_path / "meta"))
+    spark.createDataFrame([(1, DIM, 8, 3, 9, "t")], "version int, dim int, block_size int, k long, n long, tables string").write.parquet(str(tmp_path / "meta"))
     with pytest.raises(ValueError, match="version"):
         index.read(spark, str(tmp_path))
 

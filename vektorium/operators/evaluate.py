@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import value_at_rank
+
 #: Fixed values of the score.
 WEIGHTS = {"fp": 1, "fn": 3, "err": 5}
 P99_FLOOR, P99_CUT, FAILURE_CUT, EPSILON_FLOOR = 1.0, 2000.0, 0.15, 0.001
@@ -30,7 +32,16 @@ def confusion(results: DataFrame) -> DataFrame:
 
 
 def percentile99(results: DataFrame, column: str) -> DataFrame:
-    return results.agg(F.percentile(column, F.lit(0.99)).alias("p99"))
+    """One row with ``p99``, exact and interpolated; null without values. The two ranks it lies between are found by counting ranges of values, so no task holds all values."""
+    spark = results.sparkSession
+    n = results.agg(F.count(column).alias("n")).first()["n"]
+    if not n:
+        return spark.createDataFrame([(None,)], "p99 double")
+    at = (n - 1) * 0.99
+    low = int(at)
+    a = float(value_at_rank(results, column, low))
+    b = a if low + 1 >= n or at == low else float(value_at_rank(results, column, low + 1))
+    return spark.createDataFrame([(a + (b - a) * (at - low),)], "p99 double")
 
 
 def scores(counts: DataFrame) -> DataFrame:
@@ -64,6 +75,11 @@ def report(scored: DataFrame) -> DataFrame:
     )
 
 
+def write_report(reported: DataFrame, path: str) -> None:
+    """The report as one JSON file in a folder, nulls included."""
+    reported.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def label_stats(labelled: DataFrame, label: str) -> DataFrame:
     """One row: total, counts and rates of the two labels."""
     return labelled.agg(

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import BLOCK_SIZE, DIM, INDEX_VERSION
+from ..sources.records import require_at_least
 from .kmeans import assign, rounded
+from .ranges import numbered
 
 
 def sizes(members: DataFrame) -> DataFrame:
@@ -30,29 +34,38 @@ def block_offsets(clusters: DataFrame) -> DataFrame:
 
 
 def block_slots(members: DataFrame) -> DataFrame:
-    """members with ``block`` and ``lane``: their place in the cluster by row_id."""
-    slot = F.row_number().over(Window.partitionBy("cluster_id").orderBy("row_id")) - 1
-    return members.withColumn("slot", slot).withColumns({"block": F.floor(F.col("slot") / BLOCK_SIZE).cast("int"), "lane": F.pmod("slot", F.lit(BLOCK_SIZE)).cast("int")}).drop("slot")
+    """members with ``block`` and ``lane``: their place in the cluster by row_id. A hot cluster is numbered in ranges of row_id."""
+    placed = numbered(members, "row_id", "cluster_id")
+    return placed.withColumns({"block": F.floor(F.col("place") / BLOCK_SIZE).cast("int"), "lane": F.pmod("place", F.lit(BLOCK_SIZE)).cast("int")}).drop("place")
 
 
 def build(points: DataFrame, centroids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(clusters, members): clusters (cluster_id, c, ci, bb_min, bb_max, n), members (row_id, v, label, cluster_id)."""
+    """(clusters, members): clusters (cluster_id, c, ci, bb_min, bb_max, n), members (row_id, v, label, cluster_id). Fewer points than clusters raise a ValueError."""
+    require_at_least(points, centroids.count())
     members = assign(points, centroids).drop("d")
     return rounded(centroids).join(boxes(members, centroids), "cluster_id"), members
 
 
 def write(clusters: DataFrame, members: DataFrame, path: str, files: int = 64) -> None:
-    """Parquet under path: members are dealt and sorted by cluster, so that a probe reads few row groups; a row of meta data comes last."""
-    spark = clusters.sparkSession
-    clusters.write.mode("overwrite").parquet(f"{path}/clusters")
-    members.repartitionByRange(files, "cluster_id", "row_id").sortWithinPartitions("cluster_id", "row_id").write.mode("overwrite").parquet(f"{path}/members")
-    meta = [(INDEX_VERSION, DIM, BLOCK_SIZE, clusters.count())]
-    spark.createDataFrame(meta, "version int, dim int, block_size int, k long").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    """Parquet under path: members are dealt and sorted by cluster, so that a probe reads few row groups.
+
+    Tables go to a new folder each time; the row of meta data that names it comes last, so a
+    reader meets the old index or the new one, never a part of either.
+    """
+    spark, name = clusters.sparkSession, f"tables-{uuid.uuid4().hex}"
+    clusters.write.parquet(f"{path}/{name}/clusters")
+    members.repartitionByRange(files, "cluster_id", "row_id").sortWithinPartitions("cluster_id", "row_id").write.parquet(f"{path}/{name}/members")
+    written = [spark.read.parquet(f"{path}/{name}/{t}").count() for t in ("clusters", "members")]
+    meta = [(INDEX_VERSION, DIM, BLOCK_SIZE, *written, name)]
+    spark.createDataFrame(meta, "version int, dim int, block_size int, k long, n long, tables string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(clusters, members) of an index of this version and shape; any other raises."""
+    """(clusters, members) of an index of this version and shape, and with as many of both as its meta data say; any other raises."""
     meta = spark.read.parquet(f"{path}/meta").first()
     if (meta["version"], meta["dim"], meta["block_size"]) != (INDEX_VERSION, DIM, BLOCK_SIZE):
         raise ValueError(f"not an index of version {INDEX_VERSION}: {meta}")
-    return spark.read.parquet(f"{path}/clusters"), spark.read.parquet(f"{path}/members")
+    clusters, members = (spark.read.parquet(f"{path}/{meta['tables']}/{t}") for t in ("clusters", "members"))
+    if (clusters.count(), members.count()) != (meta["k"], meta["n"]):
+        raise ValueError(f"an index of other numbers of clusters and members than {meta}")
+    return clusters, members

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DIM
+from ..sources.records import require_at_least
+from .ranges import at_total, numbered
 
 #: Centroids that are collected and broadcast at most.
 MAX_CENTROIDS = 65_536
@@ -106,12 +108,13 @@ def lowest_rows(points: DataFrame, k: int) -> DataFrame:
 
 
 def sample_with_replacement(points: DataFrame, m: int, seed: int) -> DataFrame:
-    """(draw, row_id, v): m draws, each any of the points. Draws are made on a numbering of the points by row_id."""
+    """(draw, row_id, v): m draws, no more than there are points, each any of the points. Draws are made on a numbering of the points by row_id. No points give no draws."""
     n = points.count()
     rng = Lcg(seed)
     draws = points.sparkSession.createDataFrame([(k, rng.below(n)) for k in range(min(m, n))], "draw int, place long")
-    ids = points.select("row_id").rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex().toDF("row_id long, place long")
-    return draws.join(ids, "place").join(points.select("row_id", "v"), "row_id").select("draw", "row_id", "v")
+    ids = numbered(points.select("row_id"), "row_id")
+    drawn = F.broadcast(draws).join(ids, "place").select("draw", "row_id")  # bounded by m
+    return F.broadcast(drawn).join(points.select("row_id", "v"), "row_id").select("draw", "row_id", "v")
 
 
 def distance_weights(points: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -119,10 +122,13 @@ def distance_weights(points: DataFrame, chosen: DataFrame) -> DataFrame:
     return assign(points, chosen).withColumn("w", F.col("d").cast("long")).drop("d", "cluster_id")
 
 
-def weighted_pick(points: DataFrame, pick: Column) -> DataFrame:
-    """The first row by row_id at which the running weight reaches pick. The running sum orders all rows: for samples of bounded size."""
-    running = points.withColumn("acc", F.sum("w").over(Window.orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)))
-    return running.where(F.col("acc") >= pick).orderBy("row_id").limit(1)
+def weighted_pick(points: DataFrame, pick: int) -> DataFrame:
+    """The first row by row_id at which the running weight ``acc`` reaches pick; no row if it never does. Ranges of row_id are summed first; only the one that holds the row is ordered."""
+    held = at_total(points, "row_id", F.col("w"), pick)
+    if held is None:
+        return points.withColumn("acc", F.lit(0).cast("long")).limit(0)
+    running = held.withColumn("acc", (F.col("before") + F.sum("w").over(Window.orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0))).cast("long"))
+    return running.where(F.col("acc") >= pick).orderBy("row_id").limit(1).drop("before")
 
 
 def seed_plus_plus(sample: DataFrame, k: int, seed: int) -> DataFrame:
@@ -143,7 +149,9 @@ def fit(points: DataFrame, k: int, iterations: int, seed: int = 42, sample_size:
     """(cluster_id, c) after a fixed number of Lloyd steps on a sample drawn with replacement, seeded by k-means++.
 
     The centroids, which are bounded, are held by the driver between steps, so no lineage grows.
+    Fewer points than k, none included, raise a ValueError.
     """
+    require_at_least(points, k)
     sample = sample_with_replacement(points, sample_size, seed).select(F.col("draw").cast("long").alias("row_id"), "v").cache()
     now = seed_plus_plus(sample, k, seed)
     for _ in range(iterations):

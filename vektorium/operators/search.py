@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import box_lower_bound, squared_distance
 from ..schema import BORDERLINE, FAST_PROBES, FULL_PROBES, TOP_K
+from ..storage import stored
 from .kmeans import nearest
 
 #: Sides of a block of the exact search.
@@ -85,16 +86,20 @@ def scan(probed: DataFrame, members: DataFrame) -> DataFrame:
     return joined.select("query_id", "cluster_id", "probe_rank", "row_id", "label", squared_distance(F.col("q"), F.col("v")).alias("dist"))
 
 
-def top(probed: DataFrame, members: DataFrame, k: int = TOP_K) -> DataFrame:
+def top(probed: DataFrame, members: DataFrame, k: int = TOP_K, clusters: DataFrame | None = None) -> DataFrame:
     """(query_id, cluster_id, probe_rank, row_id, label, dist, rank): the k nearest members of each query's probed clusters.
 
+    With ``clusters``, whose ``n`` tell their numbers of members, the members aren't counted again.
+
     A cluster's members and the queries that probe it are dealt to blocks of bounded size, as many
     as the cluster needs, so a hot cluster is many tasks' work; members of clusters that nobody
     probes go first. Each pair of blocks gives k rows a query at most. The table of block counts has
     a row a cluster, and their number is bounded.
     """
     count = lambda df, n, size: df.groupBy("cluster_id").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(n))
-    shape = F.broadcast(count(members, "mbs", MEMBER_BLOCK).join(count(probed, "qbs", QUERY_BLOCK), "cluster_id"))
+    held = count(members, "mbs", MEMBER_BLOCK) if clusters is None else clusters.where("n > 0").select("cluster_id", F.ceil(F.col("n") / MEMBER_BLOCK).cast("int").alias("mbs"))
+    # a row a cluster, of which nearest() has checked that there are MAX_CENTROIDS at most
+    shape = F.broadcast(held.join(count(probed, "qbs", QUERY_BLOCK), "cluster_id"))
     deal = lambda ids, n: F.pmod(F.xxhash64(ids), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = probed.select("query_id", "q", "cluster_id", "probe_rank").join(shape, "cluster_id").withColumn("qb", deal("query_id", "qbs")).withColumn("mb", every("mbs"))
@@ -115,27 +120,48 @@ def votes(neighbours: DataFrame, queries: DataFrame, name: str = "votes") -> Dat
     return queries.select("query_id").join(counted, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias(name))
 
 
+def pruned(probed: DataFrame, clusters: DataFrame, kth: DataFrame) -> DataFrame:
+    """probed with the lower bound ``lb`` of its clusters' boxes and the query's bound ``kth``, without the clusters whose box is at that distance or beyond: they hold nobody that would come before. Queries without a bound keep all."""
+    boxed = probed.join(F.broadcast(clusters.select("cluster_id", "bb_min", "bb_max")), "cluster_id").join(kth, "query_id", "left")
+    boxed = boxed.withColumn("lb", box_lower_bound(F.col("q"), F.col("bb_min"), F.col("bb_max")))
+    return boxed.where(F.col("kth").isNull() | (F.col("lb") < F.col("kth"))).drop("bb_min", "bb_max")
+
+
+def _kth(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, kth): the k-th distance of queries that have so many neighbours."""
+    return found.where(F.col("rank") == k).select("query_id", F.col("dist").alias("kth"))
+
+
 def bounded(probed: DataFrame, clusters: DataFrame, members: DataFrame, k: int = TOP_K) -> DataFrame:
     """probed without the clusters whose box is too far to matter, with its lower bound ``lb``.
 
-    The k-th distance within the first probe bounds the k-th of all: a box at that distance or beyond
-    holds nobody that would come before. A first probe with fewer than k members bounds nothing.
+    The k-th distance within the first probe bounds the k-th of all. A first probe with fewer than k
+    members bounds nothing.
     """
-    first = top(probed.where("probe_rank = 1"), members, k)
-    kth = first.where(F.col("rank") == k).select("query_id", F.col("dist").alias("kth"))
-    boxed = probed.join(F.broadcast(clusters.select("cluster_id", "bb_min", "bb_max")), "cluster_id").join(kth, "query_id", "left")
-    lb = box_lower_bound(F.col("q"), F.col("bb_min"), F.col("bb_max"))
-    return boxed.withColumn("lb", lb).where((F.col("probe_rank") == 1) | F.col("kth").isNull() | (F.col("lb") < F.col("kth"))).select("query_id", "q", "cluster_id", "cdist", "probe_rank", "lb")
+    first = probed.where("probe_rank = 1")
+    kept = pruned(probed.where("probe_rank > 1"), clusters, _kth(top(first, members, k, clusters), k))
+    columns = ["query_id", "q", "cluster_id", "cdist", "probe_rank", "lb"]
+    return pruned(first, clusters, first.select("query_id", F.lit(None).cast("long").alias("kth"))).select(*columns).union(kept.select(*columns))
 
 
 def ivf_votes(queries: DataFrame, clusters: DataFrame, members: DataFrame, count: int, k: int = TOP_K) -> DataFrame:
-    return votes(top(probes(queries, clusters, count), members, k), queries)
+    return votes(top(probes(queries, clusters, count), members, k, clusters), queries)
 
 
 def ivf_adaptive(queries: DataFrame, clusters: DataFrame, members: DataFrame, fast: int = FAST_PROBES, full: int = FULL_PROBES, k: int = TOP_K) -> DataFrame:
-    """(query_id, votes): by ``fast`` probes, and by ``full`` for queries whose first vote is not unanimous."""
-    near = ivf_votes(queries, clusters, members, fast, k)
-    close = near.where(F.col("votes").between(*BORDERLINE)).select("query_id")
-    again = queries.join(close, "query_id", "left_semi")
-    wide = ivf_votes(again, clusters, members, full, k)
-    return near.where(~F.col("votes").between(*BORDERLINE)).union(wide)
+    """(query_id, votes): by ``fast`` probes, and by ``full`` for queries whose first vote is not unanimous.
+
+    The wide pass goes on where the fast one ended: it scans the further probes of open queries
+    alone, without those that the k-th distance so far prunes, and merges both passes' neighbours.
+    The fast pass' neighbours, k rows a query, are stored, as both passes read them.
+    """
+    probed = probes(queries, clusters, full)
+    near = stored(top(probed.where(F.col("probe_rank") <= fast), members, k, clusters))
+    voted = votes(near, queries)
+    open_ = voted.where(F.col("votes").between(*BORDERLINE)).select("query_id")
+    far = probed.where(F.col("probe_rank") > fast).join(open_, "query_id", "left_semi")
+    wide = top(pruned(far, clusters, _kth(near, k)).select(*probed.columns), members, k, clusters)
+    columns = ["query_id", "probe_rank", "row_id", "label", "dist"]
+    both = near.select(*columns).join(open_, "query_id", "left_semi").union(wide.select(*columns))
+    again = votes(ranked(both, k, "dist", "probe_rank", "row_id"), open_)
+    return voted.join(open_, "query_id", "left_anti").union(again)

@@ -192,6 +192,11 @@ b AS (SELECT pr.query_id, pr.cluster_id, probe_rank, {_lower('q', 'lo', 'hi')} A
         "eval_report": _with(f"c AS (SELECT * FROM ({_CONF}), (SELECT quantile_cont(l_extendedprice/100, 0.99) AS p99 FROM lineitem)),\n" + _SCORED, "SELECT round(p99, 2) AS p99, round(p99_score, 2) AS p99_score, round(failure_rate*100, 2) AS failure_percent, weighted_errors, CASE WHEN NOT failure_rate > CAST(0.15 AS DOUBLE) THEN round(epsilon, 6) END AS epsilon, round(detection_score, 2) AS detection_score, failure_rate > CAST(0.15 AS DOUBLE) AS detection_cut, round(final_score, 2) AS final_score, tp, fn FROM s4"),
         "eval_entries": _with(TX, "SELECT label = 0 AS expected_approved, count(*) AS n, count(last_us) AS with_last FROM tx GROUP BY label = 0"),
         "label_stats": "SELECT count(*) AS total, count(*) FILTER (event_type = 'error') AS fraud_count, count(*) FILTER (event_type <> 'error') AS legit_count, CAST(count(*) FILTER (event_type = 'error') AS DOUBLE)/count(*) AS fraud_rate, CAST(count(*) FILTER (event_type <> 'error') AS DOUBLE)/count(*) AS legit_rate FROM events",
+        "sample_with_replacement": f"WITH RECURSIVE {VEC.strip()}" + """,
+g(k, s) AS (SELECT 0, CAST((CAST(42 AS UHUGEINT)*6364136223846793005 + 1442695040888963407) % 18446744073709551616 AS UHUGEINT)
+            UNION ALL SELECT k + 1, CAST((s*6364136223846793005 + 1442695040888963407) % 18446744073709551616 AS UHUGEINT) FROM g WHERE k < 499),
+p AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS place, count(*) OVER () AS n FROM vec)
+SELECT CAST(k AS INTEGER) AS draw, row_id FROM g JOIN p ON p.place = CAST(g.s % CAST(p.n AS UHUGEINT) AS BIGINT) WHERE k < p.n""",
         "lcg_sequence": """WITH RECURSIVE g(k, s) AS (SELECT 0, CAST((CAST(42 AS UHUGEINT)*6364136223846793005 + 1442695040888963407) % 18446744073709551616 AS UHUGEINT)
             UNION ALL SELECT k + 1, CAST((s*6364136223846793005 + 1442695040888963407) % 18446744073709551616 AS UHUGEINT) FROM g WHERE k < 99)
             SELECT CAST(k AS INTEGER) AS k, CAST(s AS VARCHAR) AS state FROM g""",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ..functions.features import is_valid, request_features, typed_features, vec
 from ..operators import evaluate, index, kmeans, search
 from ..schema import DIM
 from ..sources import fixtures, records, requests
+from ..storage import scratch
 
 #: Clusters and probes of the queries below; the library's defaults are those of the service.
 K, FAST, FULL = 64, 2, 8
@@ -54,7 +53,7 @@ def ref_count(spark, sf_dir):
 
 def ref_scan(spark, sf_dir):
     """Written as a gzipped JSON array and read back."""
-    folder = tempfile.mkdtemp(prefix="vektorium-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.checkpoint.dir") + "/records"
+    folder = scratch(spark)
     records.write_json_array(_records(spark, sf_dir).select("vector", "label", F.lit(1).alias("unknown")), folder)
     return _flat(records.quantised(records.require_valid(records.read_json_array(spark, folder))), "v", "v", "label")
 
@@ -230,7 +229,7 @@ def weighted_pick(spark, sf_dir):
     points = _vectors(spark, sf_dir)
     weighted = kmeans.distance_weights(points, kmeans.lowest_rows(points, 4))
     total = weighted.agg(F.sum("w").alias("t")).first()["t"]
-    return kmeans.weighted_pick(weighted, F.lit(total // 3)).select("row_id", "acc")
+    return kmeans.weighted_pick(weighted, total // 3).select("row_id", "acc")
 
 
 def cluster_sizes(spark, sf_dir):
@@ -262,7 +261,7 @@ def ivf_build(spark, sf_dir):
 def index_roundtrip(spark, sf_dir):
     """Members per cluster of an index that was written and read back."""
     clusters, members, _ = _index(spark, sf_dir)
-    folder = tempfile.mkdtemp(prefix="vektorium-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.checkpoint.dir") + "/index"
+    folder = scratch(spark)
     index.write(clusters, members, folder, files=4)
     again, held = index.read(spark, folder)
     return again.join(index.sizes(held).withColumnRenamed("n", "found"), "cluster_id", "left").select("cluster_id", F.coalesce("found", F.lit(0)).alias("n"))
@@ -357,15 +356,17 @@ def eval_score(spark, sf_dir):
 
 def eval_report(spark, sf_dir):
     counts = evaluate.confusion(_results(spark, sf_dir)).crossJoin(evaluate.percentile99(_table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 100).alias("x")), "x"))
-    r = evaluate.report(evaluate.scores(counts))
+    reported, folder = evaluate.report(evaluate.scores(counts)), scratch(spark)
+    evaluate.write_report(reported, folder)
+    r = spark.read.schema(reported.schema).json(folder)
     return r.select("p99", "p99_score", "failure_percent", "weighted_errors", "epsilon", "detection_score", "detection_cut", "final_score", "breakdown.tp", "breakdown.fn")
 
 
 def eval_entries(spark, sf_dir):
-    """An evaluation file, written and read back."""
-    folder = tempfile.mkdtemp(prefix="vektorium-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.checkpoint.dir") + "/entries"
-    r = fixtures.requests(spark, sf_dir).select(F.struct("request", (F.col("label") == 0).alias("expected_approved")).alias("e"), (F.col("event_id") % 16).alias("part"))
-    r.groupBy("part").agg(F.collect_list("e").alias("entries")).write.mode("overwrite").partitionBy("part").json(folder)
+    """Evaluation files of up to 1,024 entries each, written and read back."""
+    folder = scratch(spark)
+    r = fixtures.requests(spark, sf_dir).select(F.struct("request", (F.col("label") == 0).alias("expected_approved")).alias("e"), F.expr("event_id div 1024").alias("part"))
+    r.groupBy("part").agg(F.collect_list("e").alias("entries")).select("entries").write.json(folder)
     return requests.read_evaluation(spark, folder).groupBy("expected_approved").agg(F.count(F.lit(1)).alias("n"), F.count("request.last_transaction").alias("with_last"))
 
 
@@ -406,7 +407,7 @@ def stream_scores(spark, sf_dir):
     """The answers of the streaming service to all requests, as written by its micro-batches."""
     from ..streaming.scoring import read_requests, score_stream
 
-    folder = tempfile.mkdtemp(prefix="vektorium-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.checkpoint.dir") + "/stream"
+    folder = scratch(spark)
     clusters, members, _ = _index(spark, sf_dir)
     fixtures.http_requests(spark, sf_dir).repartition(4).write.mode("overwrite").json(f"{folder}/in")
     sink = lambda answers, batch: answers.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")

@@ -27,19 +27,22 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         F.round(F.col("value") * 1000).cast("long").alias("cents"),
     )
-    user, merchant = Window.partitionBy("user_id"), Window.partitionBy("k")
+    user = Window.partitionBy("user_id")
     in_order = user.orderBy("us", "event_id")
-    mean = lambda w: F.sum("cents").over(w).cast("double") / F.count(F.lit(1)).over(w) / 100
+    # sums by key are combined map-side and joined back, so a hot key is not one task
+    mean = lambda key, name: e.groupBy(F.col(key).alias("__key")).agg((F.sum("cents").cast("double") / F.count(F.lit(1)) / 100).alias(name))
+    for key, name in (("user_id", "customer_avg"), ("k", "merchant_avg")):
+        e = e.join(mean(key, name), F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
     km_home = F.pmod(F.col("user_id") * 7919 + F.col("event_id") * 104729, F.lit(150000)) / F.lit(100).cast("double")
     return e.select(
         "event_id", "event_type", "us", "k",
         (F.col("cents") / F.lit(100).cast("double")).alias("amount"),
         (F.col("event_id") % 12 + 1).cast("int").alias("installments"),
-        mean(user).alias("customer_avg"),
+        "customer_avg",
         (F.count(F.lit(1)).over(user.orderBy("us").rangeBetween(-DAY_US, 0)) - 1).cast("int").alias("tx_count_24h"),
         F.collect_list("k").over(in_order.rowsBetween(-5, -1)).alias("known"),
         F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (F.col("k") % len(CATEGORIES) + 1).cast("int")).alias("mcc"),
-        mean(merchant).alias("merchant_avg"),
+        "merchant_avg",
         F.col("event_type").isin("click", "view").alias("is_online"),
         (F.col("event_type") == "purchase").alias("card_present"),
         km_home.alias("km_from_home"),
@@ -50,7 +53,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merchant(k):
-    return F.concat(F.lit("MERC-"), F.lpad(k.cast("string"), 3, "0"))
+    return F.concat(F.lit("shop/"), F.lpad(k.cast("string"), 3, "0"))
 
 
 def _iso(us):
@@ -61,7 +64,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, request, label): the transactions as requests."""
     c = F.col
     request = F.struct(
-        F.concat(F.lit("tx-"), c("event_id").cast("string")).alias("id"),
+        F.concat(F.lit("event/"), c("event_id").cast("string")).alias("id"),
         F.struct("amount", "installments", _iso(c("us")).alias("requested_at")).alias("transaction"),
         F.struct(c("customer_avg").alias("avg_amount"), "tx_count_24h", F.transform("known", _merchant).alias("known_merchants")).alias("customer"),
         F.struct(_merchant(c("k")).alias("id"), "mcc", c("merchant_avg").alias("avg_amount")).alias("merchant"),
@@ -84,9 +87,9 @@ def queries_of(all_vectors: DataFrame) -> DataFrame:
 def http_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, raw): an HTTP request for each event, of all sorts the router tells apart."""
     e, body = F.col("event_id"), F.to_json("request")
-    post = lambda b: F.concat(F.lit("POST /fraud-score HTTP/1.1\r\nHost: x\r\ncontent-length: "), F.octet_length(b).cast("string"), F.lit("\r\nConnection: keep-alive\r\n\r\n"), b)
+    post = lambda b: F.concat(F.lit("POST /fraud-score HTTP/1.1\r\nHost: scores.example\r\ncontent-length: "), F.octet_length(b).cast("string"), F.lit("\r\nConnection: keep-alive\r\n\r\n"), b)
     raw = (
-        F.when(e % 7 == 0, F.lit("GET /ready HTTP/1.1\r\nHost: x\r\n\r\n"))
+        F.when(e % 7 == 0, F.lit("GET /ready HTTP/1.1\r\nHost: scores.example\r\n\r\n"))
         .when(e % 7 == 1, F.lit("GET /nowhere HTTP/1.1\r\nConnection: close\r\n\r\n"))
         .when(e % 7 == 2, post(F.lit('{"id": "broken"')))
         .when(e % 7 == 3, post(F.rpad(F.lit("{"), 5000, " ")))
