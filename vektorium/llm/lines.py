@@ -99,8 +99,8 @@ def first_lines(docs: DataFrame, slots: int) -> DataFrame:
         ).alias("s"),
     )
     firsts = shaped.groupBy("h", "g").agg(F.min(F.struct(*PLACE)).alias("at"), F.first("s").alias("s"), F.count(F.lit(1)).alias("copies"))
-    least = [F.array_min(F.transform("prefix", lambda t, r=r: F.xxhash64(t, F.lit(r)))) for r in range(CROWD_KEYS)]
-    return firsts.select("h", "g", "at.*", "s.*", "copies").withColumn("least", F.array(*least))
+    least = lambda r: F.array_min(F.transform("prefix", lambda t: F.xxhash64(t, F.lit(r))))
+    return firsts.select("h", "g", "at.*", "s.*", "copies").withColumn("least", F.array(*[least(r) for r in range(CROWD_KEYS)]))
 
 
 def _before(x: str, y: str) -> Column:
