@@ -18,9 +18,11 @@ _FOLD = bytes(
     for c in range(256)
 )
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-#: Benchmark text behind one automaton; a window repeats each word up to ten times, so an automaton
-#: holds about ten nodes a byte. A larger benchmark is dealt over several automata, used one by one.
-AUTOMATON_BYTES = 256 << 10
+#: Benchmark text behind one automaton, over words: it has three nodes for each word of each window,
+#: some thirty for a word of the text. A larger benchmark is dealt over several automata, used one by one.
+AUTOMATON_BYTES = 1 << 20
+#: Words are numbered in this base; its third power is more than AUTOMATON_BYTES has words.
+BASE = 100
 #: A benchmark is a stated query set; beyond this size it is refused rather than collected.
 BENCHMARK_BYTES = 64 << 20
 
@@ -41,8 +43,8 @@ def _sorted(ids) -> list[str | None]:
     return sorted(ids, key=lambda i: (i is None, i or ""))
 
 
-def shards_of(items: list[tuple[str | None, str | None]], window: int, bound: int) -> list[list[tuple[str, int, tuple[str | None, ...]]]]:
-    """Patterns (text, number of words, ids of the items that hold it), dealt so that no shard covers more than bound bytes of items."""
+def shards_of(items: list[tuple[str | None, str | None]], window: int, bound: int) -> list[list[tuple[tuple[str, ...], tuple[str | None, ...]]]]:
+    """Patterns (words, ids of the items that hold them), dealt so that no shard covers more than bound bytes of items."""
     shards, size = [{}], 0
     for item, text in sorted(items, key=lambda x: (x[0] is None, x[0] or "")):
         ws = _split(text)
@@ -56,30 +58,34 @@ def shards_of(items: list[tuple[str | None, str | None]], window: int, bound: in
         n = min(window, len(ws))
         for i in range(len(ws) - n + 1):
             shards[-1].setdefault(tuple(ws[i : i + n]), set()).add(item)
-    return [[(f" {' '.join(p)} ", len(p), tuple(_sorted(ids))) for p, ids in s.items()] for s in shards if s]
+    return [[(p, tuple(_sorted(ids))) for p, ids in s.items()] for s in shards if s]
+
+
+def _code(k: int) -> str:
+    """A number below BASE ** 3 as three letters, each of a place of its own, so that no code is found askew."""
+    return chr(1 + k // BASE**2) + chr(1 + BASE + k // BASE % BASE) + chr(1 + 2 * BASE + k % BASE)
 
 
 def _automaton(shard):
+    """A code for each of the shard's words, and the automaton over codes, whose nodes have BASE branches at most."""
     import ahocorasick
 
+    codes: dict[str, str] = {}
     a = ahocorasick.Automaton()
-    for pattern, n, ids in shard:
-        a.add_word(pattern, (n, ids))
+    for pattern, ids in shard:
+        a.add_word("".join([codes.setdefault(w, _code(len(codes))) for w in pattern]), (len(pattern), ids))
     a.make_automaton()
-    return a
+    return codes, a
 
 
 def scan(text: str | None, automata) -> tuple[int, int, list[str | None], list[tuple[int, int]]]:
     """Words, words hit, items hit and the hit passages as offsets into the original text."""
     ws = _split(text)
-    line = f" {' '.join(ws)} "
     ranges, items = [], set()
-    for a in automata:
-        at = seen = 0
-        for end, (n, ids) in a.iter(line):
-            seen += line.count(" ", at, end)
-            at = end
-            ranges.append((seen - n, seen))
+    for codes, a in automata:
+        for end, (n, ids) in a.iter("".join([codes.get(w, "\0\0\0") for w in ws])):
+            end = (end + 1) // 3
+            ranges.append((end - n, end))
             items.update(ids)
     if not ranges:
         return len(ws), 0, [], []
@@ -112,7 +118,9 @@ def hits(
 
     A window is ``window`` consecutive words of an item; an item of fewer words is one window. Null
     and empty texts have no words and no hits, null and empty items no windows; items of equal text
-    all count; items with a null id count as one, which item_ids has as a null at its end; an empty benchmark hits nothing. The benchmark is measured before it is collected.
+    all count; items with a null id count as one, which item_ids has as a null at its end; an empty
+    benchmark hits nothing, an empty table of documents stays empty. Texts of any length are read
+    whole; repeated rows get equal results. The benchmark is measured before it is collected.
     The text is scanned once for each automaton, and there is one up to AUTOMATON_BYTES of items.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t"))
