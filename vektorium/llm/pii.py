@@ -6,6 +6,7 @@ import hashlib
 import ipaddress
 import math
 import re
+import secrets
 from collections.abc import Iterator
 
 import pandas as pd
@@ -367,14 +368,28 @@ def tries(found: DataFrame, key: bytes, limit: int = 16) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {limit} attempts")
 
 
-def pseudonymised(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, key: bytes = b"vektorium") -> DataFrame:
+#: The setting that holds the secret key of op4_pii.
+KEY = "spark.vektorium.surrogateKey"
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session's settings name; where they name none, a random one that holds as long as the session."""
+    held = spark.conf.get(KEY, None)
+    if not held:
+        held = secrets.token_hex(32)
+        spark.conf.set(KEY, held)
+    return held.encode()
+
+
+def pseudonymised(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, key: bytes) -> DataFrame:
     """docs with ``__v_pii``: the text with surrogates, and the kind, start and end of each replaced entity.
 
-    The key decides all surrogates, so an entity has one wherever it occurs, and two entities never
+    The key, a secret, decides all surrogates, so an entity has one wherever it occurs, and two entities never
     share one. Digits, letters' case, punctuation, script, card brand and checksums, address class,
     mail domains of public providers and a name's gender stay as they were. Null texts stay null,
     texts without entities as they are; rows with a null id are rewritten, but their entities don't
-    take part in the collision checks; repeated rows get equal results.
+    take part in the collision checks; repeated rows get equal results, an empty table stays empty,
+    texts of any length are read whole.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
     found = cut(entities(own))
@@ -394,6 +409,6 @@ def pseudonymised(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key=session_key(spark))
     kinds: Column = F.array_sort(F.array_distinct(F.transform("__v_pii.entities", lambda e: e["kind"])))
     return found.select("doc_id", F.col("__v_pii.text").alias("text"), F.size("__v_pii.entities").cast("long").alias("n_entities"), kinds.alias("kinds"))
