@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from test_operators import fingerprint_again, hits_again, linked, removed_lines
 
 
@@ -29,3 +30,24 @@ def test_stages_keep_the_columns(spark, small):
         assert stage(spark, empty, small).columns == docs.columns, name
     out = corpus_pipeline.line_dedup(spark, docs, small)
     assert out.where("n_chars != length(text)").isEmpty() and out.count() == docs.count()
+
+
+def test_stages_take_odd_rows(spark, odd, none, tmp_path):
+    """Nulls, empty, blank, long and repeated texts, a null id and clashing columns, through each stage by itself."""
+    import corpus_pipeline
+
+    bench = spark.createDataFrame([(1, "One two three four five")], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    # n_chars is a column of the documents table, which line dedup keeps up to date
+    docs = odd.withColumn("n_chars", F.length("text").cast("long"))
+    kept = {name: [(r["doc_id"], r["text"]) for r in stage(spark, docs, str(tmp_path)).collect()] for name, stage in corpus_pipeline.STAGES[:-1]}
+    ids = {name: sorted((i for i, _ in rows), key=lambda i: i or -1) for name, rows in kept.items()}
+    assert ids["line dedup"] == sorted((r["doc_id"] for r in odd.collect()), key=lambda i: i or -1)
+    assert dict(kept["line dedup"])[5] == "" and dict(kept["line dedup"])[1] is None
+    assert ids["SimHash near-dedup"] == [None, 1, 4, 6, 7, 8, 9, 11]
+    assert not {9, 10, None} & set(ids["benchmark decontamination"]) and len(ids["benchmark decontamination"]) == odd.count() - 3
+    assert set(ids["quality rules"]) <= {7}
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(last) == odd.count() and all(r["round_trip"] for r in last if r["doc_id"] in (1, 2, 4, 9)) and all(r["n_pieces"] == 0 for r in last if r["doc_id"] in (1, 2))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name

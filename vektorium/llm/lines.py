@@ -207,7 +207,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     empty table gives none. Rows of one id with different texts are different documents, rows of one
     id and equal text the same. Texts and lines of any length are read whole.
     """
-    slots = min(SLOTS[1], max(SLOTS[0], 1 << (DOCUMENT_SLOTS * docs.count()).bit_length() - 1))
+    slots = min(SLOTS[1], max(SLOTS[0], 1 << (DOCUMENT_SLOTS * docs.count() + 1).bit_length() - 1))
     docs = docs.where("doc IS NOT NULL AND text IS NOT NULL")
     firsts = stored(first_lines(docs, slots))
     copied = firsts.where("copies > 1").select("h", "g", *[F.col(c).alias(f"f{c}") for c in PLACE])
