@@ -13,7 +13,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: Token counts are kept in so many slots for each document, a power of two between these bounds; tokens share slots by hash.
 DOCUMENT_SLOTS, SLOTS = 2, (1 << 14, 1 << 22)
 #: Lines with one of their CROWD_KEYS keys in common with more than CROWD lines are first compared with HEADS of those at most.
-CROWD_KEYS, CROWD, HEADS = 3, 4, 2
+CROWD_KEYS, CROWD, HEADS = 2, 4, 1
 #: Sets of so many tokens have a parity of two words.
 WIDE = 64
 PLACE = ("doc", "sub", "pos")
