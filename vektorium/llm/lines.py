@@ -29,6 +29,14 @@ def tokens(line: Column) -> Column:
     return F.when(odd, word_array(line)).otherwise(F.split(line, " "))
 
 
+def _words(text: Column) -> Column:
+    """A text's tokens, empty parts among them. Splitting at single spaces is the quick way, open to texts without other blanks than line feeds."""
+    odd = F.lit(False)
+    for blank in ("\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(text, F.lit(blank))
+    return F.when(odd, F.split(text, "[ \\t-\\r]+")).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "))
+
+
 def _slot(h: Column, slots: int) -> Column:
     return h.bitwiseAND(F.lit(slots - 1)).cast("int")
 
@@ -36,7 +44,7 @@ def _slot(h: Column, slots: int) -> Column:
 def rarity(docs: DataFrame, text: str, slots: int) -> DataFrame:
     """One row with an array of ``slots`` classes, 0 to 127: two for each doubling of a slot's token count over the whole corpus."""
     spark = docs.sparkSession
-    found = docs.select(F.explode(F.split(text, "[ \\t-\\r]+")).alias("w")).select(_slot(F.xxhash64("w"), slots).alias("s"), F.lit(1).cast("long").alias("n"))
+    found = docs.select(F.explode(_words(F.col(text))).alias("w")).where("w != ''").select(_slot(F.xxhash64("w"), slots).alias("s"), F.lit(1).cast("long").alias("n"))
     every = spark.range(slots).select(F.col("id").cast("int").alias("s"), F.lit(0).cast("long").alias("n"))
     counts = found.groupBy("s").agg(F.sum("n").alias("n")).union(every).groupBy("s").agg(F.sum("n").alias("n"))
     classes = counts.select("s", F.least(F.lit(127), F.floor(2 * F.log2(1 + F.col("n")))).cast("tinyint").alias("c"))
@@ -228,10 +236,10 @@ def without_lines(text: Column, removed: Column) -> Column:
         return F.struct(
             F.when(removed.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda p: F.get(ls, p)), "\n")).alias("text"),
             F.size(ls).cast("long").alias("n_lines"),
-            (F.size(ls) - F.size(kept)).cast("long").alias("n_removed"),
+            F.when(removed.isNull(), F.lit(0)).otherwise(F.size(removed)).cast("long").alias("n_removed"),
         )
 
-    return F.when(text.isNull(), F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))).otherwise(let(F.split(text, "\\n"), of))
+    return F.when(text.isNull(), F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))).otherwise(let(F.split(text, "\n"), of))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
