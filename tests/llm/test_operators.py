@@ -264,6 +264,47 @@ def test_unclosed_elements_lose_no_text(before, after):
     assert [t for t in text if t != "İ"] == ["First words of the page.", "Second words of the page.", "Third words of the page."]
 
 
+def test_the_cut_beats_the_classifier_on_pages_without_marks(spark, small):
+    """Pages whose elements are all div, without classes: held-out F-scores of the blocks, by the classifier's signs and by the cut."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_text.fit_weights(pages.where("page_id % 2 = 0"))
+    assert weights != html_text.PRIOR
+    counts = {"sign": [0, 0, 0], "cut": [0, 0, 0]}
+    for r in pages.where("page_id % 2 = 1").collect():
+        article = re.search("<article>(.*?)(</article>|$)", r["html"], re.S)[1]
+        want = Counter(b for x in re.split(r"</?(?:p|h1)>", article) if (b := " ".join(html.unescape(re.sub("<[^>]*>", " ", x)).split())))
+        soup = re.sub(r"(</?)(?:nav|article|footer|p|h1)(?=[ >])", r"\1div", r["html"]).replace(' class="ad"', "")
+        found = html_text.blocks(soup)
+        html_text.settle(found)
+        costs, edges = html_text.costs(found, weights)
+        for name, labels in (("sign", [c > 0 for c in costs]), ("cut", html_text.min_cut(costs, edges))):
+            got = Counter(b.text for b, x in zip(found, labels, strict=True) if x)
+            both = (got & want).total()
+            counts[name] = [n + m for n, m in zip(counts[name], (both, got.total() - both, want.total() - both), strict=True)]
+    score = {k: 2 * a / (2 * a + b + c) for k, (a, b, c) in counts.items()}
+    print(score)
+    assert score["cut"] > 0.85 and score["cut"] > score["sign"] + 0.05
+
+
+def test_the_cut_keeps_short_blocks_between_long_ones():
+    page = "<div><div><a href=a>Home</a></div><div><a href=b>News</a></div></div><div>" + f"<div>{STORY[0]}</div><div>See <a href=c>there</a></div><div>{STORY[1]}</div>" + "</div><div><div><a href=d>Imprint</a></div></div>"
+    found = html_text.blocks(page)
+    costs, edges = html_text.costs(found, html_text.PRIOR)
+    assert [c > 0 for c in costs] == [False, False, True, False, True, False]
+    assert html_text.min_cut(costs, edges) == [False, False, True, True, True, False]
+
+
+def test_the_classifier_keeps_its_prior_without_pages(spark, odd, none):
+    assert html_text.fit_weights(odd, "text") == html_text.fit_weights(none, "text") == html_text.PRIOR
+    page = f"<nav><a href=a>Home</a></nav><article><p>{STORY[0]}</p></article>"
+    many, once = (spark.createDataFrame([(page,)] * n, "html string") for n in (50, 1))
+    assert html_text.fit_weights(many) == html_text.fit_weights(once) != html_text.PRIOR
+
+
+def test_formulas_are_text():
+    assert html_text.main_text("<article><p>As <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p></article>")[0] == "As x=2 here."
+
+
 def test_pages_odd(odd, none):
     assert odd.select(html_text.extracted("text").alias("x")).count() == odd.count()
     assert none.select(html_text.extracted("text").alias("x")).count() == 0

@@ -1,4 +1,7 @@
-"""Main-text extraction: a minimum cut separates content blocks from boilerplate."""
+"""Main-text extraction: a minimum cut separates content blocks from boilerplate.
+
+Terminals: the log odds of a classifier fitted on a bounded sample of pages that mark their article, and
+what the page's own marks say. Edges: page order and tree proximity, of the same scale."""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from collections import deque
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +28,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style textarea title noscript iframe noembed noframes xmp".split()}
 #: Elements that aren't text of the page; those of SINGLE end where another of theirs starts. Where
 #: such an element isn't closed, the next block starts outside of it.
-NOT_SHOWN = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in "template svg math object select datalist option optgroup button canvas audio video".split()}
+NOT_SHOWN = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in "template svg object select datalist option optgroup button canvas audio video".split()}
 SINGLE = frozenset("select datalist option optgroup button".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -50,6 +54,16 @@ ARTICLE_WORDS = 40
 #: Costs are rounded to so many units.
 UNIT = 1000
 
+#: Weights of the classifier before it has seen a page, by feature: 1, words up to 40 as a share of 40,
+#: share of letters in links, a sentence's end, heading, paragraph, distance from the page's middle.
+PRIOR = (-1.2, 4.8, -4.0, 0.8, 0.6, 0.4, 0.0)
+#: The most that the classifier, and what elements and names say, may weigh; links of blocks with one
+#: parent, and with others. All are log odds.
+CLASSIFIER, MARK, SIBLINGS, OTHERS = 4.0, 4.0, 1.5, 0.2
+#: The classifier learns from so many different pages that mark their article, and so many blocks, evenly
+#: spread, of each. A weight departs from its prior as if it had been seen in PRIOR_BLOCKS blocks.
+SAMPLE_PAGES, SAMPLE_BLOCKS, PRIOR_BLOCKS = 256, 64, 4.0
+
 
 class Block:
     __slots__ = ("parts", "linked", "kind", "mark", "parent", "text", "tag", "doubts", "inner", "article")
@@ -227,22 +241,40 @@ def settle(found: list[Block]) -> None:
             b.kind, b.mark = -1, b.inner
 
 
-def score(b: Block, has_content: float, plain: bool = False) -> float:
-    """Cost of calling the block boilerplate less that of calling it content: a fixed linear classifier.
+def features(found: list[Block]) -> np.ndarray:
+    """What the classifier sees of each block: nothing of names, nor of what the page marks."""
+    rows = []
+    for k, b in enumerate(found):
+        density = b.linked / max(1, len(b.text.replace(" ", "")))
+        ends, heading = b.text[-1] in ".!?:;…»”\"'。", b.tag in HEADINGS
+        rows.append((1.0, min(b.text.count(" ") + 1, 40) / 40, density, ends, heading, b.tag == "p", abs(2 * (k + 0.5) / len(found) - 1)))
+    return np.array(rows, np.float64)
+
+
+def fitted(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...] = PRIOR, steps: int = 25) -> tuple[float, ...]:
+    """Weights of a logistic regression of labels y on features x, drawn to the prior; the prior where there are no rows."""
+    mean = np.array(prior)
+    w = mean.copy()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (y - p) - PRIOR_BLOCKS * (w - mean)
+        curve = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + PRIOR_BLOCKS * np.eye(len(w))
+        w = w + np.clip(np.linalg.solve(curve, slope), -2, 2)
+    return tuple(float(v) for v in w)
+
 
-    has_content: how far, 0 to 1, what the page marks as content may be all of it; plain: it marks neither content nor boilerplate.
+def score(b: Block, odds: float, has_content: float) -> float:
+    """Cost of calling the block boilerplate less that of calling it content: the classifier's log odds and the page's marks.
+
+    has_content: how far, 0 to 1, what the page marks as content may be all of it. Elements that the
+    page marks as boilerplate are so; what it marks as content, or leaves unmarked, the cut may overrule.
     """
-    words = b.text.count(" ") + 1
-    density = b.linked / max(1, len(b.text.replace(" ", "")))
+    odds = max(-CLASSIFIER, min(CLASSIFIER, odds))
     if b.kind == -1:
-        return -8.0
+        return min(odds, 0.0) - 2 * MARK
     if b.kind == 2:
-        return 4.0 if b.tag in HEADINGS else -4.0
-    s = (0.0 if plain else -1.2) + 0.12 * min(words, 40) - 4.0 * density
-    s += 0.8 * (b.text[-1] in ".!?:;…»”\"'。") + 0.6 * (b.tag in HEADINGS) + 0.4 * (b.tag == "p")
-    if b.kind == 1:
-        return s + 6.0
-    return s - 6.0 * has_content
+        return MARK if b.tag in HEADINGS else -MARK
+    return odds + MARK if b.kind == 1 else odds - MARK * has_content
 
 
 def min_cut(terminal: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -300,45 +332,82 @@ def min_cut(terminal: list[int], edges: list[tuple[int, int, int]]) -> list[bool
     return [bool(x) for x in label]
 
 
-def main_text(html: str | None) -> tuple[str, int, int]:
-    """The main text, the blocks kept and all blocks."""
-    found = blocks(html) if html else []
-    if not found:
-        return "", 0, 0
-    settle(found)
+def costs(found: list[Block], weights: tuple[float, ...] = PRIOR) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Terminal capacities of settled blocks, and edges between blocks that are next to each other or near in the tree."""
     marked, other = (sum(b.weight() for b in found if b.kind == k) for k in (1, 0))
     has_content = min(1.0, max(marked / (2 * ARTICLE_WORDS), 4 * marked / max(1.0, marked + other)))
     plain = not any(b.kind for b in found)
-    costs = [round(UNIT * score(b, has_content, plain)) for b in found]
+    # a page without any marks is more likely to be a mere text than one with menus round it
+    odds = features(found) @ np.array(weights) - (PRIOR[0] if plain else 0.0)
     edges = []
     for k, b in enumerate(found):
-        for step in (1, 2):  # adjacency in the page, and proximity in the tree
+        for step in (1, 2):
             if k + step < len(found):
                 o = found[k + step]
                 if b.mark == o.mark:
-                    edges.append((k, k + step, round(UNIT * (1.0 if b.parent == o.parent else 0.5) / step)))
+                    edges.append((k, k + step, round(UNIT * (SIBLINGS if b.parent == o.parent else OTHERS) / step)))
                 elif step == 1:
                     edges.append((k, k + step, UNIT // 10))
-    kept = [b.text for b, x in zip(found, min_cut(costs, edges), strict=True) if x]
+    return [round(UNIT * score(b, x, has_content)) for b, x in zip(found, odds.tolist(), strict=True)], edges
+
+
+def main_text(html: str | None, weights: tuple[float, ...] = PRIOR) -> tuple[str, int, int]:
+    """The main text, the blocks kept and all blocks."""
+    found = blocks(html) if html else []
+    if not found:
+        return "", 0, 0
+    settle(found)
+    kept = [b.text for b, x in zip(found, min_cut(*costs(found, weights)), strict=True) if x]
     return "\n".join(kept), len(kept), len(found)
 
 
-def extracted(html: Column | str = "html") -> Column:
+def fit_weights(pages: DataFrame, html: str = "html", n_pages: int = SAMPLE_PAGES, n_blocks: int = SAMPLE_BLOCKS) -> tuple[float, ...]:
+    """The classifier's weights, learnt from a bounded sample of pages that mark their article; PRIOR if none does.
+
+    The sample is the n_pages different pages of lowest hash, so it does not depend on partitions, nor
+    on how often a page occurs; of each, n_blocks evenly spread blocks at most reach the driver.
+    """
+    hashed = pages.select(F.col(html).alias("html"), F.xxhash64(html).alias("h")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
+    lowest = hashed.select("h").distinct().orderBy("h").limit(n_pages).agg(F.max("h").alias("h")).first()["h"]
+    if lowest is None:
+        return PRIOR
+    names = [f"x{k}" for k in range(len(PRIOR))]
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for page in batch["html"]:
+                found = blocks(page)
+                if not any(b.article for b in found):
+                    continue
+                settle(found)
+                some = np.unique(np.linspace(0, len(found) - 1, min(len(found), n_blocks)).astype(int))
+                yield pd.DataFrame(features(found)[some], columns=names).assign(y=[float(found[k].article and found[k].kind != -1) for k in some])
+
+    sample = hashed.where(F.col("h") <= lowest).groupBy("h").agg(F.first("html").alias("html")).select("html")
+    rows = sample.mapInPandas(learn, ", ".join(f"{c} double" for c in (*names, "y"))).toPandas()
+    if not len(rows):
+        return PRIOR
+    rows = rows.sort_values([*names, "y"])  # sums in one order, whatever the partitions
+    return fitted(rows[names].to_numpy(), rows["y"].to_numpy())
+
+
+def extracted(html: Column | str = "html", weights: tuple[float, ...] = PRIOR) -> Column:
     """A struct column: ``text``, ``n_kept`` and ``n_blocks``.
 
-    Null, empty and blank pages have an empty text and no blocks. Pages of any length are read
-    whole; broken markup is closed as browsers do for paragraphs, list items and cells. Equal pages
-    give equal texts, and ties between labels go to boilerplate.
+    Null, empty and blank pages have an empty text and no blocks; an empty table gives no rows. Pages
+    of any length are read whole; broken markup is closed as browsers do for paragraphs, list items
+    and cells. Equal pages give equal texts, and ties between labels go to boilerplate.
     """
 
     @F.pandas_udf("text string, n_kept long, n_blocks long")
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for pages in batches:
-            yield pd.DataFrame([main_text(p if isinstance(p, str) else None) for p in pages], columns=["text", "n_kept", "n_blocks"])
+            yield pd.DataFrame([main_text(p if isinstance(p, str) else None, weights) for p in pages], columns=["text", "n_kept", "n_blocks"])
 
     return extract(F.col(html) if isinstance(html, str) else html)
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", extracted("html").alias("e"))
+    pages = table(spark, sf_dir, "pages")
+    pages = pages.select("page_id", "url", extracted("html", fit_weights(pages)).alias("e"))
     return pages.select("page_id", "url", "e.text", F.length("e.text").cast("long").alias("n_chars"), "e.n_kept", "e.n_blocks")
