@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, lines, ngram_lm, pieces, pii, quality, simhash, substrings, token_counts
+from . import decontaminate, html_text, lines, ngram_lm, pieces, pii, quality, simhash, spelling, substrings, token_counts
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_lm_scores": ngram_lm.op8_lm_scores,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
     }
 
 
