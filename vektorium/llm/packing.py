@@ -22,6 +22,8 @@ MODEL = "word_bpe_49k.json"
 CAPACITY, END, MOST = 4096, 1, 3
 #: Rounds of the fit: each adds the steepest pattern of every longest length, then solves for all that are held.
 ROUNDS, STEPS = 24, 120
+#: Of the fitted counts, what is tried.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.0)
 #: Pieces of one length that one task numbers.
 NUMBERED = 4_000
 #: Runs of characters without white space, and parts of them, that a worker keeps; beyond so many it starts anew.
@@ -239,21 +241,24 @@ def plan(histogram: np.ndarray) -> list[tuple[int, dict[int, int]]]:
     """(times, {length: documents}): patterns that use up a histogram of lengths (by length, from 0) in few sequences.
 
     The fitted repeat counts are rounded and used, the largest first, as far as there are documents
-    for them; what is left is packed by best fit.
+    for them; what is left is packed by best fit. Patterns may take short documents that long
+    ones would need, so the counts are also tried at the SHARES of them; the fewest sequences win.
     """
-    left, out = histogram.astype(np.int64).copy(), []
     found, repeats = fit(histogram)
-    for k in np.argsort(-repeats, kind="stable"):
-        content: dict[int, int] = {}
-        for length in found[k].tolist():
-            if length:
-                content[length] = content.get(length, 0) + 1
-        times = min(int(repeats[k] + 0.5), *(int(left[n]) // m for n, m in content.items()))
-        if times:
-            out.append((times, content))
-            for n, m in content.items():
-                left[n] -= times * m
-    return out + best_fit(left)
+    contents = [{n: p.count(n) for n in p if n} for p in found.tolist()]
+    best: list[tuple[int, dict[int, int]]] = []
+    for share in SHARES:
+        left, out = histogram.astype(np.int64).copy(), []
+        for k in np.argsort(-repeats, kind="stable"):
+            times = min(int(share * repeats[k] + 0.5), *(int(left[n]) // m for n, m in contents[k].items()))
+            if times:
+                out.append((times, contents[k]))
+                for n, m in contents[k].items():
+                    left[n] -= times * m
+        out += best_fit(left)
+        if not best or sum(t for t, _ in out) < sum(t for t, _ in best):
+            best = out
+    return best
 
 
 def pack(rows: DataFrame, length: str = "length", *, capacity: int = CAPACITY) -> DataFrame:
