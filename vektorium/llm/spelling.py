@@ -85,6 +85,7 @@ def light_edges(words: DataFrame) -> DataFrame:
     children = edges.groupBy("node", "c").agg(F.count(F.lit(1)).alias("size"))
     largest = F.max(F.when(F.col("c") != "", F.struct("size", "c")))
     heavy = children.groupBy("node").agg(F.count(F.lit(1)).alias("children"), largest["c"].alias("h")).where("children > 1 AND h IS NOT NULL").select("node", "h")
+    heavy = stored(heavy)  # else the join below keeps the aggregate's partitions, and all words under the root stay in one
     return edges.join(heavy, "node").where("c != h").select("word", "n", "i", "c", "h")
 
 
