@@ -40,11 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a Parquet table in the shared folder, which keeps column pruning."""
+def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """Cuts the lineage with a Parquet table in the shared folder, which keeps column pruning. codec: the table's compression, the session's if None."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/vektorium-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

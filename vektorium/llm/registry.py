@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, lines, ngram_lm, packing, pieces, pii, quality, simhash, spelling, substrings, token_counts
+from . import alignment, decontaminate, html_text, lines, ngram_lm, packing, pieces, pii, quality, simhash, spelling, substrings, token_counts
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "op11_spelling_variants": spelling.op11_spelling_variants,
         "op12_best_fit_packing": packing.op12_best_fit_packing,
+        "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
     }
 
 
