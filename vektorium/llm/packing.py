@@ -26,13 +26,17 @@ ROUNDS, STEPS = 24, 120
 SHARES = (1.0, 0.9, 0.75, 0.5, 0.0)
 #: Pieces of one length that one task numbers.
 NUMBERED = 4_000
-#: Runs of characters without white space, and parts of them, that a worker keeps; beyond so many it starts anew.
+#: Runs of characters without white space, and pre-tokens of them, that a worker keeps in each of two generations.
 CACHE = 400_000
+#: Pre-tokens that the library encodes at once.
+SIDE_BY_SIDE = 20_000
 #: Characters of text held at once.
 CHUNK = 2_000_000
 
 #: The pre-tokenizer of the model, a fixed value.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: How its vocabulary spells the end of a pre-token.
+WORD_END = "</w>"
 #: Texts of other characters go to the library whole: there the Unicode tables of the two sides may differ.
 _ODD = "[^\\n\\r\\t -~ -ԯ‐-‧ぁ-ゖァ-ヺ一-龥가-힣]"
 
@@ -51,21 +55,41 @@ class Encoder:
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([_ODD, *map(re.escape, specials)]))
         self.split = regex.compile(_SPLIT)
+        # which ids end a pre-token
+        self.ending = np.array([(self.tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(self.tokenizer.get_vocab_size())])
         self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def of_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part: encoded side by side, as the library takes far longer for a text than for a word."""
+        out = []
+        for lo in range(0, len(parts), SIDE_BY_SIDE):
+            some = parts[lo : lo + SIDE_BY_SIDE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                out += [data[i:j] for i, j in zip(cuts, cuts[1:])]  # noqa: B905
+            else:
+                out += self.whole(some)
+        return out
+
     def learn(self, runs: list[str]) -> None:
-        cut = [self.split.findall(r) for r in runs]
-        missing = {p for ps in cut for p in ps if p not in self.parts}
-        if len(self.parts) + len(missing) > CACHE:
-            self.parts.clear()
-            missing = {p for ps in cut for p in ps}
-        names = list(missing)
-        self.parts.update(zip(names, self.whole(names), strict=True))
-        parts = self.parts
+        split = self.split.findall
+        cut = [[r] if r.isalpha() else split(r) for r in runs]
+        parts, older = self.parts, self.older_parts
+        missing = []
+        for p in {p for ps in cut for p in ps}.difference(parts):
+            if p in older:
+                parts[p] = older[p]
+            else:
+                missing.append(p)
+        parts.update(zip(missing, self.of_parts(missing), strict=True))
         self.runs.update((r, parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])) for r, ps in zip(runs, cut, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -80,13 +104,19 @@ class Encoder:
             if not t.isascii() and not unicodedata.is_normalized("NFC", t):
                 t = unicodedata.normalize("NFC", t)
             held[k] = t.replace("Σ", "σ").lower().split()
-        every = set().union(*held.values())
-        missing = every.difference(self.runs)
-        if len(self.runs) + len(missing) > CACHE:
-            self.runs.clear()
-            missing = every
-        self.learn(list(missing))
-        runs = self.runs
+        # a new generation begins when the present one is full, and the one before the last goes
+        if len(self.runs) > CACHE:
+            self.older, self.runs = self.runs, {}
+        if len(self.parts) > CACHE:
+            self.older_parts, self.parts = self.parts, {}
+        runs, older, missing = self.runs, self.older, []
+        for r in set().union(*held.values()).difference(runs):
+            if r in older:
+                runs[r] = older[r]
+            else:
+                missing.append(r)
+        if missing:
+            self.learn(missing)
         for k, rs in held.items():
             out[k] = b"".join([runs[r] for r in rs])
         return out
