@@ -9,10 +9,11 @@ import os
 import re
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +21,13 @@ from .common import stored, table, worker_cache
 
 MODEL_A, MODEL_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of text aligned at once; longer texts go in parts that end where a word follows a single space.
-CHUNK = 1_000_000
-#: Words that a worker keeps the ids of; beyond so many it starts anew.
-CACHE = 400_000
+CHUNK = 500_000
+#: Words that a worker keeps the ids of, in each of two generations.
+CACHE = 150_000
 #: Different pairs that a task counts before it hands them on, and pairs, the most frequent, that travel to every task.
-HELD, FREQUENT = 1_000_000, 1_000_000
+HELD, FREQUENT = 500_000, 1_000_000
+#: Links that are sorted or looked up at once.
+SORTED = 2_000_000
 
 #: The pre-tokenizer of A, a fixed value.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -72,6 +75,7 @@ class Aligner:
         self.ordinary = tiktoken.Encoding("a", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if in_order and len(ranks) == 256 + len(pairs) else None
         self.by_word = self.ordinary is not None and not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.sizes[1]))
         self.words: dict[str, tuple[bytes, bytes] | None] = {}
+        self.older: dict[str, tuple[bytes, bytes] | None] = {}
 
     def same(self, want: str, a: list[int], b: list[int]) -> bool:
         plain = want.encode(errors="surrogatepass")
@@ -88,13 +92,15 @@ class Aligner:
         for k, t in enumerate(texts):
             if self.by_word and "  " not in f" {t} " and not _ODD.search(t):
                 cut[k] = t.split(" ")
-        every = set().union(*cut.values())
-        missing = every.difference(self.words)
-        if len(self.words) + len(missing) > CACHE:
-            self.words.clear()
-            missing = every
-        self.learn(list(missing))
-        words = self.words
+        if len(self.words) > CACHE:  # a new generation begins, and the one before the last goes
+            self.older, self.words = self.words, {}
+        words, older, missing = self.words, self.older, []
+        for w in set().union(*cut.values()).difference(words):
+            if w in older:
+                words[w] = older[w]
+            else:
+                missing.append(w)
+        self.learn(missing)
         for k, t in enumerate(texts):
             found = [words[w] for w in cut[k]] if k in cut else None
             if found is not None and None not in found:
@@ -152,26 +158,36 @@ def _parts(text: str) -> list[str]:
     return [*out, text]
 
 
-def _aligned(aligner: Aligner, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, str, bytes]]:
-    """(n_a, n_b, n_groups, n_links, groups, links) of each text, some parts of them at a time."""
-    parts = [_parts(t) if t else [] for t in texts]
-    flat = [p for ps in parts for p in ps]
-    found: list[tuple] = []
-    lo = size = 0
-    for k, p in enumerate(flat):
-        size += len(p)
-        if size >= CHUNK or k == len(flat) - 1:
-            found += aligner.align(flat[lo : k + 1])
-            lo, size = k + 1, 0
-    it = iter(found)
-    for ps in parts:
-        own = [next(it) for _ in ps]
-        if len(own) == 1:
-            yield own[0]
-        elif all(x[0] for x in own):
-            yield (*(sum(x[c] for x in own) for c in range(4)), ";".join(x[4] for x in own), b"".join(x[5] for x in own))
-        else:
-            yield (0, 0, 0, 0, "", b"")
+def _aligned(aligner: Aligner, texts: Iterable[str | None]) -> Iterator[tuple[int, int, int, int, list[str], bytes]]:
+    """(n_a, n_b, n_groups, n_links, groups of each part, links) of each text, some parts of texts at a time."""
+
+    def whole(own: list[tuple]) -> tuple:
+        if all(x[0] for x in own):
+            return (*(sum(x[c] for x in own) for c in range(4)), [x[4] for x in own], b"".join(x[5] for x in own))
+        return (0, 0, 0, 0, [], b"")
+
+    waiting, flat, size, held = [], [], 0, []
+
+    def flush() -> Iterator[tuple]:
+        held.extend(aligner.align(flat))
+        at = 0
+        while waiting and at + waiting[0] <= len(held):
+            n = waiting.pop(0)
+            yield whole(held[at : at + n])
+            at += n
+        del held[:at]
+        flat.clear()
+
+    for t in texts:
+        parts = _parts(t) if t else []
+        waiting.append(len(parts))
+        for p in parts:
+            flat.append(p)
+            size += len(p)
+            if size >= CHUNK:
+                yield from flush()
+                size = 0
+    yield from flush()
 
 
 def aligned(spark: SparkSession, text: Column | str = "text", *, model_a: str = MODEL_A, model_b: str = MODEL_B, path_a: str | None = None, path_b: str | None = None, with_groups: bool = False) -> Column:
@@ -193,15 +209,24 @@ def aligned(spark: SparkSession, text: Column | str = "text", *, model_a: str =
     def align(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         aligner = worker_cache("alignment", key, lambda: Aligner(path_a, path_b))
         for batch in batches:
-            rows = []
-            for *n, groups, links in _aligned(aligner, batch.to_pylist()):
-                rows.append((*n, hashlib.sha256(groups.encode()).hexdigest() if groups else "", links) + ((groups,) if with_groups else ()))
-            columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
+            columns: list[list] = [[] for _ in fields]
+            for *n, groups, links in _aligned(aligner, (x.as_py() for x in batch)):
+                written = ";".join(groups)
+                row = (*n, hashlib.sha256(written.encode()).hexdigest() if written else "", links, written)
+                for c, x in zip(columns, row, strict=False):
+                    c.append(x)
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
 
     return align(F.col(text) if isinstance(text, str) else text)
 
 
+def _codes(links: pa.Array, code: np.dtype) -> np.ndarray:
+    """The numbers of all rows, one after another, where they lie."""
+    offsets = np.frombuffer(links.buffers()[1], np.int32, len(links) + 1, 4 * links.offset) if len(links) else np.zeros(1, np.int32)
+    data = links.buffers()[2] if len(links) else None
+    return np.frombuffer(data, code, (offsets[-1] - offsets[0]) // code.itemsize, offsets[0]) if data is not None else np.zeros(0, code)
+
+
 def _sums(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes once, with the sums of their counts."""
     order = np.argsort(codes, kind="stable")
@@ -221,9 +246,9 @@ def pair_counts(links: DataFrame, size_b: int, code: np.dtype) -> DataFrame:
 
         out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].astype(np.int64)), pa.array(x[1])], ["pair", "n"])
         for b in batches:
-            every = np.frombuffer(b"".join([x for x in b["links"].to_pylist() if x]), code)
-            for lo in range(0, len(every), 4_000_000):
-                held.append(np.unique(every[lo : lo + 4_000_000], return_counts=True))
+            every = _codes(b["links"], code)
+            for lo in range(0, len(every), SORTED):
+                held.append(np.unique(every[lo : lo + SORTED], return_counts=True))
                 size += len(held[-1][0])
                 if size > HELD:
                     held = [merged()]
@@ -275,15 +300,23 @@ def with_pair_counts(aligned_rows: DataFrame, *, model_a: str = MODEL_A, model_b
         known, n, best = (np.append(x, y) for x, y in ((known, np.int64(-1)), (n, 0), (best, False)))
         size = len(known) - 1
         for batch in batches:
-            own = [np.frombuffer(x, code) if x else np.zeros(0, code) for x in batch.to_pylist()]
-            every = np.concatenate([*own, np.zeros(0, code)]).astype(np.int64)
-            at = np.searchsorted(known[:size], every)
-            at[known[at] != every] = size
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
-            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[ends])  # noqa: E731, B023
-            missing = at == size
-            others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(missing, dtype=np.int64)])[ends].astype(np.int32)), pa.array(every[missing]))
-            yield pa.StructArray.from_arrays([pa.array(total(best[at])), pa.array(total(n[at])), others], ["n_best", "count_sum", "others"])
+            every, length = _codes(batch, code), pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False) // code.itemsize
+            ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+            sums, others, missed = np.zeros((2, len(batch)), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            lo = 0
+            while lo < len(batch):  # rows with about SORTED links
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SORTED, side="right")) - 1)
+                some = every[ends[lo] : ends[hi]].astype(np.int64)
+                at = np.searchsorted(known[:size], some)
+                at[known[at] != some] = size
+                own = ends[lo : hi + 1] - ends[lo]
+                total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[own])  # noqa: E731, B023
+                sums[:, lo:hi] = total(best[at]), total(n[at])
+                others.append(some[at == size])
+                missed.append(total(at == size))
+                lo = hi
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(missed))]).astype(np.int32)), pa.array(np.concatenate(others)))
+            yield pa.StructArray.from_arrays([*map(pa.array, sums), listed], ["n_best", "count_sum", "others"])
 
     looked = rows.withColumn("__v_x", look_up("links"))
     columns = [c for c in aligned_rows.columns if c not in ("n_best", "count_sum")]
