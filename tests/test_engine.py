@@ -99,6 +99,30 @@ def test_routing(spark):
     assert df.where("event_id = 3").first()["content_length"] == size
 
 
+def entries(*approved):
+    return {"entries": [{"request": PAYLOAD, "expected_approved": x} for x in approved], "stats": {"total": len(approved)}}
+
+
+def test_evaluation_files(spark, tmp_path):
+    """Objects over many lines, several objects a file, several files; ids are unique over all of them."""
+    (tmp_path / "a.json").write_text(json.dumps(entries(True, False, True), indent=2))
+    (tmp_path / "b.json").write_text("\n".join(json.dumps(entries(*x)) for x in ([True], [], [False] * 4)) + "\r\n\n")
+    (tmp_path / "c.json").write_text(json.dumps(entries(False)))
+    (tmp_path / "d.json").write_text(" \n")
+    rows = requests.read_evaluation(spark, str(tmp_path)).collect()
+    assert sorted((r["file"][-6:-5], r["entry"], r["expected_approved"]) for r in rows) == [
+        ("a", 0, True), ("a", 1, False), ("a", 2, True), ("b", 0, True), ("b", 1, False), ("b", 2, False), ("b", 3, False), ("b", 4, False), ("c", 0, False)
+    ]
+    assert len({r["entry_id"] for r in rows}) == 9 and all(r["request"]["id"] == "order 77" for r in rows)
+
+
+@pytest.mark.parametrize("text", ['{"entries": [{"request"', '{"stats": {}}', "[1, 2]", "nonsense"])
+def test_evaluation_files_that_are_none(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception, match="entries|MALFORMED|malformed"):
+        requests.read_evaluation(spark, str(tmp_path)).collect()
+
+
 def test_split_trim(spark):
     assert one(spark, s.split_trim(F.lit(" a ,, b c,  "))) == ["a", "b c"]
 
@@ -214,6 +238,63 @@ def test_ranges(spark, monkeypatch, few):
     assert [tuple(r) for r in kmeans.weighted_pick(rows, 250).select("row_id", "acc").collect()] == [(k * k, acc)] and kmeans.weighted_pick(rows, 10**6).count() == 0
 
 
+INF, NAN = float("inf"), float("nan")
+
+
+@pytest.mark.parametrize(
+    ("kind", "values", "few"),
+    [
+        ("double", [k * 0.5 for k in range(700)] + [NAN], 50_000),
+        ("double", [1.0, INF, -INF, NAN, NAN, 2.0] * 40, 3),
+        ("double", [0.0, -0.0, 1e-300, -1e300, 1e300] * 90, 50_000),
+        ("double", [INF] * 300, 50_000),
+        ("double", [NAN] * 30, 50_000),
+        ("long", [2**60, 2**60 + 1] * 200 + [-(2**63), 2**63 - 1, 2**60 - 1], 3),
+        ("long", [7] * 500, 50_000),
+        ("long", list(range(-300, 300)) + [2**62], 40),
+        ("float", [0.1, 0.2, 0.3] * 50, 50_000),
+        ("int", [5], 50_000),
+    ],
+)
+def test_values_at_ranks_that_halving_could_not_tell_apart(spark, monkeypatch, kind, values, few):
+    monkeypatch.setattr(ranges, "FEW", few)
+    monkeypatch.setattr(ranges, "SKETCH_K", 32)  # far off
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 3, f"x {kind}").repartition(3).cache()
+    want = sorted((as_float(v) if kind == "float" else v for v in values), key=lambda v: (v != v, v))
+    for first in (0, int((len(values) - 1) * 0.99), len(values) - 1):
+        got = ranges.values_at_ranks(df, "x", first, first + 1)
+        assert [repr(x + 0 if x is not None else x) for x in got] == [repr(x + 0 if x is not None else x) for x in (want + [None])[first : first + 2]]
+    df.unpersist()
+
+
+def as_float(x):
+    import struct
+
+    return struct.unpack("f", struct.pack("f", x))[0]
+
+
+def test_p99_with_infinities_and_nan(spark):
+    p99 = lambda values: evaluate.percentile99(spark.createDataFrame([(v,) for v in values], "x double"), "x").first()["p99"]
+    assert p99([1.0, INF]) == INF and p99([INF, INF]) == INF and p99([None]) is None
+    assert p99([1.0] * 150 + [NAN]) == 1.0
+    assert (x := p99([1.0, NAN])) != x
+    assert p99([2.0**60, 2.0**60 + 256] * 30_000) == 2**60 + 256
+
+
+def test_ranges_are_even_whatever_the_ids(spark, monkeypatch):
+    """One outlier, hash-like ids, one group with all rows: ranges grow in number with the rows, and not in size."""
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 500)
+    ids = list(range(4_000)) + [2**62]
+    for own in (ids, [(k * 0x9E3779B97F4A7C15) % 2**63 for k in ids]):
+        df = spark.createDataFrame([(k, 7) for k in own], "row_id long, g int").repartition(6)
+        sizes = [r["count"] for r in ranges.ordered(df, "row_id").groupBy("__part").count().collect()]
+        assert len(sizes) == 9 and max(sizes) < 800
+        assert {r["row_id"]: r["place"] for r in ranges.numbered(df, "row_id", "g").collect()} == {k: i for i, k in enumerate(sorted(own))}
+        assert len(ranges.ordered(df.limit(900), "row_id").select("__part").distinct().collect()) == 2
+    with_null = spark.createDataFrame([(k, None if k % 2 else 1, 1) for k in range(50)], "row_id long, g int, place int")
+    assert {r["row_id"]: r["place"] for r in ranges.numbered(with_null.drop("place"), "row_id", "g").collect()} == {k: k // 2 for k in range(50)}
+
+
 def test_recall_of_the_index(spark):
     """Recall of the five nearest against brute force, for the queries divisible by 20, over an index fitted on a sample."""
     p = points(spark, 600).cache()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranges import value_at_rank
+from .ranges import values_at_ranks
 
 #: Fixed values of the score.
 WEIGHTS = {"fp": 1, "fn": 3, "err": 5}
@@ -32,16 +32,16 @@ def confusion(results: DataFrame) -> DataFrame:
 
 
 def percentile99(results: DataFrame, column: str) -> DataFrame:
-    """One row with ``p99``, exact and interpolated; null without values. The two ranks it lies between are found by counting ranges of values, so no task holds all values."""
+    """One row with ``p99``, exact and interpolated; null without values. NaN counts as the largest value, beyond infinity, and interpolates to NaN; nulls don't count. No task orders all values."""
     spark = results.sparkSession
     n = results.agg(F.count(column).alias("n")).first()["n"]
     if not n:
         return spark.createDataFrame([(None,)], "p99 double")
     at = (n - 1) * 0.99
     low = int(at)
-    a = float(value_at_rank(results, column, low))
-    b = a if low + 1 >= n or at == low else float(value_at_rank(results, column, low + 1))
-    return spark.createDataFrame([(a + (b - a) * (at - low),)], "p99 double")
+    found = [float(x) for x in values_at_ranks(results, column, low, min(low + 1, n - 1))]
+    a, b = found[0], found[-1]
+    return spark.createDataFrame([(a if a == b or at == low else a + (b - a) * (at - low),)], "p99 double")
 
 
 def scores(counts: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
-"""What a running total over all rows would tell, found by ranges of the ordering column, so that no task gets all rows.
+"""What an order of all rows would tell - values at ranks, numbers, running totals - without one task that gets all rows.
 
-Each pass aggregates all rows of the present range into at most PARTS rows; the range that holds what
-is sought becomes the next one, until few rows are left or one value.
+Quantile sketches, merged in two steps, bracket a rank; Spark's range partitions, whose bounds come
+from a sample, number rows: their sizes follow the rows, not the values, so outliers and hot keys don't matter.
 """
 
 from __future__ import annotations
@@ -9,60 +9,141 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that one pass tells apart, and rows that the last step may order in one task.
-PARTS, FEW = 256, 50_000
+from ..storage import stored
 
+#: Rows of a range, about.
+RANGE_ROWS = 1_000_000
+#: Different values that one step brings to the driver.
+FEW = 50_000
+#: The accuracy of sketches: ranks are off by a few ten-thousandths of the rows. Partial ones are merged in so many groups first.
+SKETCH_K, MERGES = 8_192, 64
+#: A bracket reaches so far on either side of its rank, in shares of the rows.
+MARGIN = 0.002
+#: What a bracket leaves out on either side.
+_BELOW, _WITHIN = 0, 1
 
-def _part(column: str, lo, hi, parts: int) -> Column:
-    """Which of so many equal ranges from lo to hi a value is in. Monotonic, so that no order is lost by rounding."""
-    width = (hi - lo) / parts
-    at = F.floor((F.col(column).cast("double") - F.lit(float(lo))) / F.lit(float(width))) if width else F.lit(0)
-    return F.least(F.greatest(at, F.lit(0)), F.lit(parts - 1)).cast("int")
 
+def _kind(rows: DataFrame, column: str) -> str:
+    return "double" if dict(rows.dtypes)[column] in ("double", "float") or dict(rows.dtypes)[column].startswith("decimal") else "bigint"
 
-def at_total(rows: DataFrame, order: str, weight: Column, target: float) -> DataFrame | None:
-    """The rows of the range of ``order`` in which the running total of weight reaches target, with ``before``, what comes ahead of the range; None if it is never reached."""
-    rows, before = rows.withColumn("__w", weight), 0
-    while True:
-        ends = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-        if not ends["n"]:
-            return None
-        if ends["n"] <= FEW or ends["lo"] == ends["hi"]:
-            return rows.drop("__w").withColumn("before", F.lit(before))
-        parts = rows.groupBy(_part(order, ends["lo"], ends["hi"], PARTS).alias("part")).agg(F.sum("__w").alias("w"))
-        for r in sorted(parts.collect(), key=lambda r: r["part"]):
-            if before + (r["w"] or 0) >= target:
-                rows = rows.where(_part(order, ends["lo"], ends["hi"], PARTS) == r["part"])
+
+def _sketch(rows: DataFrame, column: str, kind: str) -> tuple[bytes | None, int]:
+    """A quantile sketch of the values, and their number."""
+    add, merge = (getattr(F, f"kll_{x}_agg_{kind}") for x in ("sketch", "merge"))
+    parts = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("g")).agg(add(F.col(column).cast(kind), F.lit(SKETCH_K)).alias("s"), F.count(F.lit(1)).alias("n"))
+    found = parts.agg(merge("s").alias("s"), F.sum("n").alias("n")).first()
+    return found["s"], found["n"] or 0
+
+
+def _bracket(rows: DataFrame, column: str, kind: str, sketch: bytes, low: float, high: float) -> tuple:
+    """The sketch's values at two shares of the rows; nothing where a share is at an end."""
+    at = getattr(F, f"kll_sketch_get_quantile_{kind}")
+    held = F.lit(sketch)
+    got = rows.sparkSession.range(1).select(*[at(held, F.lit(min(max(x, 0.0), 1.0))).alias(c) for x, c in ((low, "a"), (high, "b"))]).first()
+    return (got["a"] if low > 0 else None), (got["b"] if high < 1 else None)
+
+
+def values_at_ranks(rows: DataFrame, column: str, first: int, last: int | None = None) -> list:
+    """The values at ranks first to last, from 0 and FEW apart at most, of the non-null values in Spark's order, in which NaN comes after infinity; None for ranks beyond the values.
+
+    Two passes: a sketch brackets the ranks, then one aggregation counts what lies below the bracket
+    and each value within, however many ties it has. If more than FEW different values come before
+    the ranks are reached, the rest of the bracket is sketched and counted in the same way; each
+    round leaves a small share of the rows or ends.
+    """
+    last = first if last is None else last
+    present = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("x"))
+    floating = dict(present.dtypes)["x"] in ("double", "float")
+    found: dict[int, object] = {}
+    before, low, high, total = 0, None, None, None  # values at or below low are done with, and so many
+    kind = _kind(present, "x")
+    numbers = present.where(~F.isnan("x")) if floating else present
+    while len(found) <= last - first:
+        within = numbers
+        if low is not None:
+            within = within.where(F.col("x") > F.lit(low))
+        if high is not None:
+            within = within.where(F.col("x") <= F.lit(high))
+        sketch, n = _sketch(within, "x", kind)
+        total = n if total is None else total
+        if not n:
+            if high is None:
                 break
-            before += r["w"] or 0
+            high = None  # the ranks lie above the bracket
+            continue
+        left = lambda rank, off: (rank - before) / n + off  # noqa: E731, B023
+        lo, hi = _bracket(within, "x", kind, sketch, left(first + len(found), -MARGIN), left(last, MARGIN))
+        side = F.when(F.col("x") < F.lit(lo), F.lit(_BELOW)).otherwise(F.lit(_WITHIN)) if lo is not None else F.lit(_WITHIN)
+        top = within if hi is None else within.where(F.col("x") <= F.lit(hi))
+        counted = top.groupBy(side.alias("side"), F.when(side == _WITHIN, F.col("x")).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+        held = counted.orderBy("side", "x").limit(FEW).collect()
+        if held and held[0]["side"] == _BELOW and before + held[0]["n"] > first + len(found):
+            high, lo = lo, None  # the sketch was too far up; look below its bracket
+            held = []
+            continue
+        for r in held:
+            before += r["n"]
+            while len(found) <= last - first and first + len(found) < before:
+                found[len(found)] = r["x"]
+            low = r["x"] if r["side"] == _WITHIN else low
+        if low is None:
+            low = lo
+        if len(held) < FEW:  # all of the bracket is counted
+            if hi is None and high is None:
+                break
+            low, high = (hi if hi is not None else high), None
         else:
-            return None
+            high = hi if hi is not None else high
+    values = [found.get(k) for k in range(last - first + 1)]
+    if floating and None in values:
+        nans = present.count() - total
+        for k, v in enumerate(values):
+            if v is None and first + k < total + nans:
+                values[k] = float("nan")
+    return values
 
 
 def value_at_rank(rows: DataFrame, column: str, rank: int):
     """The value at a rank, from 0, of the non-null values in order; None if there are not so many."""
-    found = at_total(rows.where(F.col(column).isNotNull()).select(column), column, F.lit(1), rank + 1)
-    if found is None:
-        return None
-    before, n, lo, hi = found.agg(F.max("before"), F.count(F.lit(1)), F.min(column), F.max(column)).first()
-    if rank - before >= n:
-        return None
-    if lo == hi:
-        return lo
-    return found.orderBy(column).limit(rank - before + 1).agg(F.max(column)).first()[0]
+    return values_at_ranks(rows, column, rank)[0]
+
+
+def ordered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows, stored in order, with ``__part``, a range of the order, and ``__at``, the row's number from 0 in it.
+
+    There is a range for about RANGE_ROWS rows. Their bounds come from a sample of the rows, so they
+    are even whatever the values are; equal values share a range.
+    """
+    parts = max(1, -(-rows.count() // RANGE_ROWS))
+    sorted_ = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    numbered_ = sorted_.withColumn("__id", F.monotonically_increasing_id())
+    return stored(numbered_.withColumns({"__part": F.shiftright("__id", 33).cast("int"), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__id"))
+
+
+def at_total(rows: DataFrame, order: str, weight: Column, target: float) -> DataFrame | None:
+    """The rows of the range of ``order`` in which the running total of weight reaches target, with ``before``, what comes ahead of the range; None if it is never reached. A null weight is none."""
+    held = ordered(rows.withColumn("__w", weight), order)
+    before = 0
+    for r in held.groupBy("__part").agg(F.sum("__w").alias("w")).orderBy("__part").collect():  # a row for RANGE_ROWS rows
+        if before + (r["w"] or 0) >= target:
+            return held.where(F.col("__part") == r["__part"]).drop("__part", "__at", "__w").withColumn("before", F.lit(before))
+        before += r["w"] or 0
+    return None
 
 
 def numbered(rows: DataFrame, order: str, *by: str) -> DataFrame:
     """rows with ``place``, their number from 0 by ``order`` among the rows of equal ``by``.
 
-    Rows are numbered within PARTS ranges of the order, and the counts of the ranges before, a row for each
-    range and group, are added. Values of ``order`` must be unique within a group.
+    Rows lie in ranges of (by, order), and a row's number there is known from the sort. What is added
+    is where its group starts in the range and how many of the group the ranges before hold: a row
+    for each range and group. Values of ``order`` must be unique within a group.
     """
-    ends = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    if ends["lo"] is None:
-        return rows.withColumn("place", F.lit(0).cast("long"))
-    keyed = rows.withColumn("__part", _part(order, ends["lo"], ends["hi"], PARTS))
+    held = ordered(rows, *by, order)
+    starts = held.groupBy(*by, "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
     ahead = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = keyed.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).drop("__n")
-    own = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(order)) - 1
-    return keyed.withColumn("__own", own).join(counts, [*by, "__part"]).withColumn("place", (F.col("__own") + F.col("__ahead")).cast("long")).drop("__part", "__own", "__ahead")
+    added = starts.withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).drop("__n")
+    on = F.lit(True)
+    for c in (*by, "__part"):
+        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    both = held.alias("a").join(added.alias("b"), on)
+    return both.select(*[F.col(f"a.{c}") for c in rows.columns], (F.col("a.__at") - F.col("b.__first") + F.col("b.__ahead")).cast("long").alias("place"))
