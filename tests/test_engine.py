@@ -1,5 +1,7 @@
 import json
+import shutil
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -164,6 +166,103 @@ def test_index_and_search(spark, tmp_path):
     assert all(votes[2][k] == (votes[1][k] if 1 <= votes[0][k] <= 4 else votes[0][k]) for k in votes[0]) and len(votes[2]) == 30
 
 
+def neighbours(df):
+    return sorted(tuple(r[c] for c in ("query_id", "rank", "cluster_id", "probe_rank", "row_id", "label", "dist")) for r in df.collect())
+
+
+@pytest.fixture(scope="module")
+def written(spark, tmp_path_factory):
+    """(index, points, queries, clusters, members): blocks of 16 members, a cluster without any."""
+    p = points(spark, 900).cache()
+    q = p.where("row_id % 20 = 0").select(F.col("row_id").alias("query_id"), F.col("v").alias("q")).cache()
+    far = spark.createDataFrame([(99, [-10_000.0] * DIM)], "cluster_id int, c array<double>")
+    clusters, members = index.build(p, kmeans.step(p, kmeans.lowest_rows(p, 12)).union(far))
+    folder, block = str(tmp_path_factory.mktemp("index") / "i"), index.MEMBER_BLOCK
+    index.MEMBER_BLOCK = 16
+    index.packed.__defaults__ = (16, DIM)
+    index.write(clusters, members, folder, files=4)
+    index.MEMBER_BLOCK = block
+    index.packed.__defaults__ = (block, DIM)
+    found = index.Index(spark, folder)
+    yield found, p, q, clusters, members
+    found.close()
+
+
+@pytest.mark.parametrize("sent", [65_536, 10])
+def test_search_of_a_written_index(spark, written, monkeypatch, sent):
+    """Queries that travel and queries that are shuffled find what the join of members finds."""
+    monkeypatch.setattr(search, "SENT_QUERIES", sent)
+    monkeypatch.setattr(search, "SLICE", 20)
+    i, p, q, clusters, members = written
+    assert sorted(map(str, i.members.collect())) == sorted(map(str, members.select("row_id", "v", "label", "cluster_id").collect()))
+    assert i.blocks.count() > 50
+    for count in (2, 13):
+        want = neighbours(search.top(search.probes(q, clusters, count), members))
+        work = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+        assert neighbours(search.index_neighbours(i, q, count, work=work)) == want
+        assert 0 < work[0].value <= work[1].value
+        votes = {r["query_id"]: r["votes"] for r in search.ivf_votes(q, clusters, members, count).collect()}
+        assert {r["query_id"]: r["votes"] for r in search.index_votes(i, q, count).collect()} == votes
+    exact = {(r["query_id"], r["rank"]): r["dist"] for r in search.knn_exact(q, p).collect()}
+    assert {(a, b): d for a, b, *_, d in want} == exact  # over all clusters
+    votes = {r["query_id"]: r["votes"] for r in search.ivf_adaptive(q, clusters, members, 1, 6).collect()}
+    assert {r["query_id"]: r["votes"] for r in search.index_adaptive(i, q, 1, 6).collect()} == votes
+    none = q.limit(0)
+    assert search.index_adaptive(i, none, 1, 6).collect() == [] and search.index_votes(i, none, 3).collect() == []
+
+
+def test_members_of_a_written_index_stay(spark, written, monkeypatch):
+    """No exchange below which the index lies, and only blocks of probed clusters are read."""
+    i, p, q, _, _ = written
+    few = q.where("query_id < 20").cache()
+
+    def exchanged(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        lines = plan.splitlines()
+        at = next(k for k, line in enumerate(lines) if f"default.{i.table}" in line)
+        depth, above = lines[at].index("+-") if "+-" in lines[at] else lines[at].index(":-"), []
+        for line in reversed(lines[:at]):
+            mark = max(line.find("+-"), line.find(":-"))
+            if 0 <= mark < depth:
+                depth = mark
+                above.append(line)
+        below = [x for x in above if "MapInArrow" in x or "FlatMapCoGroups" in x][0]
+        return [x for x in above[: above.index(below)] if "Exchange" in x], lines[at]
+
+    hit, scan = exchanged(search.index_neighbours(i, few, 1))
+    assert not hit and "PushedFilters: [Or" in scan or "GreaterThanOrEqual(block_id" in scan
+    monkeypatch.setattr(search, "SENT_QUERIES", 0)
+    hit, scan = exchanged(search.index_neighbours(i, few, 1))
+    assert not hit and "Bucketed: true" in scan
+
+
+def test_kept_index_is_read_once(spark, written, tmp_path):
+    """Later batches find the blocks in the executors, even if the files have gone."""
+    i, p, q, clusters, members = written
+    folder = str(tmp_path / "own")
+    index.write(clusters, members, folder, files=2)
+    own = index.Index(spark, folder).keep()
+    votes = [{r["query_id"]: r["votes"] for r in search.index_votes(own, q, 13).collect()}]
+    shutil.rmtree(folder)
+    votes.append({r["query_id"]: r["votes"] for r in search.index_votes(own, q, 13).collect()})
+    own.close()
+    assert votes[0] == votes[1] == {r["query_id"]: r["votes"] for r in search.ivf_votes(q, clusters, members, 13).collect()}
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(1, 40), st.integers(1, 9), st.integers(0, 2**32), st.booleans())
+def test_kernel_with_and_without_early_exit(n, m, seed, tight):
+    rng = np.random.default_rng(seed)
+    v, q = rng.integers(0, 5, (DIM, n)).astype(float), rng.integers(0, 5, (m, DIM)).astype(float)
+    cutoff = rng.integers(0, 60, m) if tight else np.full(m, search.FAR)
+    i, j, d, work = search.near_in_block(q, cutoff, v, 3)
+    want = []
+    for a in range(m):
+        dist = ((q[a] - v.T) ** 2).sum(axis=1).astype(int)
+        want += [(a, b, dist[b]) for b in sorted(range(n), key=lambda b: (dist[b], b))[:3] if dist[b] <= cutoff[a]]
+    assert list(zip(i.tolist(), j.tolist(), d.tolist(), strict=True)) == want and work <= DIM * n * m
+
+
 def test_too_few_points_are_refused(spark):
     p = points(spark, 3)
     with pytest.raises(ValueError, match="too few"):

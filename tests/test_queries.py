@@ -32,6 +32,17 @@ def test_stream_answers_like_a_batch(spark, small):
     assert both.count() > 300 and both.where("response != want").isEmpty()
 
 
+def test_streams_leave_no_tables(spark, small, monkeypatch, tmp_path):
+    """What micro-batches store goes with them; the index and the sink's files stay."""
+    from vektorium import storage
+
+    made = []
+    monkeypatch.setattr(storage, "scratch", lambda spark: made.append(str(tmp_path / f"t{len(made)}")) or made[-1])
+    queries.stream_scores(spark, small).count()
+    spark.catalog.clearCache()
+    assert len(made) > 10 and not any((tmp_path / f"t{k}").exists() for k in range(len(made)))
+
+
 def test_entry_points():
     import __spark_entry__ as entry
 

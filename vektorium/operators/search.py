@@ -1,24 +1,40 @@
 """Nearest-neighbour search and vote: exact, and two-tier through the index.
 
 Shapes: queries (query_id, q), points and members (row_id, v, label[, cluster_id]), clusters (cluster_id, ci, bb_min, bb_max).
+What takes an Index searches it where it lies: queries travel to its blocks, and members never move.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import box_lower_bound, squared_distance
-from ..schema import BORDERLINE, FAST_PROBES, FULL_PROBES, TOP_K
+from ..schema import BORDERLINE, DIM, FAST_PROBES, FULL_PROBES, TOP_K
 from ..storage import stored
-from .kmeans import nearest
+from .index import Index, Lists
+from .kmeans import BLOCK, _distances, nearest
 
 #: Sides of a block of the exact search.
 QUERY_BLOCK, POINT_BLOCK = 4_096, 32_768
 #: Members of a cluster that are searched at once.
 MEMBER_BLOCK = 8_192
+#: So many queries at most travel to every task that reads the index, some 150 bytes each; more go by shuffled slices of about SLICE.
+SENT_QUERIES, SLICE = 65_536, 1_000_000
+#: Pairs of a query and a member that are in memory at once; share of them beyond which all dimensions are computed for all.
+PAIRS, DENSE = 1_000_000, 0.25
+#: Dimensions after which a distance is held against the best so far.
+CHECKPOINTS = (4, 6, 8)
+#: Ranges of blocks that a scan's filter names at most.
+RANGES = 64
+#: Stands for no bound.
+FAR = 1 << 62
 
 
 def _best(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -165,3 +181,213 @@ def ivf_adaptive(queries: DataFrame, clusters: DataFrame, members: DataFrame, fa
     both = near.select(*columns).join(open_, "query_id", "left_semi").union(wide.select(*columns))
     again = votes(ranked(both, k, "dist", "probe_rank", "row_id"), open_)
     return voted.join(open_, "query_id", "left_anti").union(again)
+
+
+def near_in_block(q: np.ndarray, cutoff: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, member, distance) of the k nearest members (columns of v, by dimension) of each query (row of q) no farther than its cutoff, ties to the first member; and how many squares were summed.
+
+    Distances over the first four dimensions come from one matrix product. Where few pairs are within the
+    cutoff by then, only those go on, and are held against it again at the further checkpoints.
+    """
+    dims, n = v.shape
+    found: list[tuple] = []
+    work, first = 0, CHECKPOINTS[0]
+    v1, v2 = v[:first], v[first:]
+    norm1, norm2 = (v1 * v1).sum(axis=0), (v2 * v2).sum(axis=0)
+    step = max(1, PAIRS // max(n, 1))
+    for lo in range(0, len(q), step):
+        x, c = q[lo : lo + step], cutoff[lo : lo + step].astype(np.float64)
+        x1, x2 = x[:, :first], x[:, first:]
+        # whole numbers below 2^53 throughout: exact
+        d = (x1 * x1).sum(axis=1)[:, None] + norm1 - 2 * (x1 @ v1)
+        alive = d <= c[:, None]
+        work += first * d.size
+        if np.count_nonzero(alive) > DENSE * d.size:
+            d += (x2 * x2).sum(axis=1)[:, None] + norm2 - 2 * (x2 @ v2)
+            work += (dims - first) * d.size
+            key = d * n + np.arange(n)
+            few = min(k, n)
+            best = np.sort(np.partition(key, few - 1, axis=1)[:, :few], axis=1).ravel()
+            i, j, near = np.repeat(np.arange(len(x)), few), (best % n).astype(np.int64), best // n
+            keep = near <= c[i]
+            found.append((i[keep] + lo, j[keep], near[keep]))
+            continue
+        i, j = np.nonzero(alive)
+        near = d[i, j]
+        for a, b in zip(CHECKPOINTS, (*CHECKPOINTS[1:], dims), strict=True):
+            gap = x[i, a:b] - v[a:b, j].T
+            near = near + (gap * gap).sum(axis=1)
+            work += gap.size
+            keep = near <= c[i]
+            i, j, near = i[keep], j[keep], near[keep]
+        order = np.lexsort((j, near, i))
+        i, j, near = i[order], j[order], near[order]
+        start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
+        keep = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) < k
+        found.append((i[keep] + lo, j[keep], near[keep]))
+    i, j, near = (np.concatenate([f[c] for f in found] or [np.zeros(0)]) for c in range(3))
+    return i.astype(np.int64), j.astype(np.int64), near.astype(np.int64), work
+
+
+_FOUND = "query_id long, cluster_id int, probe_rank int, row_id long, label int, dist long"
+
+
+class _Scan:
+    """Searches blocks one after another: a query's k-th distance in one block bounds what the next ones may find."""
+
+    def __init__(self, k: int, work: tuple[Accumulator, Accumulator] | None):
+        self.k, self.work, self.best = k, work, {}
+
+    def block(self, block: dict, ids: np.ndarray, q: np.ndarray, ranks: np.ndarray, cutoff: np.ndarray) -> pd.DataFrame:
+        n = block["n"]
+        v = np.frombuffer(block["vectors"], np.int16).reshape(-1, n).astype(np.float64)
+        best, names = self.best, ids.tolist()
+        cutoff = np.minimum(cutoff, [best.get(x, FAR) for x in names])
+        i, j, near, work = near_in_block(q, cutoff, v, self.k)
+        full = np.flatnonzero(np.bincount(i, minlength=len(ids)) == self.k)
+        for x, d in zip(full.tolist(), near[np.searchsorted(i, full, side="right") - 1].tolist(), strict=True):
+            best[names[x]] = min(d, best.get(names[x], FAR))
+        if self.work:
+            self.work[0].add(work)
+            self.work[1].add(v.size * len(ids))
+        rows, labels = np.frombuffer(block["rows"], np.int64), np.frombuffer(block["labels"], np.int8)
+        return pd.DataFrame({"query_id": ids[i], "cluster_id": np.full(len(i), block["cluster_id"], np.int32), "probe_rank": ranks[i].astype(np.int32), "row_id": rows[j], "label": labels[j].astype(np.int32), "dist": near})
+
+
+def probe_plan(queries: DataFrame, index: Index, first: int, count: int, k: int = TOP_K) -> DataFrame:
+    """(query_id, q, clusters, low, bound): the nearest ``count`` clusters of each query in order, the least distance to each one's box, and a bound on its k-th distance within the first ``first``.
+
+    A cluster's k nearest members to its centroid are no farther from a query than its centroid and
+    they together, which bounds the k-th distance without reading a member.
+    """
+    sent, dims = index.sent, DIM
+
+    @F.pandas_udf("clusters array<int>, low array<long>, bound long")
+    def probe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        lists: Lists = sent.value
+        size = len(lists.ids)
+        few = min(count, size)
+        reach = np.sqrt(lists.nearest[:, k - 1]) if k <= TOP_K else np.full(size, np.inf)
+        for s in batches:
+            clusters, low, bound = [], [], []
+            for lo in range(0, len(s), BLOCK):
+                q = np.array(s.iloc[lo : lo + BLOCK].tolist(), np.float64).reshape(-1, dims)
+                key = _distances(q, lists.centroids) * size + np.arange(size)  # ties to the lower id
+                best = np.sort(np.partition(key, few - 1, axis=1)[:, :few], axis=1)
+                at, cdist = (best % size).astype(np.int64), best // size
+                gap = np.maximum(np.maximum(lists.low[at] - q[:, None], q[:, None] - lists.high[at]), 0)
+                far = ((np.sqrt(cdist) + reach[at]) ** 2)[:, :first].min(axis=1)
+                clusters += lists.ids[at].tolist()
+                low += (gap * gap).sum(axis=2).astype(np.int64).tolist()
+                bound += np.where(np.isfinite(far), np.ceil(far * (1 + 1e-9) + 1), FAR).astype(np.int64).tolist()
+            yield pd.DataFrame({"clusters": clusters, "low": low, "bound": bound})
+
+    return queries.select("query_id", "q", probe("q").alias("p")).select("query_id", "q", "p.*")
+
+
+def _within(index: Index, clusters: np.ndarray) -> Column:
+    """A filter on the block ids of clusters, in few ranges, so that Parquet's statistics skip what lies outside."""
+    lists = index.lists
+    at = np.searchsorted(lists.ids, clusters)
+    ranges = [[a, b] for a, b in sorted(zip(lists.first_block[at].tolist(), (lists.first_block + lists.n_blocks)[at].tolist(), strict=True)) if a < b]
+    merged: list[list[int]] = []
+    for a, b in ranges:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    gaps = sorted(range(1, len(merged)), key=lambda i: merged[i][0] - merged[i - 1][1], reverse=True)[: RANGES - 1]
+    edges = [0, *sorted(gaps), len(merged)]
+    found = F.lit(False)
+    for a, b in zip(edges, edges[1:]):  # noqa: B905
+        if a < b:
+            found = found | F.col("block_id").between(merged[a][0], merged[b - 1][1] - 1)
+    return found
+
+
+def search_index(index: Index, planned: DataFrame, k: int = TOP_K, work: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
+    """(query_id, cluster_id, probe_rank, row_id, label, dist, rank): the k nearest members of each query's probes.
+
+    planned: a stored table (query_id, q, probes array<struct<cluster_id int, probe_rank int>>, cutoff), in which
+    nobody beyond cutoff is looked for. Few queries travel to all tasks, which read the
+    blocks of probed clusters alone. More of them are shuffled to the blocks' buckets, in slices that bound what
+    one block meets. ``work`` sums the squares computed and those that all pairs have.
+    """
+    n = planned.count()
+    if n <= SENT_QUERIES:
+        table = planned.toArrow().combine_chunks()
+        lists = table["probes"].combine_chunks() if n else pa.array([], pa.list_(pa.struct([("cluster_id", pa.int32()), ("probe_rank", pa.int32())])))
+        offsets, probes = lists.offsets.to_numpy(), lists.flatten()
+        owner = np.repeat(np.arange(n), np.diff(offsets))
+        cluster, rank = (probes.field(c).to_numpy() for c in ("cluster_id", "probe_rank"))
+        by = np.argsort(cluster, kind="stable")
+        q = np.array(table["q"].to_pylist(), np.int16).reshape(n, DIM)
+        sent = index.spark.sparkContext.broadcast((table["query_id"].to_numpy(), q, table["cutoff"].to_numpy(), cluster[by], owner[by], rank[by]))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q, cutoff, cluster, owner, rank = sent.value
+            state = _Scan(k, work)
+            for b in batches:
+                for block in b.to_pylist():
+                    lo, hi = np.searchsorted(cluster, [block["cluster_id"], block["cluster_id"] + 1])
+                    if lo < hi:
+                        own = owner[lo:hi]
+                        yield pa.RecordBatch.from_pandas(state.block(block, ids[own], q[own].astype(np.float64), rank[lo:hi], cutoff[own]), preserve_index=False)
+
+        probed = np.unique(cluster)
+        found = index.blocks.where(_within(index, probed)).select("cluster_id", "n", "rows", "vectors", "labels").mapInArrow(scan, _FOUND)
+        return ranked(found, k, "dist", "probe_rank", "row_id")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({c.split()[0]: [] for c in _FOUND.split(", ")})
+        block = right.iloc[0].to_dict()
+        return _Scan(k, work).block(block, left["query_id"].to_numpy(), np.array(left["q"].tolist(), np.float64), left["probe_rank"].to_numpy(), left["cutoff"].to_numpy())
+
+    places = F.broadcast(index.clusters.where("n_blocks > 0").select("cluster_id", F.explode(F.sequence("first_block", F.col("first_block") + F.col("n_blocks") - 1)).alias("block_id")))
+    slices = -(-n // SLICE)
+    out = None
+    for s in range(slices):
+        some = planned.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).select("query_id", "q", "cutoff", F.inline("probes"))
+        left = some.join(places, "cluster_id").select("block_id", "query_id", "q", "cutoff", "probe_rank")
+        found = left.groupBy("block_id").cogroup(index.blocks.groupBy("block_id")).applyInPandas(meet, _FOUND)
+        best = ranked(found, k, "dist", "probe_rank", "row_id")
+        out = best if slices == 1 else stored(best) if out is None else out.union(stored(best))
+    return out
+
+
+def _planned(plan: DataFrame, lo: int, hi: int, keep: str, cutoff: str) -> DataFrame:
+    """Probes lo + 1 to hi of a probe plan whose box may hold somebody that matters."""
+    probes = f"filter(transform(slice(clusters, {lo + 1}, {hi - lo}), (c, i) -> struct(c AS cluster_id, cast(i + {lo + 1} AS int) AS probe_rank, low[i + {lo}] AS low)), x -> {keep})"
+    return plan.select("query_id", "q", F.expr(f"transform({probes}, x -> struct(x.cluster_id, x.probe_rank))").alias("probes"), F.expr(cutoff).cast("long").alias("cutoff"))
+
+
+def index_neighbours(index: Index, queries: DataFrame, count: int, k: int = TOP_K, work: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
+    """The k nearest members of each query's ``count`` nearest clusters, as search_index() gives them."""
+    plan = stored(probe_plan(queries, index, count, count, k))
+    return search_index(index, stored(_planned(plan, 0, count, "x.low <= bound", "bound")), k, work)
+
+
+def index_votes(index: Index, queries: DataFrame, count: int, k: int = TOP_K) -> DataFrame:
+    """(query_id, votes) by the ``count`` nearest clusters of a written index."""
+    plan = stored(probe_plan(queries, index, count, count, k))
+    return votes(search_index(index, stored(_planned(plan, 0, count, "x.low <= bound", "bound")), k), plan)
+
+
+def index_adaptive(index: Index, queries: DataFrame, fast: int = FAST_PROBES, full: int = FULL_PROBES, k: int = TOP_K, work: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
+    """(query_id, votes), the rows of ivf_adaptive(), over a written index.
+
+    Clusters are ranked once a query. The wide pass goes on where the fast one ended: for open
+    queries alone, without clusters whose box is at the k-th distance so far, and for members nearer than that.
+    """
+    plan = stored(probe_plan(queries, index, fast, full, k))
+    near = stored(search_index(index, stored(_planned(plan, 0, fast, "x.low <= bound", "bound")), k, work))
+    voted = stored(votes(near, plan))
+    kth = near.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("dist"))).alias("kth"))
+    wide = plan.join(voted.where(F.col("votes").between(*BORDERLINE)).select("query_id"), "query_id", "left_semi").join(kth, "query_id", "left")
+    planned = stored(_planned(wide, fast, full, "kth IS NULL OR x.low < kth", f"coalesce(kth - 1, {FAR})"))
+    columns = ["query_id", "probe_rank", "row_id", "label", "dist"]
+    further = search_index(index, planned, k, work)
+    both = near.select(*columns).join(planned.select("query_id"), "query_id", "left_semi").union(further.select(*columns))
+    again = votes(ranked(both, k, "dist", "probe_rank", "row_id"), planned, "again")
+    return voted.join(again, "query_id", "left").select("query_id", F.coalesce("again", "votes").alias("votes"))

@@ -184,6 +184,7 @@ b AS (SELECT pr.query_id, pr.cluster_id, probe_rank, {_lower('q', 'lo', 'hi')} A
         "ivf_fast": _with(INDEX, "SELECT query_id, votes FROM vf"),
         "ivf_full": _with(INDEX, "SELECT query_id, votes FROM vl"),
         "ivf_adaptive": _with(INDEX, "SELECT vf.query_id, CASE WHEN vf.votes BETWEEN 1 AND 4 THEN vl.votes ELSE vf.votes END AS votes FROM vf JOIN vl ON vl.query_id = vf.query_id"),
+        "ivf_joined": _with(INDEX, "SELECT vf.query_id, CASE WHEN vf.votes BETWEEN 1 AND 4 THEN vl.votes ELSE vf.votes END AS votes FROM vf JOIN vl ON vl.query_id = vf.query_id"),
         "eval_confusion": _CONF,
         "eval_p99": "SELECT quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem",
         "eval_score": _with("""c AS (SELECT o_orderpriority, o_orderstatus, count(*) FILTER (o_orderkey % 3 = 0) AS tp, count(*) FILTER (o_orderkey % 3 = 1) AS tn,

@@ -41,6 +41,14 @@ def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return clusters.persist(), members.persist(), fixtures.queries_of(points)
 
 
+def _written(spark: SparkSession, sf_dir: str) -> tuple[index.Index, DataFrame]:
+    """(an index of all transactions, written and opened, the queries)."""
+    clusters, members, queries = _index(spark, sf_dir)
+    folder = scratch(spark)
+    index.write(clusters, members, folder, files=4)
+    return index.Index(spark, folder), queries
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled records: the feature vectors of all transactions as numbers."""
     r = fixtures.requests(spark, sf_dir)
@@ -260,11 +268,8 @@ def ivf_build(spark, sf_dir):
 
 def index_roundtrip(spark, sf_dir):
     """Members per cluster of an index that was written and read back."""
-    clusters, members, _ = _index(spark, sf_dir)
-    folder = scratch(spark)
-    index.write(clusters, members, folder, files=4)
-    again, held = index.read(spark, folder)
-    return again.join(index.sizes(held).withColumnRenamed("n", "found"), "cluster_id", "left").select("cluster_id", F.coalesce("found", F.lit(0)).alias("n"))
+    found, _ = _written(spark, sf_dir)
+    return found.clusters.select("cluster_id").join(index.sizes(found.members).withColumnRenamed("n", "found"), "cluster_id", "left").select("cluster_id", F.coalesce("found", F.lit(0)).alias("n"))
 
 
 def ivf_probes(spark, sf_dir):
@@ -311,16 +316,19 @@ def fraud_vote(spark, sf_dir):
 
 
 def ivf_fast(spark, sf_dir):
-    clusters, members, queries = _index(spark, sf_dir)
-    return search.ivf_votes(queries, clusters, members, FAST)
+    return search.index_votes(*_written(spark, sf_dir), FAST)
 
 
 def ivf_full(spark, sf_dir):
-    clusters, members, queries = _index(spark, sf_dir)
-    return search.ivf_votes(queries, clusters, members, FULL)
+    return search.index_votes(*_written(spark, sf_dir), FULL)
 
 
 def ivf_adaptive(spark, sf_dir):
+    return search.index_adaptive(*_written(spark, sf_dir), FAST, FULL)
+
+
+def ivf_joined(spark, sf_dir):
+    """The adaptive votes without a written index: members join the queries that probe their cluster."""
     clusters, members, queries = _index(spark, sf_dir)
     return search.ivf_adaptive(queries, clusters, members, FAST, FULL)
 
@@ -371,7 +379,7 @@ def eval_entries(spark, sf_dir):
 
 
 def label_stats(spark, sf_dir):
-    return evaluate.label_stats(fixtures.transactions(spark, sf_dir), "label")
+    return evaluate.label_stats(fixtures.transactions(spark, sf_dir, means=False), "label")
 
 
 def lcg_sequence(spark, sf_dir):
@@ -408,10 +416,11 @@ def stream_scores(spark, sf_dir):
     from ..streaming.scoring import read_requests, score_stream
 
     folder = scratch(spark)
-    clusters, members, _ = _index(spark, sf_dir)
+    found, _ = _written(spark, sf_dir)
     fixtures.http_requests(spark, sf_dir).repartition(4).write.mode("overwrite").json(f"{folder}/in")
     sink = lambda answers, batch: answers.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
-    score_stream(read_requests(spark, f"{folder}/in"), clusters, members, sink, f"{folder}/checkpoint", fast=FAST, full=FULL).awaitTermination()
+    score_stream(read_requests(spark, f"{folder}/in"), found.keep(), sink, f"{folder}/checkpoint", fast=FAST, full=FULL).awaitTermination()
+    found.close()
     return spark.read.parquet(f"{folder}/out").select("event_id", "status", "response")
 
 
@@ -419,7 +428,7 @@ NAMES = """knn_verdict ref_count ref_scan ref_validate label_encode route_reques
     parse_json datetime_parts merchant_known features features_sentinel features_typed clamp round4 mcc_risk quantize quantize_vector
     vectors verdict score_json l2_distance knn_exact centroid_distances kmeans_assign kmeans_step centroid_round kmeanspp_weights
     weighted_pick cluster_sizes cluster_bbox block_offsets block_slots ivf_build index_roundtrip ivf_probes ivf_scan knn_top5
-    bbox_lower_bound bbox_prune l2_partial_filter fraud_vote ivf_fast ivf_full ivf_adaptive eval_confusion eval_p99 eval_score
+    bbox_lower_bound bbox_prune l2_partial_filter fraud_vote ivf_fast ivf_full ivf_adaptive ivf_joined eval_confusion eval_p99 eval_score
     eval_report eval_entries label_stats lcg_sequence sample_with_replacement kmeanspp_seed kmeans_fit synthetic_queries round_robin
     stream_scores""".split()
 

@@ -9,7 +9,6 @@ DIM = 14
 BLOCK_SIZE = 8
 SCALE = 10_000
 SENTINEL = -10_000
-INDEX_VERSION = 2
 TOP_K = 5
 CENTROIDS, SAMPLE_SIZE, ITERATIONS = 4096, 65_536, 6
 FAST_PROBES, FULL_PROBES = 8, 32
@@ -17,6 +16,9 @@ BORDERLINE = (1, 4)
 APPROVED_BELOW = 3
 MAX_BODY = 4096
 
+#: Of the stored index' layout.
+INDEX_VERSION = 3
+
 #: Merchant categories and their risk, fixed values; any other category has DEFAULT_RISK.
 RISK = {
     "4511": 0.35,

@@ -19,8 +19,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One flat transaction for each event; money is kept in whole cents until the last step, so that no sum depends on an order."""
+def transactions(spark: SparkSession, sf_dir: str, means: bool = True) -> DataFrame:
+    """One flat transaction for each event; money is kept in whole cents until the last step, so that no sum depends on an order. Without ``means`` both averages are null, and nothing is joined for them."""
     e = events(spark, sf_dir).select(
         "event_id", "user_id", "event_type",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
@@ -32,7 +32,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     # sums by key are combined map-side and joined back, so a hot key is not one task
     mean = lambda key, name: e.groupBy(F.col(key).alias("__key")).agg((F.sum("cents").cast("double") / F.count(F.lit(1)) / 100).alias(name))
     for key, name in (("user_id", "customer_avg"), ("k", "merchant_avg")):
-        e = e.join(mean(key, name), F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+        e = e.join(mean(key, name), F.col(key).eqNullSafe(F.col("__key"))).drop("__key") if means else e.withColumn(name, F.lit(None).cast("double"))
     km_home = F.pmod(F.col("user_id") * 7919 + F.col("event_id") * 104729, F.lit(150000)) / F.lit(100).cast("double")
     return e.select(
         "event_id", "event_type", "us", "k",

@@ -10,9 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.features import request_features, vector
 from ..functions.scalars import verdict_json
-from ..operators.search import ivf_adaptive
+from ..operators.index import Index
+from ..operators.search import index_adaptive
 from ..schema import FAST_PROBES, FULL_PROBES
 from ..sources.requests import route
+from ..storage import temporary
 
 REQUESTS = "event_id long, raw string"
 
@@ -22,22 +24,27 @@ def read_requests(spark: SparkSession, path: str, files_per_batch: int = 8) -> D
     return spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def answer(requests: DataFrame, clusters: DataFrame, members: DataFrame, fast: int = FAST_PROBES, full: int = FULL_PROBES) -> DataFrame:
+def answer(requests: DataFrame, index: Index, fast: int = FAST_PROBES, full: int = FULL_PROBES) -> DataFrame:
     """(event_id, status, response): the verdict for a valid scoring request, null for any other."""
     routed = route(requests)
     scored = routed.where((F.col("status") == 200) & (F.col("method") == "POST"))
     queries = scored.select(F.col("event_id").alias("query_id"), vector(request_features(F.col("request"))).alias("q"))
-    votes = ivf_adaptive(queries, clusters, members, fast, full)
+    votes = index_adaptive(index, queries, fast, full)
     return routed.select("event_id", "status").join(votes.select(F.col("query_id").alias("event_id"), verdict_json(F.col("votes")).alias("response")), "event_id", "left")
 
 
-def score_stream(requests: DataFrame, clusters: DataFrame, members: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, **probes) -> StreamingQuery:
-    """Starts a query that answers each micro-batch and hands it to sink(answers, batch_id); a sink that writes by batch_id makes it exactly once."""
+def score_stream(requests: DataFrame, index: Index, sink: Callable[[DataFrame, int], None], checkpoint: str, **probes) -> StreamingQuery:
+    """Starts a query that answers each micro-batch and hands it to sink(answers, batch_id); a sink that writes by batch_id makes it exactly once.
+
+    Micro-batches travel to the index, which Index.keep() holds in the executors; the tables that
+    a micro-batch stores go when its sink has returned.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
         try:
-            sink(answer(held, clusters, members, **probes), batch_id)
+            with temporary(held.sparkSession):
+                sink(answer(held, index, **probes), batch_id)
         finally:
             held.unpersist()
 
