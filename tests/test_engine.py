@@ -337,6 +337,71 @@ def test_ranges(spark, monkeypatch, few):
     assert [tuple(r) for r in kmeans.weighted_pick(rows, 250).select("row_id", "acc").collect()] == [(k * k, acc)] and kmeans.weighted_pick(rows, 10**6).count() == 0
 
 
+def clumps(spark, n=400):
+    rng = np.random.default_rng(8)
+    v = np.clip(rng.integers(0, 6, (n, 1)) * 1500 + rng.integers(-300, 300, (n, DIM)), -10_000, 10_000)
+    return spark.createDataFrame([(k, x, 0) for k, x in enumerate(v.tolist())], "row_id long, v array<int>, label int")
+
+
+def test_bounded_steps_are_plain_steps(spark):
+    """Clumps, ties between equal centroids, one centroid, an empty cluster; and far fewer distances."""
+    p = clumps(spark).cache()
+    same = kmeans.lowest_rows(p, 6).union(kmeans.lowest_rows(p, 2).selectExpr("cluster_id + 50", "c")).union(spark.createDataFrame([(99, [-9_000.0] * DIM)], "cluster_id int, c array<double>"))
+    for start in (kmeans.lowest_rows(p, 9), same, kmeans.lowest_rows(p, 1)):
+        plain = start
+        for _ in range(4):
+            ids, c = kmeans.centroid_matrix(kmeans.step(p, plain), "c")
+            plain = kmeans._frame(spark, ids, c)
+        work = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+        got = kmeans.lloyd(p, start, 4, work=work)
+        assert {r["cluster_id"]: r["c"] for r in got.collect()} == {r["cluster_id"]: r["c"] for r in plain.collect()}
+        assert work[0].value < (0.75 if start is not same else 1.01) * work[1].value
+
+
+def test_parallel_seeding_brute_force(spark):
+    import xxhash
+
+    p = clumps(spark, 300).cache()
+    rows = [(r["row_id"], tuple(r["v"])) for r in p.orderBy("row_id").collect()]
+    k, seed, rounds = 5, 11, 3
+
+    def draw(i, turn):
+        h = 42
+        for x in (i, seed, turn):
+            h = xxhash.xxh64(int(x).to_bytes(8, "little"), seed=h).intdigest()
+        return (h if h < 2**63 else h - 2**64) % 2**53 / 2.0**53
+
+    dist = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    found = [min(rows, key=lambda r: (draw(r[0], 0), r[0]))[1]]
+    for turn in range(1, rounds + 1):
+        w = [min(dist(v, c) for c in found) for _, v in rows]
+        found = found + [v for (i, v), d in zip(rows, w, strict=True) if d > 0 and draw(i, turn) * sum(w) < d * 2 * k]
+    near = [min(range(len(found)), key=lambda j, v=v: (dist(v, found[j]), j)) for _, v in rows]
+    weights = [near.count(j) for j in range(len(found))]
+    rng, chosen = kmeans.Lcg(seed), []
+    while len(chosen) < k:
+        now = [w * (min(dist(c, found[x]) for x in chosen) if chosen else 1) for c, w in zip(found, weights, strict=True)]
+        goal, acc = rng.unit() * sum(now), 0
+        for j, x in enumerate(now):
+            acc += x
+            if acc > goal:
+                break
+        chosen.append(j)
+    got = kmeans.seed_parallel(p, k, seed, rounds).orderBy("cluster_id").collect()
+    assert len(found) > 12 and [tuple(r["c"]) for r in got] == [found[j] for j in chosen]
+    assert kmeans.fit_all(p, k, 2).count() == k
+    few = spark.createDataFrame([(k, [k % 2] * DIM, 0) for k in range(30)], "row_id long, v array<int>, label int")
+    assert sorted(r["c"][0] for r in kmeans.seed_parallel(few, 6, 1).collect()) == [0.0, 1.0]
+    with pytest.raises(ValueError, match="no points"):
+        kmeans.seed_parallel(few.limit(0), 2, 1)
+
+
+def test_states_of_a_stream(spark):
+    rng, steps = kmeans.Lcg(42), [0, 1, 2, 3, 1000]
+    want = [42] + [rng.next() for _ in range(1000)]
+    assert kmeans.Lcg(42).after(np.array(steps)).tolist() == [want[k] for k in steps]
+
+
 INF, NAN = float("inf"), float("nan")
 
 

@@ -305,17 +305,25 @@ def _within(index: Index, clusters: np.ndarray) -> Column:
     return found
 
 
+def _few(df: DataFrame) -> tuple[pa.Table | None, DataFrame]:
+    """df's rows, and df again from them, if they are SENT_QUERIES at most; else None, and df stored."""
+    table = df.limit(SENT_QUERIES + 1).toArrow()
+    if table.num_rows > SENT_QUERIES:
+        return None, stored(df)
+    return table, df.sparkSession.createDataFrame(table, df.schema)
+
+
 def search_index(index: Index, planned: DataFrame, k: int = TOP_K, work: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
     """(query_id, cluster_id, probe_rank, row_id, label, dist, rank): the k nearest members of each query's probes.
 
-    planned: a stored table (query_id, q, probes array<struct<cluster_id int, probe_rank int>>, cutoff), in which
+    planned: (query_id, q, probes array<struct<cluster_id int, probe_rank int>>, cutoff), in which
     nobody beyond cutoff is looked for. Few queries travel to all tasks, which read the
     blocks of probed clusters alone. More of them are shuffled to the blocks' buckets, in slices that bound what
     one block meets. ``work`` sums the squares computed and those that all pairs have.
     """
-    n = planned.count()
-    if n <= SENT_QUERIES:
-        table = planned.toArrow().combine_chunks()
+    table, planned = _few(planned)
+    if table is not None:
+        n, table = table.num_rows, table.combine_chunks()
         lists = table["probes"].combine_chunks() if n else pa.array([], pa.list_(pa.struct([("cluster_id", pa.int32()), ("probe_rank", pa.int32())])))
         offsets, probes = lists.offsets.to_numpy(), lists.flatten()
         owner = np.repeat(np.arange(n), np.diff(offsets))
@@ -345,7 +353,7 @@ def search_index(index: Index, planned: DataFrame, k: int = TOP_K, work: tuple[A
         return _Scan(k, work).block(block, left["query_id"].to_numpy(), np.array(left["q"].tolist(), np.float64), left["probe_rank"].to_numpy(), left["cutoff"].to_numpy())
 
     places = F.broadcast(index.clusters.where("n_blocks > 0").select("cluster_id", F.explode(F.sequence("first_block", F.col("first_block") + F.col("n_blocks") - 1)).alias("block_id")))
-    slices = -(-n // SLICE)
+    slices = max(1, -(-planned.count() // SLICE))
     out = None
     for s in range(slices):
         some = planned.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).select("query_id", "q", "cutoff", F.inline("probes"))
@@ -364,14 +372,13 @@ def _planned(plan: DataFrame, lo: int, hi: int, keep: str, cutoff: str) -> DataF
 
 def index_neighbours(index: Index, queries: DataFrame, count: int, k: int = TOP_K, work: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
     """The k nearest members of each query's ``count`` nearest clusters, as search_index() gives them."""
-    plan = stored(probe_plan(queries, index, count, count, k))
-    return search_index(index, stored(_planned(plan, 0, count, "x.low <= bound", "bound")), k, work)
+    return search_index(index, _planned(probe_plan(queries, index, count, count, k), 0, count, "x.low <= bound", "bound"), k, work)
 
 
 def index_votes(index: Index, queries: DataFrame, count: int, k: int = TOP_K) -> DataFrame:
     """(query_id, votes) by the ``count`` nearest clusters of a written index."""
-    plan = stored(probe_plan(queries, index, count, count, k))
-    return votes(search_index(index, stored(_planned(plan, 0, count, "x.low <= bound", "bound")), k), plan)
+    _, planned = _few(_planned(probe_plan(queries, index, count, count, k), 0, count, "x.low <= bound", "bound"))
+    return votes(search_index(index, planned, k), planned)
 
 
 def index_adaptive(index: Index, queries: DataFrame, fast: int = FAST_PROBES, full: int = FULL_PROBES, k: int = TOP_K, work: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
@@ -380,14 +387,13 @@ def index_adaptive(index: Index, queries: DataFrame, fast: int = FAST_PROBES, fu
     Clusters are ranked once a query. The wide pass goes on where the fast one ended: for open
     queries alone, without clusters whose box is at the k-th distance so far, and for members nearer than that.
     """
-    plan = stored(probe_plan(queries, index, fast, full, k))
-    near = stored(search_index(index, stored(_planned(plan, 0, fast, "x.low <= bound", "bound")), k, work))
-    voted = stored(votes(near, plan))
-    kth = near.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("dist"))).alias("kth"))
-    wide = plan.join(voted.where(F.col("votes").between(*BORDERLINE)).select("query_id"), "query_id", "left_semi").join(kth, "query_id", "left")
-    planned = stored(_planned(wide, fast, full, "kth IS NULL OR x.low < kth", f"coalesce(kth - 1, {FAR})"))
+    _, plan = _few(probe_plan(queries, index, fast, full, k))
+    near = stored(search_index(index, _planned(plan, 0, fast, "x.low <= bound", "bound"), k, work))
+    state = near.groupBy("query_id").agg(F.sum("label").cast("int").alias("n"), F.max(F.when(F.col("rank") == k, F.col("dist"))).alias("kth"))
+    open_ = plan.join(state.where(F.col("n").between(*BORDERLINE)), "query_id")
+    _, planned = _few(_planned(open_, fast, full, "kth IS NULL OR x.low < kth", f"coalesce(kth - 1, {FAR})"))
     columns = ["query_id", "probe_rank", "row_id", "label", "dist"]
-    further = search_index(index, planned, k, work)
-    both = near.select(*columns).join(planned.select("query_id"), "query_id", "left_semi").union(further.select(*columns))
+    both = near.select(*columns).join(planned.select("query_id"), "query_id", "left_semi").union(search_index(index, planned, k, work).select(*columns))
     again = votes(ranked(both, k, "dist", "probe_rank", "row_id"), planned, "again")
-    return voted.join(again, "query_id", "left").select("query_id", F.coalesce("again", "votes").alias("votes"))
+    counted = plan.select("query_id").join(state.select("query_id", "n"), "query_id", "left").join(again, "query_id", "left")
+    return counted.select("query_id", F.coalesce("again", "n", F.lit(0)).alias("votes"))

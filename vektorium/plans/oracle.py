@@ -111,6 +111,17 @@ def _cols(column: str, prefix: str) -> str:
     return ", ".join(f"{column}[{k}] AS {prefix}{k - 1}" for k in _DIMS)
 
 
+def _lloyd(k: int, steps: int) -> str:
+    """Steps from the k lowest rows: m0, m1, ..."""
+    out = [f"m0 AS (SELECT CAST(row_number() OVER (ORDER BY row_id) - 1 AS INTEGER) AS cluster_id, CAST(v AS DOUBLE[]) AS c FROM (SELECT * FROM vec ORDER BY row_id LIMIT {k}))"]
+    for i in range(1, steps + 1):
+        out.append(f"""n{i} AS (SELECT row_id, v, cluster_id FROM (SELECT row_id, v, cluster_id, {_distf('v', 'c')} AS d FROM vec, m{i - 1})
+        QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY d, cluster_id) = 1),
+m{i} AS (SELECT o.cluster_id, CASE WHEN m IS NULL THEN o.c ELSE m END AS c FROM m{i - 1} o
+       LEFT JOIN (SELECT cluster_id, [{_SUMS}] AS m FROM n{i} GROUP BY cluster_id) s ON s.cluster_id = o.cluster_id)""")
+    return ",\n".join(out)
+
+
 def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()}\n{select}"
 
@@ -198,9 +209,10 @@ g(k, s) AS (SELECT 0, CAST((CAST(42 AS UHUGEINT)*6364136223846793005 + 144269504
             UNION ALL SELECT k + 1, CAST((s*6364136223846793005 + 1442695040888963407) % 18446744073709551616 AS UHUGEINT) FROM g WHERE k < 499),
 p AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS place, count(*) OVER () AS n FROM vec)
 SELECT CAST(k AS INTEGER) AS draw, row_id FROM g JOIN p ON p.place = CAST(g.s % CAST(p.n AS UHUGEINT) AS BIGINT) WHERE k < p.n""",
-        "lcg_sequence": """WITH RECURSIVE g(k, s) AS (SELECT 0, CAST((CAST(42 AS UHUGEINT)*6364136223846793005 + 1442695040888963407) % 18446744073709551616 AS UHUGEINT)
-            UNION ALL SELECT k + 1, CAST((s*6364136223846793005 + 1442695040888963407) % 18446744073709551616 AS UHUGEINT) FROM g WHERE k < 99)
-            SELECT CAST(k AS INTEGER) AS k, CAST(s AS VARCHAR) AS state FROM g""",
-        "synthetic_queries": "SELECT CAST(i AS BIGINT) AS query_id, " + ", ".join(f"CAST((((i*{DIM} + {k} + 1)*2654435761) % 4294967296) % 10001 AS INTEGER) AS q{k}" for k in range(DIM)) + " FROM range(2000) t(i)",
+        "lcg_sequence": """WITH RECURSIVE g(k, s) AS (SELECT CAST(0 AS BIGINT), CAST(42 AS UHUGEINT)
+            UNION ALL SELECT k + 1, CAST((s*6364136223846793005 + 1442695040888963407) % 18446744073709551616 AS UHUGEINT) FROM g WHERE k < (SELECT max(event_id) FROM events))
+            SELECT event_id, CAST(s AS VARCHAR) AS state FROM events JOIN g ON g.k = event_id""",
+        "kmeans_lloyd": _with(VEC + ",\n" + _lloyd(8, 3), f"SELECT cluster_id, {_cols('c', 'c')} FROM m3"),
+        "synthetic_queries": "SELECT event_id AS query_id, " + ", ".join(f"CAST((((event_id*{DIM} + {k} + 1) % 1048573 * 2654435761) % 4294967296) % 10001 AS INTEGER) AS q{k}" for k in range(DIM)) + " FROM events",
         "round_robin": "SELECT CAST(w AS INTEGER) AS worker, CAST((SELECT count(*) FROM events) // 8 AS BIGINT) AS n FROM range(8) t(w)",
     }

@@ -383,8 +383,8 @@ def label_stats(spark, sf_dir):
 
 
 def lcg_sequence(spark, sf_dir):
-    rng = kmeans.Lcg(42)
-    return spark.createDataFrame([(k, str(rng.next())) for k in range(100)], "k int, state string")
+    """The generator's state after as many steps as each event's id tells."""
+    return kmeans.stream_states(fixtures.events(spark, sf_dir).select("event_id"), "event_id", 42)
 
 
 def sample_with_replacement(spark, sf_dir):
@@ -397,12 +397,24 @@ def kmeanspp_seed(spark, sf_dir):
 
 
 def kmeans_fit(spark, sf_dir):
-    return _flat(kmeans.fit(_vectors(spark, sf_dir), 16, 6, sample_size=2_000), "c", "c", "cluster_id")
+    return _flat(kmeans.fit(_vectors(spark, sf_dir), 16, 6), "c", "c", "cluster_id")
+
+
+def kmeans_parallel_seed(spark, sf_dir):
+    """k-means|| over all vectors."""
+    return _flat(kmeans.seed_parallel(_vectors(spark, sf_dir), K, 42), "c", "c", "cluster_id")
+
+
+def kmeans_lloyd(spark, sf_dir):
+    """Three steps over all vectors from the lowest rows, with bounds kept between them."""
+    points = _vectors(spark, sf_dir)
+    return _flat(kmeans.lloyd(points, kmeans.lowest_rows(points, 8), 3), "c", "c", "cluster_id")
 
 
 def synthetic_queries(spark, sf_dir):
-    """2,000 uniform queries, the same in every run."""
-    return spark.range(2000).select(F.col("id").alias("query_id"), *[(((F.col("id") * DIM + k + 1) * 2654435761 % 4294967296) % 10001).cast("int").alias(f"q{k}") for k in range(DIM)])
+    """A uniform query for each event, the same in every run."""
+    e = F.col("event_id")
+    return fixtures.events(spark, sf_dir).select(e.alias("query_id"), *[(((e * DIM + k + 1) % 1048573 * 2654435761 % 4294967296) % 10001).cast("int").alias(f"q{k}") for k in range(DIM)])
 
 
 def round_robin(spark, sf_dir):
@@ -429,7 +441,7 @@ NAMES = """knn_verdict ref_count ref_scan ref_validate label_encode route_reques
     vectors verdict score_json l2_distance knn_exact centroid_distances kmeans_assign kmeans_step centroid_round kmeanspp_weights
     weighted_pick cluster_sizes cluster_bbox block_offsets block_slots ivf_build index_roundtrip ivf_probes ivf_scan knn_top5
     bbox_lower_bound bbox_prune l2_partial_filter fraud_vote ivf_fast ivf_full ivf_adaptive ivf_joined eval_confusion eval_p99 eval_score
-    eval_report eval_entries label_stats lcg_sequence sample_with_replacement kmeanspp_seed kmeans_fit synthetic_queries round_robin
+    eval_report eval_entries label_stats lcg_sequence sample_with_replacement kmeanspp_seed kmeans_fit kmeans_parallel_seed kmeans_lloyd synthetic_queries round_robin
     stream_scores""".split()
 
 
