@@ -11,7 +11,7 @@ from vektorium.functions import scalars as s
 from vektorium.functions.features import is_valid, request_features
 from vektorium.operators import evaluate, index, kmeans, ranges, search
 from vektorium.schema import DIM
-from vektorium.sources import records, requests
+from vektorium.sources import ingest, records, requests
 
 #: A Saturday's purchase. Expected values are worked out by hand in the tests.
 PAYLOAD = {
@@ -125,6 +125,39 @@ def test_evaluation_files_that_are_none(spark, tmp_path, text):
         requests.read_evaluation(spark, str(tmp_path)).collect()
 
 
+def changed(path, value):
+    payload = json.loads(json.dumps(PAYLOAD))
+    *way, last = path.split(".")
+    at = payload
+    for k in way:
+        at = at[k]
+    if value is ...:
+        del at[last]
+    else:
+        at[last] = value
+    return json.dumps(payload)
+
+
+def test_reasons_for_rejection(spark):
+    """Each body with what is told of it; accepted ones are those that is_valid() accepts."""
+    cases = [
+        (json.dumps(PAYLOAD), None), (None, "$: no JSON"), ("", "$: no JSON"), ("  ", "$: no JSON"), ("{", "$: no JSON"), ("7", "$: no object"), ("null", "$: no object"), ("{}", "$.transaction: missing"),
+        (changed("id", ...), None), (changed("id", 5), "$.id: no string"), (changed("last_transaction", ...), None), (changed("merchant", []), "$.merchant: no object"), (changed("merchant", None), "$.merchant: null"),
+        (changed("transaction.amount", 7), None), (changed("transaction.amount", None), "$.transaction.amount: null"), (changed("transaction.installments", "6"), "$.transaction.installments: no number"),
+        (changed("transaction.installments", 2**31), "$.transaction.installments: no whole number"), (changed("customer.known_merchants", []), None), (changed("customer.known_merchants", "x"), "$.customer.known_merchants: no array"),
+        (changed("customer.known_merchants", ["a", None]), "$.customer.known_merchants: no array of strings"), (changed("terminal.is_online", "true"), "$.terminal.is_online: no boolean"),
+        (changed("transaction.requested_at", "2025-02-30T00:00:00Z"), "$.transaction.requested_at: no time"), (changed("last_transaction", {"timestamp": "2025-11-15T09:07:30Z"}), "$.last_transaction.km_from_current: missing"),
+        (changed("last_transaction", {"timestamp": "2025-11-15T09:07:30Z", "km_from_current": 1}), None), (changed("last_transaction", {"timestamp": "x", "km_from_current": 1}), "$.last_transaction.timestamp: no time"),
+    ]
+    df = ingest.ingest(spark.createDataFrame([(k, b) for k, (b, _) in enumerate(cases)], "id long, body string"))
+    rows = df.withColumn("ok", is_valid(F.col("request"))).orderBy("id").collect()
+    assert [r["reason"] for r in rows] == [x for _, x in cases]
+    assert all(bool(r["ok"]) == (r["reason"] is None) for r in rows)
+    body = json.dumps(PAYLOAD | {"channel": {"app": 7}, "note": "x"})
+    r = ingest.ingest(spark.createDataFrame([(body,)], "body string")).first()
+    assert r["unknown"] == {"channel": '{"app":7}', "note": '"x"'} and r["request"]["id"] == "order 77"
+
+
 def test_split_trim(spark):
     assert one(spark, s.split_trim(F.lit(" a ,, b c,  "))) == ["a", "b c"]
 

@@ -156,6 +156,9 @@ def oracle_sql() -> dict[str, str]:
         "reject_malformed": f"SELECT event_id, '{_BROKEN}' AS body FROM events WHERE {_KIND} = 2",
         "split_trim": "SELECT p_partkey, array_to_string(p, '|') AS parts, CAST(len(p) AS BIGINT) AS n FROM (SELECT p_partkey, list_filter(list_transform(string_split(translate(p_name, ' ', ',') || ' ,  , ' || p_brand, ','), lambda x: trim(x)), lambda x: length(x) > 0) AS p FROM part)",
         "parse_json": _with(TX, "SELECT event_id, amount, installments, tx_count_24h, CAST(len(known) AS BIGINT) AS n_known, mcc, is_online, CASE WHEN last_us IS NOT NULL THEN km_since_last END AS km_since_last, true AS is_valid FROM tx"),
+        "reject_reasons": """SELECT event_id, CASE event_id % 8 WHEN 0 THEN '$: no JSON' WHEN 1 THEN '$.transaction.amount: no number' WHEN 2 THEN '$.merchant.mcc: missing' WHEN 3 THEN '$.transaction.requested_at: no time'
+            WHEN 4 THEN '$.customer.known_merchants: no array of strings' WHEN 5 THEN '$.transaction.installments: no whole number' WHEN 6 THEN '$: no object' END AS reason,
+            CASE WHEN event_id % 8 = 7 THEN '{"app":7}' END AS channel, event_id % 8 = 7 AS is_valid FROM events""",
         "datetime_parts": _with(TX, "SELECT event_id, us // 1000000 AS seconds, hour, dow AS weekday FROM tx"),
         "merchant_known": _with(TX, "SELECT event_id, list_contains(known, k) AS known FROM tx"),
         "features": _with(FEAT, "SELECT event_id, " + ", ".join(f"f{k}" for k in range(DIM)) + " FROM feat"),

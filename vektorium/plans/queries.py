@@ -9,7 +9,7 @@ from ..functions import scalars as s
 from ..functions.features import is_valid, request_features, typed_features, vector
 from ..operators import evaluate, index, kmeans, search
 from ..schema import DIM
-from ..sources import fixtures, records, requests
+from ..sources import fixtures, ingest, records, requests
 from ..storage import scratch
 
 #: Clusters and probes of the queries below; the library's defaults are those of the service.
@@ -118,6 +118,23 @@ def parse_json(spark, sf_dir):
     )
 
 
+def reject_reasons(spark, sf_dir):
+    """Bodies broken in seven ways, or with a member that the schema doesn't know: what is wrong first, and what is kept."""
+    e, body = F.col("event_id") % 8, F.to_json("request")
+    broken = (
+        F.when(e == 0, F.substr(body, F.lit(1), F.length(body) - 1))
+        .when(e == 1, F.regexp_replace(body, '"amount":[0-9.E-]+', '"amount":"12"'))
+        .when(e == 2, F.regexp_replace(body, ',"mcc":"[0-9]+"', ""))
+        .when(e == 3, F.regexp_replace(body, '"requested_at":"....', '"requested_at":"20x5'))
+        .when(e == 4, F.regexp_replace(body, '"known_merchants":\\[.*?\\]', '"known_merchants":[1]'))
+        .when(e == 5, F.regexp_replace(body, '"installments":([0-9]+)', '"installments":$1.5'))
+        .when(e == 6, F.concat(F.lit("["), body, F.lit("]")))
+        .otherwise(F.regexp_replace(body, "^.", '{"channel":{"app":7},'))
+    )
+    found = ingest.ingest(fixtures.requests(spark, sf_dir).select("event_id", broken.alias("body")))
+    return found.select("event_id", "reason", F.col("unknown")["channel"].alias("channel"), is_valid(F.col("request")).alias("is_valid"))
+
+
 def datetime_parts(spark, sf_dir):
     at = s.instant(F.col("request.transaction.requested_at"))
     return fixtures.requests(spark, sf_dir).select("event_id", F.unix_timestamp(at).alias("seconds"), F.hour(at).alias("hour"), F.weekday(at).alias("weekday"))
@@ -437,7 +454,7 @@ def stream_scores(spark, sf_dir):
 
 
 NAMES = """knn_verdict ref_count ref_scan ref_validate label_encode route_requests header_parse reject_malformed split_trim
-    parse_json datetime_parts merchant_known features features_sentinel features_typed clamp round4 mcc_risk quantize quantize_vector
+    parse_json reject_reasons datetime_parts merchant_known features features_sentinel features_typed clamp round4 mcc_risk quantize quantize_vector
     vectors verdict score_json l2_distance knn_exact centroid_distances kmeans_assign kmeans_step centroid_round kmeanspp_weights
     weighted_pick cluster_sizes cluster_bbox block_offsets block_slots ivf_build index_roundtrip ivf_probes ivf_scan knn_top5
     bbox_lower_bound bbox_prune l2_partial_filter fraud_vote ivf_fast ivf_full ivf_adaptive ivf_joined eval_confusion eval_p99 eval_score
