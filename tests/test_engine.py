@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vektorium.functions import scalars as s
 from vektorium.functions.features import is_valid, request_features
-from vektorium.operators import evaluate, index, kmeans, ranges, search
+from vektorium.operators import evaluate, index, kmeans, ranges, search, tree
 from vektorium.schema import DIM
 from vektorium.sources import ingest, records, requests
 
@@ -282,6 +282,30 @@ def test_kept_index_is_read_once(spark, written, tmp_path):
     assert votes[0] == votes[1] == {r["query_id"]: r["votes"] for r in search.ivf_votes(q, clusters, members, 13).collect()}
 
 
+@pytest.mark.parametrize(("size", "clumped"), [(1, False), (40, False), (4_096, True), (4_096, False), (65_536, True)])
+def test_balls_find_what_all_distances_find(size, clumped):
+    rng = np.random.default_rng(size)
+    if clumped:
+        p = np.clip(rng.integers(0, 9, (300, DIM))[rng.integers(0, 300, size)] * 1200 + rng.integers(-200, 200, (size, DIM)), -10_000, 10_000)
+    else:
+        p = rng.integers(0, 3, (size, DIM)) * 5_000  # with many ties
+    q = p[rng.integers(0, size, 50)] + rng.integers(0, 300, (50, DIM)) * (rng.random((50, 1)) < 0.5)
+    at, d, done = tree.nearest_in_balls(tree.balls(p), q.astype(float), 32)
+    every = ((q[:, None] - p[None]) ** 2).sum(axis=2)
+    want = np.argsort(every * size + np.arange(size), axis=1, kind="stable")[:, :32]
+    assert (at == want).all() and (d == np.take_along_axis(every, want, axis=1)).all()
+    if clumped:  # a few points a clump help little, many a lot
+        assert done < (0.35 if size > 10_000 else 0.95) * size * len(q)
+
+
+def test_probes_by_balls(spark, written, monkeypatch):
+    i, p, q, _, _ = written
+    want = search.probe_plan(q, i, 4, 9).collect()
+    lists = i.lists._replace(tree=tree.balls(i.lists.centroids))
+    monkeypatch.setattr(i, "sent", spark.sparkContext.broadcast(lists))
+    assert search.probe_plan(q, i, 4, 9).collect() == want
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(1, 40), st.integers(1, 9), st.integers(0, 2**32), st.booleans())
 def test_kernel_with_and_without_early_exit(n, m, seed, tight):

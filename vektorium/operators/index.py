@@ -17,9 +17,12 @@ from ..schema import BLOCK_SIZE, DIM, INDEX_VERSION, TOP_K
 from ..sources.records import require_at_least
 from .kmeans import MAX_CENTROIDS, assign, rounded
 from .ranges import numbered
+from .tree import Balls, balls
 
 #: Members of a stored block, about.
 MEMBER_BLOCK = 4_096
+#: Centroids from which on their balls are searched.
+TREE_FROM = 1_024
 BLOCKS = "block_id long, cluster_id int, n int, rows binary, vectors binary, labels binary, nearest array<bigint>"
 
 
@@ -166,6 +169,7 @@ class Lists(NamedTuple):
     nearest: np.ndarray  # of TOP_K columns; infinite where a cluster has fewer members
     first_block: np.ndarray
     n_blocks: np.ndarray
+    tree: Balls | None  # of the centroids, if they are many
 
 
 def cluster_lists(clusters: DataFrame) -> Lists:
@@ -177,7 +181,7 @@ def cluster_lists(clusters: DataFrame) -> Lists:
     for k, r in enumerate(rows):
         near[k, : len(r["nearest"])] = r["nearest"]
     of = lambda c, t: np.array([r[c] for r in rows], t)
-    return Lists(of("cluster_id", np.int32), of("ci", np.float64), of("bb_min", np.float64), of("bb_max", np.float64), near, of("first_block", np.int64), of("n_blocks", np.int64))
+    return Lists(of("cluster_id", np.int32), of("ci", np.float64), of("bb_min", np.float64), of("bb_max", np.float64), near, of("first_block", np.int64), of("n_blocks", np.int64), balls(of("ci", np.float64)) if len(rows) >= TREE_FROM else None)
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

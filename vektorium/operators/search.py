@@ -20,6 +20,7 @@ from ..schema import BORDERLINE, DIM, FAST_PROBES, FULL_PROBES, TOP_K
 from ..storage import stored
 from .index import Index, Lists
 from .kmeans import BLOCK, _distances, nearest
+from .tree import nearest_in_balls
 
 #: Sides of a block of the exact search.
 QUERY_BLOCK, POINT_BLOCK = 4_096, 32_768
@@ -254,11 +255,12 @@ class _Scan:
         return pd.DataFrame({"query_id": ids[i], "cluster_id": np.full(len(i), block["cluster_id"], np.int32), "probe_rank": ranks[i].astype(np.int32), "row_id": rows[j], "label": labels[j].astype(np.int32), "dist": near})
 
 
-def probe_plan(queries: DataFrame, index: Index, first: int, count: int, k: int = TOP_K) -> DataFrame:
+def probe_plan(queries: DataFrame, index: Index, first: int, count: int, k: int = TOP_K, work: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
     """(query_id, q, clusters, low, bound): the nearest ``count`` clusters of each query in order, the least distance to each one's box, and a bound on its k-th distance within the first ``first``.
 
     A cluster's k nearest members to its centroid are no farther from a query than its centroid and
-    they together, which bounds the k-th distance without reading a member.
+    they together, which bounds the k-th distance without reading a member. Many centroids are searched by
+    balls; ``work`` sums the distances to centroids and balls, and those that there are.
     """
     sent, dims = index.sent, DIM
 
@@ -272,9 +274,15 @@ def probe_plan(queries: DataFrame, index: Index, first: int, count: int, k: int
             clusters, low, bound = [], [], []
             for lo in range(0, len(s), BLOCK):
                 q = np.array(s.iloc[lo : lo + BLOCK].tolist(), np.float64).reshape(-1, dims)
-                key = _distances(q, lists.centroids) * size + np.arange(size)  # ties to the lower id
-                best = np.sort(np.partition(key, few - 1, axis=1)[:, :few], axis=1)
-                at, cdist = (best % size).astype(np.int64), best // size
+                if lists.tree is not None:
+                    at, cdist, done = nearest_in_balls(lists.tree, q, few)
+                    if work:
+                        work[0].add(done)
+                        work[1].add(len(q) * size)
+                else:
+                    key = _distances(q, lists.centroids) * size + np.arange(size)  # ties to the lower id
+                    best = np.sort(np.partition(key, few - 1, axis=1)[:, :few], axis=1)
+                    at, cdist = (best % size).astype(np.int64), best // size
                 gap = np.maximum(np.maximum(lists.low[at] - q[:, None], q[:, None] - lists.high[at]), 0)
                 far = ((np.sqrt(cdist) + reach[at]) ** 2)[:, :first].min(axis=1)
                 clusters += lists.ids[at].tolist()
