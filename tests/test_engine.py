@@ -252,7 +252,7 @@ def test_members_of_a_written_index_stay(spark, written, monkeypatch):
     def exchanged(df):
         plan = df._jdf.queryExecution().executedPlan().toString()
         lines = plan.splitlines()
-        at = next(k for k, line in enumerate(lines) if f"default.{i.table}" in line)
+        at = next(k for k, line in enumerate(lines) if "FileScan parquet" in line and "vectors" in line)
         depth, above = lines[at].index("+-") if "+-" in lines[at] else lines[at].index(":-"), []
         for line in reversed(lines[:at]):
             mark = max(line.find("+-"), line.find(":-"))
@@ -307,8 +307,9 @@ def test_probes_by_balls(spark, written, monkeypatch):
 
 
 @settings(max_examples=30, deadline=None)
-@given(st.integers(1, 40), st.integers(1, 9), st.integers(0, 2**32), st.booleans())
-def test_kernel_with_and_without_early_exit(n, m, seed, tight):
+@given(st.integers(1, 40), st.integers(1, 9), st.integers(0, 2**32), st.booleans(), st.sampled_from([0.0, 0.05, 1.0]), st.sampled_from([3, 256]))
+def test_kernel_with_and_without_early_exit(n, m, seed, tight, dense, leading):
+    search.DENSE, search.LEADING = dense, leading
     rng = np.random.default_rng(seed)
     v, q = rng.integers(0, 5, (DIM, n)).astype(float), rng.integers(0, 5, (m, DIM)).astype(float)
     cutoff = rng.integers(0, 60, m) if tight else np.full(m, search.FAR)
@@ -317,6 +318,7 @@ def test_kernel_with_and_without_early_exit(n, m, seed, tight):
     for a in range(m):
         dist = ((q[a] - v.T) ** 2).sum(axis=1).astype(int)
         want += [(a, b, dist[b]) for b in sorted(range(n), key=lambda b: (dist[b], b))[:3] if dist[b] <= cutoff[a]]
+    search.DENSE, search.LEADING = 0.05, 256
     assert list(zip(i.tolist(), j.tolist(), d.tolist(), strict=True)) == want and work <= DIM * n * m
 
 

@@ -126,7 +126,7 @@ def write(clusters: DataFrame, members: DataFrame, path: str, files: int = 64) -
 
 
 class Index:
-    """A written index: ``clusters``, its ``blocks``, bucketed by block_id, and ``members`` unpacked from them."""
+    """A written index: ``clusters``, its ``blocks``, by size or as ``buckets`` by block_id, and ``members`` unpacked from them."""
 
     def __init__(self, spark: SparkSession, path: str):
         """Opens the index at path if it is of this version and shape, with as many clusters and members as its meta data say; any other raises."""
@@ -141,14 +141,14 @@ class Index:
         # Spark knows of buckets by its catalog alone
         self.table = f"index_{uuid.uuid4().hex}"
         spark.sql(f"CREATE TABLE {self.table} ({BLOCKS}) USING parquet CLUSTERED BY (block_id) SORTED BY (block_id) INTO {meta['files']} BUCKETS LOCATION '{where}/members'")
-        self.blocks, self.kept = spark.table(self.table), False
+        self.buckets, self.blocks, self.kept = spark.table(self.table), blocks, False
         self.members = unpacked(blocks)
         self.lists = cluster_lists(self.clusters)
         self.sent = spark.sparkContext.broadcast(self.lists)
 
     def keep(self) -> Index:
         """Holds the blocks in the executors from their first use on, in memory as far as it goes and else on their disks; a lost executor's are read again. Small sets of queries then travel to them."""
-        self.blocks, self.kept = self.spark.table(self.table).persist(StorageLevel.MEMORY_AND_DISK), True
+        self.blocks, self.kept = self.blocks.persist(StorageLevel.MEMORY_AND_DISK), True
         return self
 
     def close(self) -> None:

@@ -29,7 +29,9 @@ MEMBER_BLOCK = 8_192
 #: So many queries at most travel to every task that reads the index, some 150 bytes each; more go by shuffled slices of about SLICE.
 SENT_QUERIES, SLICE = 65_536, 1_000_000
 #: Pairs of a query and a member that are in memory at once; share of them beyond which all dimensions are computed for all.
-PAIRS, DENSE = 1_000_000, 0.25
+PAIRS, DENSE = 1_000_000, 0.05
+#: Members of a block whose k-th distance bounds the others'.
+LEADING = 256
 #: Dimensions after which a distance is held against the best so far.
 CHECKPOINTS = (4, 6, 8)
 #: Ranges of blocks that a scan's filter names at most.
@@ -184,12 +186,24 @@ def ivf_adaptive(queries: DataFrame, clusters: DataFrame, members: DataFrame, fa
     return voted.join(open_, "query_id", "left_anti").union(again)
 
 
-def near_in_block(q: np.ndarray, cutoff: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query, member, distance) of the k nearest members (columns of v, by dimension) of each query (row of q) no farther than its cutoff, ties to the first member; and how many squares were summed.
+def _first(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (query, member, distance) the k nearest of each query, in order, ties to the first member."""
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
+    keep = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) < k
+    return i[keep], j[keep], d[keep]
 
-    Distances over the first four dimensions come from one matrix product. Where few pairs are within the
-    cutoff by then, only those go on, and are held against it again at the further checkpoints.
-    """
+
+def kth_of(i: np.ndarray, d: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The k-th distance of each of n queries among what _first() gave; FAR where there are fewer."""
+    out = np.full(n, FAR, np.int64)
+    full = np.flatnonzero(np.bincount(i, minlength=n) == k)
+    out[full] = d[np.searchsorted(i, full, side="right") - 1]
+    return out
+
+
+def _part(q: np.ndarray, cutoff: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     dims, n = v.shape
     found: list[tuple] = []
     work, first = 0, CHECKPOINTS[0]
@@ -203,31 +217,49 @@ def near_in_block(q: np.ndarray, cutoff: np.ndarray, v: np.ndarray, k: int) -> t
         d = (x1 * x1).sum(axis=1)[:, None] + norm1 - 2 * (x1 @ v1)
         alive = d <= c[:, None]
         work += first * d.size
-        if np.count_nonzero(alive) > DENSE * d.size:
+        whole = np.count_nonzero(alive) > DENSE * d.size
+        if whole:
             d += (x2 * x2).sum(axis=1)[:, None] + norm2 - 2 * (x2 @ v2)
             work += (dims - first) * d.size
-            key = d * n + np.arange(n)
-            few = min(k, n)
-            best = np.sort(np.partition(key, few - 1, axis=1)[:, :few], axis=1).ravel()
-            i, j, near = np.repeat(np.arange(len(x)), few), (best % n).astype(np.int64), best // n
-            keep = near <= c[i]
-            found.append((i[keep] + lo, j[keep], near[keep]))
-            continue
+            alive = d <= c[:, None]
+            if np.count_nonzero(alive) > DENSE * d.size:
+                few = min(k, n)
+                best = np.sort(np.partition(d * n + np.arange(n), few - 1, axis=1)[:, :few], axis=1).ravel()
+                i, j, near = np.repeat(np.arange(len(x)), few), (best % n).astype(np.int64), best // n
+                keep = near <= c[i]
+                found.append((i[keep] + lo, j[keep], near[keep]))
+                continue
         i, j = np.nonzero(alive)
         near = d[i, j]
-        for a, b in zip(CHECKPOINTS, (*CHECKPOINTS[1:], dims), strict=True):
+        for a, b in () if whole else zip(CHECKPOINTS, (*CHECKPOINTS[1:], dims), strict=True):
             gap = x[i, a:b] - v[a:b, j].T
             near = near + (gap * gap).sum(axis=1)
             work += gap.size
             keep = near <= c[i]
             i, j, near = i[keep], j[keep], near[keep]
-        order = np.lexsort((j, near, i))
-        i, j, near = i[order], j[order], near[order]
-        start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
-        keep = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) < k
-        found.append((i[keep] + lo, j[keep], near[keep]))
-    i, j, near = (np.concatenate([f[c] for f in found] or [np.zeros(0)]) for c in range(3))
-    return i.astype(np.int64), j.astype(np.int64), near.astype(np.int64), work
+        i, j, near = _first(i, j, near, k)
+        found.append((i + lo, j, near))
+    i, j, near = (np.concatenate([f[c] for f in found] or [np.zeros(0)]).astype(np.int64) for c in range(3))
+    return i, j, near, work
+
+
+def near_in_block(q: np.ndarray, cutoff: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, member, distance) of the k nearest members (columns of v, by dimension) of each query (row of q) no farther than its cutoff, ties to the first member; and how many squares were summed.
+
+    The k-th distance among the first members tightens the cutoff for the others. Their distances over the
+    four dimensions of largest gaps come from one matrix product. Where few pairs are within the cutoff by then,
+    only those go on, and are held against it again at the further checkpoints.
+    """
+    if v.size and q.size:  # the dimensions that tell most apart come first
+        spread = q.var(axis=0) + v.var(axis=1) + (q.mean(axis=0) - v.mean(axis=1)) ** 2
+        order = np.argsort(-spread, kind="stable")
+        q, v = np.ascontiguousarray(q[:, order]), np.ascontiguousarray(v[order])
+    if v.shape[1] <= 2 * LEADING:
+        return _part(q, cutoff, v, k)
+    i, j, d, work = _part(q, cutoff, v[:, :LEADING], k)
+    i2, j2, d2, more = _part(q, np.minimum(cutoff, kth_of(i, d, len(q), k)), v[:, LEADING:], k)
+    i, j, d = _first(*(np.concatenate(x) for x in ((i, i2), (j, j2 + LEADING), (d, d2))), k)
+    return i, j, d, work + more
 
 
 _FOUND = "query_id long, cluster_id int, probe_rank int, row_id long, label int, dist long"
@@ -245,9 +277,9 @@ class _Scan:
         best, names = self.best, ids.tolist()
         cutoff = np.minimum(cutoff, [best.get(x, FAR) for x in names])
         i, j, near, work = near_in_block(q, cutoff, v, self.k)
-        full = np.flatnonzero(np.bincount(i, minlength=len(ids)) == self.k)
-        for x, d in zip(full.tolist(), near[np.searchsorted(i, full, side="right") - 1].tolist(), strict=True):
-            best[names[x]] = min(d, best.get(names[x], FAR))
+        for x, d in zip(names, kth_of(i, near, len(ids), self.k).tolist(), strict=True):
+            if d < best.get(x, FAR):
+                best[x] = d
         if self.work:
             self.work[0].add(work)
             self.work[1].add(v.size * len(ids))
@@ -366,7 +398,7 @@ def search_index(index: Index, planned: DataFrame, k: int = TOP_K, work: tuple[A
     for s in range(slices):
         some = planned.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).select("query_id", "q", "cutoff", F.inline("probes"))
         left = some.join(places, "cluster_id").select("block_id", "query_id", "q", "cutoff", "probe_rank")
-        found = left.groupBy("block_id").cogroup(index.blocks.groupBy("block_id")).applyInPandas(meet, _FOUND)
+        found = left.groupBy("block_id").cogroup(index.buckets.groupBy("block_id")).applyInPandas(meet, _FOUND)
         best = ranked(found, k, "dist", "probe_rank", "row_id")
         out = best if slices == 1 else stored(best) if out is None else out.union(stored(best))
     return out
