@@ -119,7 +119,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     count(word) / words in the end; n-grams don't reach over a text's start. The table holds every
     word, and n-grams of more words found ``least`` times or more. score sums log10 over the text.
     Null, empty and blank texts score 0 with a null mean; rows with a null id are scored too, repeated
-    rows each count and score; an empty table gives no rows.
+    rows each count and score; an empty table gives no rows. A text is never cut: a very long one is a
+    row of its chunk, whose memory it shares.
 
     Documents are dealt by a hash of their text and id to chunks, whose number grows with the bytes.
     Each chunk counts its own n-grams first and gives each of them once to the count table, which is

@@ -224,7 +224,8 @@ class Model:
 def encoded(spark: SparkSession, text: Column | str = "text", *, model: str = MODEL, path: str | None = None, chunk: int = 2_000_000) -> Column:
     """A struct column: ``ids``, the piece ids of the whole text, and ``decoded``, the text they give again.
 
-    Null and empty texts have no ids and decode to the empty string. The ids are those of the
+    Null and empty texts have no ids and decode to the empty string; repeated rows are encoded alike, an
+    empty table has no rows, and a very long text is encoded as a whole. The ids are those of the
     model's library. Each batch's texts are cut into units that no piece crosses; the units that the
     worker hasn't met are concatenated and indexed by a suffix array, each piece's range of
     occurrences found by binary search, and the resulting edges, sorted by position, relaxed: an

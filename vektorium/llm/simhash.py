@@ -154,8 +154,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     Documents are linked if their fingerprints differ in DISTANCE bits or fewer; component_id is the
     smallest id reachable. Null, empty and blank texts have fingerprint zero and are linked like any
     other. Rows with a null id keep a fingerprint but are linked to none and have a null component;
-    repeated rows give repeated results; an empty table gives none. Equal fingerprints are one node,
-    so a group of copies costs one.
+    repeated rows give repeated results; an empty table gives none. A very long text is hashed as a
+    whole, by one task. Equal fingerprints are one node, so a group of copies costs one.
     """
     own = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text)).alias("f")))
     nodes = cut(own.where("doc_id IS NOT NULL").groupBy("f").agg(F.min("doc_id").alias("i")))

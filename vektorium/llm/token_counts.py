@@ -89,7 +89,8 @@ def token_count(
 ) -> Column:
     """A long column: the tokens of the whole text as the model's library counts them, without added special tokens.
 
-    Null and empty texts have none. Texts that hold a special token's string, or characters outside
+    Null and empty texts have none; repeated rows have each their count, and an empty table has no rows.
+    A text is never cut or truncated, however long it is. Texts that hold a special token's string, or characters outside
     the scripts of _ODD, are encoded whole by the library; all others are cut into pre-tokens whose
     lengths add up. Lengths come from a broadcast table of at most ``frequent`` pre-tokens, learnt
     from about ``sample_docs`` documents (bounded, and without effect on any count), then from the
