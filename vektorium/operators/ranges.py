@@ -55,21 +55,21 @@ def values_at_ranks(rows: DataFrame, column: str, first: int, last: int | None =
     present = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("x"))
     floating = dict(present.dtypes)["x"] in ("double", "float")
     found: dict[int, object] = {}
-    before, low, high, total = 0, None, None, None  # values at or below low are done with, and so many
+    before, low, under, total = 0, None, None, None  # values at or below low are done with, and so many; those from under on aren't sought
     kind = _kind(present, "x")
     numbers = present.where(~F.isnan("x")) if floating else present
     while len(found) <= last - first:
         within = numbers
         if low is not None:
             within = within.where(F.col("x") > F.lit(low))
-        if high is not None:
-            within = within.where(F.col("x") <= F.lit(high))
+        if under is not None:
+            within = within.where(F.col("x") < F.lit(under))
         sketch, n = _sketch(within, "x", kind)
         total = n if total is None else total
         if not n:
-            if high is None:
+            if under is None:
                 break
-            high = None  # the ranks lie above the bracket
+            under = None  # the ranks lie above
             continue
         left = lambda rank, off: (rank - before) / n + off  # noqa: E731, B023
         lo, hi = _bracket(within, "x", kind, sketch, left(first + len(found), -MARGIN), left(last, MARGIN))
@@ -78,22 +78,21 @@ def values_at_ranks(rows: DataFrame, column: str, first: int, last: int | None =
         counted = top.groupBy(side.alias("side"), F.when(side == _WITHIN, F.col("x")).alias("x")).agg(F.count(F.lit(1)).alias("n"))
         held = counted.orderBy("side", "x").limit(FEW).collect()
         if held and held[0]["side"] == _BELOW and before + held[0]["n"] > first + len(found):
-            high, lo = lo, None  # the sketch was too far up; look below its bracket
-            held = []
+            under = lo  # the sketch was too far up: look below its bracket, which leaves fewer rows
             continue
         for r in held:
             before += r["n"]
             while len(found) <= last - first and first + len(found) < before:
                 found[len(found)] = r["x"]
             low = r["x"] if r["side"] == _WITHIN else low
-        if low is None:
-            low = lo
         if len(held) < FEW:  # all of the bracket is counted
-            if hi is None and high is None:
-                break
-            low, high = (hi if hi is not None else high), None
-        else:
-            high = hi if hi is not None else high
+            if hi is None:
+                low = low if low is not None else lo
+                if under is None:
+                    break
+                under = None
+            else:
+                low = hi
     values = [found.get(k) for k in range(last - first + 1)]
     if floating and None in values:
         nans = present.count() - total
