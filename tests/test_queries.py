@@ -40,7 +40,7 @@ def test_streams_leave_no_tables(spark, small, monkeypatch, tmp_path):
     monkeypatch.setattr(storage, "scratch", lambda spark: made.append(str(tmp_path / f"t{len(made)}")) or made[-1])
     queries.stream_scores(spark, small).count()
     spark.catalog.clearCache()
-    assert len(made) >= 5 and not any((tmp_path / f"t{k}").exists() for k in range(len(made)))
+    assert made and not any((tmp_path / f"t{k}").exists() for k in range(len(made)))
 
 
 def test_entry_points():
