@@ -149,6 +149,7 @@ def oracle_sql() -> dict[str, str]:
         "knn_verdict": _with(EXACT, "SELECT q.query_id, CAST(coalesce(sum(label), 0) AS INTEGER) AS votes, coalesce(sum(label), 0) < 3 AS approved, coalesce(sum(label), 0)/CAST(5 AS DOUBLE) AS fraud_score FROM q LEFT JOIN ex ON ex.query_id = q.query_id GROUP BY q.query_id"),
         "ref_count": "SELECT count(*) AS n FROM events",
         "ref_scan": _with(VEC, f"SELECT label, {_cols('v', 'v')} FROM vec"),
+        "ref_scan_ranges": _with(VEC, f"SELECT label, {_cols('v', 'v')} FROM vec"),
         "ref_validate": "SELECT event_id, event_id % 5 > 2 AS is_valid FROM events",
         "label_encode": "SELECT event_id, CAST(event_type = 'error' AS INTEGER) AS label FROM events",
         "route_requests": f"SELECT event_id, CASE WHEN {_KIND} < 2 THEN 'GET' ELSE 'POST' END AS method, CASE {_KIND} WHEN 0 THEN '/ready' WHEN 1 THEN '/nowhere' ELSE '/fraud-score' END AS path, CASE {_KIND} WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 400 WHEN 3 THEN 413 ELSE 200 END AS status FROM events",

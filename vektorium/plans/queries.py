@@ -9,7 +9,7 @@ from ..functions import scalars as s
 from ..functions.features import is_valid, request_features, typed_features, vector
 from ..operators import evaluate, index, kmeans, search
 from ..schema import DIM
-from ..sources import fixtures, ingest, records, requests
+from ..sources import fixtures, ingest, jsonarrays, records, requests
 from ..storage import scratch
 
 #: Clusters and probes of the queries below; the library's defaults are those of the service.
@@ -66,6 +66,13 @@ def ref_scan(spark, sf_dir):
     return _flat(records.quantised(records.require_valid(records.read_json_array(spark, folder))), "v", "v", "label")
 
 
+def ref_scan_ranges(spark, sf_dir):
+    """Written as uncompressed JSON arrays and read back by ranges of a megabyte."""
+    folder = scratch(spark)
+    records.write_json_array(_records(spark, sf_dir).select("vector", "label", F.lit('a "b]},\\').alias("unknown")), folder, "none")
+    return _flat(records.quantised(records.require_valid(jsonarrays.read_json_arrays(spark, folder, range_bytes=1 << 20))), "v", "v", "label")
+
+
 def ref_validate(spark, sf_dir):
     """Records with a fifth of them broken in each of three ways."""
     e = F.col("event_id")
@@ -453,7 +460,7 @@ def stream_scores(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("event_id", "status", "response")
 
 
-NAMES = """knn_verdict ref_count ref_scan ref_validate label_encode route_requests header_parse reject_malformed split_trim
+NAMES = """knn_verdict ref_count ref_scan ref_scan_ranges ref_validate label_encode route_requests header_parse reject_malformed split_trim
     parse_json reject_reasons datetime_parts merchant_known features features_sentinel features_typed clamp round4 mcc_risk quantize quantize_vector
     vectors verdict score_json l2_distance knn_exact centroid_distances kmeans_assign kmeans_step centroid_round kmeanspp_weights
     weighted_pick cluster_sizes cluster_bbox block_offsets block_slots ivf_build index_roundtrip ivf_probes ivf_scan knn_top5

@@ -15,13 +15,13 @@ from ..schema import DIM, LABELLED
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of records, gzip or plain. Unknown keys are dropped, broken input fails.
 
-    Such a file can't be split; convert a large one once with to_parquet().
+    Such a file is one task; jsonarrays.read_json_arrays() splits an uncompressed one.
     """
     return spark.read.schema(LABELLED).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def write_json_array(records: DataFrame, path: str) -> None:
-    """The records as gzipped JSON arrays, one array in each file."""
+def write_json_array(records: DataFrame, path: str, compression: str = "gzip") -> None:
+    """The records as JSON arrays, one array in each file, compressed with gzip or as told ("none")."""
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"line": ["["]})
@@ -32,7 +32,7 @@ def write_json_array(records: DataFrame, path: str) -> None:
         yield pd.DataFrame({"line": ["]"]})
 
     text = records.select(F.to_json(F.struct(*records.columns)).alias("line"))
-    text.mapInPandas(lines, "line string").write.mode("overwrite").option("compression", "gzip").text(path)
+    text.mapInPandas(lines, "line string").write.mode("overwrite").option("compression", compression).text(path)
 
 
 def to_parquet(records: DataFrame, path: str, files: int) -> None:

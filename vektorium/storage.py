@@ -23,6 +23,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{where.rstrip('/')}/vektorium-{uuid.uuid4().hex}"
 
 
+def file_system(path: str):
+    """A pyarrow file system that driver and executors share, and the place in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as a Parquet table of its own, so that it is computed once."""
     path = scratch(df.sparkSession)

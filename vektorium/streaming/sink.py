@@ -11,17 +11,12 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..storage import file_system
+
 #: Lines that a task writes at once.
 LINES = 10_000
 
 
-def _store(path: str):
-    """A file system that driver and executors share, and the place in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
-
-
 @dataclass
 class Staged(WriterCommitMessage):
     """What a task has written: a file's name and its lines; no file for a task without rows."""
@@ -41,7 +36,7 @@ class _Batches:
         self.path = options["path"]
 
     def write(self, rows: Iterator[Row]) -> Staged:
-        fs, root = _store(self.path)
+        fs, root = file_system(self.path)
         name, lines, held, out = f"files/{uuid.uuid4().hex}.json", 0, [], None
         for r in rows:
             held.append(json.dumps(r.asDict(recursive=True), ensure_ascii=False, default=str))
@@ -61,7 +56,7 @@ class _Batches:
     def commit_batch(self, messages: list[Staged | None], batch: int) -> None:
         from pyarrow.fs import FileType
 
-        fs, root = _store(self.path)
+        fs, root = file_system(self.path)
         fs.create_dir(f"{root}/batches")
         where = f"{root}/batches/{batch}.json"
         if fs.get_file_info(where).type != FileType.NotFound:
@@ -72,7 +67,7 @@ class _Batches:
         fs.move(staged, where)
 
     def remove(self, messages: list[Staged | None]) -> None:
-        fs, root = _store(self.path)
+        fs, root = file_system(self.path)
         for m in messages:
             if m and m.name:
                 fs.delete_file(f"{root}/{m.name}")
@@ -122,7 +117,7 @@ def read_responses(spark: SparkSession, path: str, schema: str = "event_id long,
     """The rows of all batches that are there as a whole."""
     from pyarrow.fs import FileSelector
 
-    fs, root = _store(path)
+    fs, root = file_system(path)
     files = []
     for f in fs.get_file_info(FileSelector(f"{root}/batches", allow_not_found=True)):
         if not f.base_name.startswith("."):
