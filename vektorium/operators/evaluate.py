@@ -17,18 +17,21 @@ def d(x: float) -> Column:
     return F.lit(x).cast("double")
 
 
-def confusion(results: DataFrame) -> DataFrame:
-    """One row (tp, tn, fp, fn, err) of results (status, approved, expected_approved): positive is a denied transaction; other statuses than 200 are errors."""
+#: The columns of a confusion matrix.
+COUNTERS = ("tp", "tn", "fp", "fn", "err")
+
+
+def counters() -> list[Column]:
+    """The aggregates COUNTERS of results (status, approved, expected_approved): positive is a denied transaction; other statuses than 200 are errors."""
     ok = F.col("status") == 200
     match = F.col("approved") == F.col("expected_approved")
-    count = lambda e: F.count_if(F.coalesce(e, F.lit(False)))
-    return results.agg(
-        count(ok & match & ~F.col("approved")).alias("tp"),
-        count(ok & match & F.col("approved")).alias("tn"),
-        count(ok & ~match & ~F.col("approved")).alias("fp"),
-        count(ok & ~match & F.col("approved")).alias("fn"),
-        count(~ok).alias("err"),
-    )
+    cases = (ok & match & ~F.col("approved"), ok & match & F.col("approved"), ok & ~match & ~F.col("approved"), ok & ~match & F.col("approved"), ~ok)
+    return [F.count_if(F.coalesce(e, F.lit(False))).alias(c) for e, c in zip(cases, COUNTERS, strict=True)]
+
+
+def confusion(results: DataFrame) -> DataFrame:
+    """One row of COUNTERS."""
+    return results.agg(*counters())
 
 
 def percentile99(results: DataFrame, column: str) -> DataFrame:

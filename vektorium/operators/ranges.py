@@ -107,6 +107,45 @@ def value_at_rank(rows: DataFrame, column: str, rank: int):
     return values_at_ranks(rows, column, rank)[0]
 
 
+def _coarse(x: Column) -> Column:
+    """A number for each 64th of an octave, in order; zero, numbers below it, infinity and NaN have their own."""
+    infinite, zero = F.lit(float("inf")), F.lit(0.0)
+    special = F.when(F.isnan(x), 1 << 20).when(x == infinite, 1 << 19).when(x == -infinite, -(1 << 20)).when(x < zero, -(1 << 19)).when(x == zero, -(1 << 18))
+    return special.otherwise(F.floor(F.log2(x) * 64).cast("int"))
+
+
+def values_at_totals(counts: DataFrame, value: str, weight: str, ranks: list[int]) -> list[float | None]:
+    """The values at ranks, from 0, of doubles of which each row stands for ``weight`` equal ones; None beyond them all.
+
+    One aggregation counts by coarse steps of the value; then a rank's step is cut into a thousand and
+    counted again, until it holds one value. Each time the least and the greatest value part, so this ends.
+    """
+    rows = counts.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(F.col(value).cast("double").alias("x"), F.col(weight).alias("w"))
+
+    def steps(part: DataFrame, key: Column) -> list:
+        return part.groupBy(key.alias("k")).agg(F.sum("w").alias("w"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("k").collect()
+
+    top, found = steps(rows, _coarse(F.col("x"))), []
+    for rank in ranks:
+        held, left, at = top, rank, None
+        while at is None:
+            for step in held:
+                if left < step["w"]:
+                    break
+                left -= step["w"]
+            else:
+                break
+            lo, hi = step["lo"], step["hi"]
+            if lo == hi or lo != lo:
+                at = lo
+            else:  # halves, as the difference of two doubles may be none
+                x, low, high = F.col("x") / 2, lo / 2, hi / 2
+                share = F.when(F.col("x") == F.lit(hi), F.lit(999)).otherwise(F.least(F.floor((x - low) / F.lit(high - low) * 999), F.lit(998)).cast("int"))
+                held = steps(rows.where((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi))), share)
+        found.append(at)
+    return found
+
+
 def ordered(rows: DataFrame, *order: str) -> DataFrame:
     """rows, stored in order, with ``__part``, a range of the order, and ``__at``, the row's number from 0 in it.
 

@@ -202,6 +202,7 @@ b AS (SELECT pr.query_id, pr.cluster_id, probe_rank, {_lower('q', 'lo', 'hi')} A
         "ivf_joined": _with(INDEX, "SELECT vf.query_id, CASE WHEN vf.votes BETWEEN 1 AND 4 THEN vl.votes ELSE vf.votes END AS votes FROM vf JOIN vl ON vl.query_id = vf.query_id"),
         "eval_confusion": _CONF,
         "eval_p99": "SELECT quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem",
+        "stream_eval": _with(f"c AS (SELECT * FROM ({_CONF}), (SELECT quantile_cont(doc_id * 7919 % 200003 / CAST(100 AS DOUBLE), 0.99) AS p99 FROM labels)),\n" + _SCORED, "SELECT tp, tn, fp, fn, err, n, weighted_errors, round(p99, 6) AS p99, round(epsilon, 6) AS epsilon, round(failure_rate, 6) AS failure_rate, round(p99_score, 6) AS p99_score, round(detection_score, 6) AS detection_score, round(final_score, 6) AS final_score FROM s4"),
         "eval_score": _with("""c AS (SELECT o_orderpriority, o_orderstatus, count(*) FILTER (o_orderkey % 3 = 0) AS tp, count(*) FILTER (o_orderkey % 3 = 1) AS tn,
   count(*) FILTER (o_orderkey % 41 = 0 AND o_orderstatus <> 'P') AS fp, count(*) FILTER (o_orderkey % 199 = 5) AS fn, count(*) FILTER (o_orderkey % 499 = 7) AS err, max(o_totalprice)/CAST(400 AS DOUBLE) AS p99
   FROM orders GROUP BY o_orderpriority, o_orderstatus),\n""" + _SCORED, "SELECT o_orderpriority, o_orderstatus, n, weighted_errors, round(epsilon, 6) AS epsilon, round(failure_rate, 6) AS failure_rate, round(p99_score, 6) AS p99_score, round(detection_score, 6) AS detection_score, round(final_score, 6) AS final_score FROM s4"),

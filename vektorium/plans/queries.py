@@ -371,6 +371,20 @@ def eval_p99(spark, sf_dir):
     return evaluate.percentile99(_table(spark, sf_dir, "lineitem"), "l_extendedprice")
 
 
+def stream_eval(spark, sf_dir):
+    """The scores of a stream of answers, with latencies, after its last micro-batch."""
+    from ..streaming.evaluation import score_results
+
+    folder = scratch(spark)
+    timed = _results(spark, sf_dir).withColumn("latency", F.col("doc_id") * 7919 % 200003 / F.lit(100).cast("double"))
+    timed.repartition(4).write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    sink = lambda found, batch: found.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+    score_results(arriving, "latency", sink, f"{folder}/checkpoint").awaitTermination()
+    last = spark.read.parquet(f"{folder}/out").orderBy(F.desc("batch")).limit(1)
+    return last.select("tp", "tn", "fp", "fn", "err", "n", "weighted_errors", *[F.round(c, 6).alias(c) for c in ("p99", "epsilon", "failure_rate", "p99_score", "detection_score", "final_score")])
+
+
 def _counts(spark, sf_dir):
     """A row of counts for each order status of lineitem's flags: several cases of the score at once."""
     o = _table(spark, sf_dir, "orders")
@@ -464,7 +478,7 @@ NAMES = """knn_verdict ref_count ref_scan ref_scan_ranges ref_validate label_enc
     parse_json reject_reasons datetime_parts merchant_known features features_sentinel features_typed clamp round4 mcc_risk quantize quantize_vector
     vectors verdict score_json l2_distance knn_exact centroid_distances kmeans_assign kmeans_step centroid_round kmeanspp_weights
     weighted_pick cluster_sizes cluster_bbox block_offsets block_slots ivf_build index_roundtrip ivf_probes ivf_scan knn_top5
-    bbox_lower_bound bbox_prune l2_partial_filter fraud_vote ivf_fast ivf_full ivf_adaptive ivf_joined eval_confusion eval_p99 eval_score
+    bbox_lower_bound bbox_prune l2_partial_filter fraud_vote ivf_fast ivf_full ivf_adaptive ivf_joined eval_confusion eval_p99 stream_eval eval_score
     eval_report eval_entries label_stats lcg_sequence sample_with_replacement kmeanspp_seed kmeans_fit kmeans_parallel_seed kmeans_lloyd synthetic_queries round_robin
     stream_scores""".split()
 
