@@ -54,7 +54,14 @@ _CAPITALS = re.compile(_NAME)
 #: Words that may mention a name again, and the parts of hyphenated ones.
 _WORDS, _PART = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-ÞА-ЯЁΆ-Ώ][^\W\d_]+(?:-[^\W\d_]+)*(?!\w)"), re.compile(r"[^\W\d_]+")
 _TITLED = re.compile(rf"\b({'|'.join(TITLES)})\.?[ \t]+({_NAME}(?:-{_NAME})?)(?:[ \t]+({_NAME}(?:-{_NAME})?))?")
-_GIVEN = re.compile(rf"\b({'|'.join(n for names in GIVEN.values() for n in names)})[ \t]+({_NAME}(?:-{_NAME})?)\b")
+_LISTED = f"(?:{'|'.join(n for names in GIVEN.values() for n in names)})"
+_GIVEN = re.compile(rf"\b((?:{_LISTED}[ \t]+)+)({_NAME}(?:-{_NAME})?)\b")
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)")
+#: Numbers that only the word before them tells.
+_SHORT_PHONE = re.compile(r"(?i)\b(?:tel|telephone|phone|fax|mobile|cell|call)\b[^\w\n]{1,3}(\d{3}[ .-]\d{4})(?![\w-])")
+_PASSPORT = re.compile(r"(?i)\bpassport\b(?:[ \t]+(?:no|nr|number)\b)?[^\w\n]{1,3}([A-Z]{0,2}\d{6,9})(?!\w)")
+#: The part of an IPv6 address that changes; what precedes it tells the kind of network.
+_HOST_BITS = 112
 
 
 def luhn(digits: str) -> bool:
@@ -65,6 +72,22 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _ipv6(text: str) -> bool:
+    """Whether a text is an address with a digit and three groups or more; clock times and names with two colons are not."""
+    if sum(map(bool, text.split(":"))) < 3 or text.isalpha() or not any(c.isdigit() for c in text):
+        return False
+    try:
+        return bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+
+
+def _name_kind(name: str) -> str:
+    """Given with a gender for a listed name, surname for any other: by the name alone, so that it has one surrogate wherever it stands and whichever title it has."""
+    pooled = _POOL.get(name.lower())
+    return "given" + pooled[0][1] if pooled else "surname"
+
+
 def detect(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities, by start and without overlaps: the one that starts first stays.
 
@@ -77,6 +100,10 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
     found += [(*m.span(1), "secret") for m in _SECRET.finditer(text)]
     found += [(*m.span(), "iban") for m in _IBAN.finditer(text) if _iban_ok(m[0].replace(" ", ""))]
+    if ":" in text:
+        found += [(*m.span(), "ipv6") for m in _IPV6.finditer(text) if _ipv6(m[0])]
+    found += [(*m.span(1), "phone") for m in _SHORT_PHONE.finditer(text)]
+    found += [(*m.span(1), "passport") for m in _PASSPORT.finditer(text)]
     for m in _NUMBER.finditer(text):
         kind, digits = m.lastgroup, re.sub(r"\D", "", m[0])
         if kind == "ip" and not all(int(x) < 256 for x in m[0].split(".")):
@@ -89,13 +116,12 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     words = set(_CAPITALS.findall(text))
     if not words.isdisjoint(TITLES):
         for m in _TITLED.finditer(text):
-            pooled = _POOL.get(m[2].lower())
-            given = "given" + (pooled[0][1] if pooled else TITLES[m[1]])
-            found += [(*m.span(2), given if m[3] or pooled else "surname")] + ([(*m.span(3), "surname")] if m[3] else [])
+            found += [(*m.span(k), _name_kind(m[k])) for k in (2, 3) if m[k]]
     if not words.isdisjoint(_GIVEN_NAMES):
         for m in _GIVEN.finditer(text):
-            if m[1] != m[2] and m[2].lower() not in _POOL:
-                found += [(*m.span(1), "given" + _POOL[m[1].lower()][0][1]), (*m.span(2), "surname")]
+            given = [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"\S+", m[1])]
+            if [text[lo:hi] for lo, hi in given] != [m[2]]:
+                found += [(lo, hi, _name_kind(text[lo:hi])) for lo, hi in (*given, m.span(2))]
     out, end = [], -1
     for lo, _, hi, kind in sorted((lo, k, hi, kind) for k, (lo, hi, kind) in enumerate(found)):
         if lo >= end:
@@ -143,6 +169,8 @@ def canonical(kind: str, value: str) -> str:
         return re.sub(r"\D", "", value)
     if kind == "iban":
         return value.replace(" ", "")
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(value))
     return value.lower() if kind in ("email", "surname") or kind.startswith("given") else value
 
 
@@ -237,6 +265,9 @@ def surrogate(cipher: Cipher, kind: str, value: str, attempt: int = 0) -> str:
             x = cipher.move(label.encode(), x, 1 << 32)
             if not any(x >> 32 - n.prefixlen == int(n.network_address) >> 32 - n.prefixlen for n in NETWORKS):
                 return str(ipaddress.IPv4Address(x))
+    if kind == "ipv6":  # another host below the same sixteen bits
+        top, low = divmod(int(ipaddress.IPv6Address(value)), 1 << _HOST_BITS)
+        return str(ipaddress.IPv6Address(top << _HOST_BITS | cipher.move(f"{label}{top}".encode(), low, 1 << _HOST_BITS)))
     if kind == "iban":
         body = _walked(value[4:], spell, lambda v: True)
         check = 98 - int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
@@ -276,6 +307,8 @@ def space(kind: str, value: str) -> tuple[str, int]:
         x = ipaddress.IPv4Address(".".join(str(int(p)) for p in value.split(".")))
         net = next((n for n in NETWORKS if x in n), None)
         return f"ip {net}", net.num_addresses if net else (1 << 32) - sum(n.num_addresses for n in NETWORKS)
+    if kind == "ipv6":
+        return f"ipv6 {int(ipaddress.IPv6Address(value)) >> _HOST_BITS}", 1 << _HOST_BITS
     if kind == "iban":
         return f"iban {value[:2]} {_mask(value[4:])}", size(value[4:])
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+", value):
@@ -301,6 +334,8 @@ def dressed(kind: str, value: str, new: str) -> str:
         return "".join(c if c == " " else next(rest) for c in value)
     if kind == "email" and len(new) == len(value):
         return "".join(n.upper() if v.isupper() else n for v, n in zip(value, new, strict=True))
+    if kind == "ipv6":
+        return new.upper() if value.isupper() else new
     if kind == "surname" or kind.startswith("given"):
         return new.upper() if value.isupper() else "-".join(p[:1].upper() + p[1:] for p in new.split("-"))
     return new
@@ -331,13 +366,14 @@ def entities(docs: DataFrame) -> DataFrame:
     return docs.where("doc IS NOT NULL").mapInPandas(find, "doc long, kind string, value string")
 
 
-def tries(found: DataFrame, key: bytes, limit: int = 16) -> DataFrame:
+def tries(found: DataFrame, key: bytes, limit: int = 64) -> DataFrame:
     """(kind, value, attempt) of the entities whose first surrogate won't do. found: different (kind, value), materialised.
 
     A surrogate must be no entity of the corpus, and of one entity only; where several ask for the
     same, the smallest value keeps it. The others try again under another permutation. Where a
-    crowded space (given names, very short values) has no such assignment, all its entities keep the
-    first permutation, which alone makes surrogates distinct and none its own.
+    crowded space (given names, very short values) has no such assignment, or limit rounds find none,
+    all entities of the space keep the first permutation, which alone makes surrogates distinct and
+    none its own. A round leaves at most about half of what the one before left.
     """
     cipher = Cipher(key)
 
@@ -355,7 +391,9 @@ def tries(found: DataFrame, key: bytes, limit: int = 16) -> DataFrame:
     crowded = placed.join(full.select("space"), "space", "left_semi").select("kind", "value", F.lit(True).alias("crowded"))
     now = found.join(crowded, ["kind", "value"], "left").select("kind", "value", F.lit(0).alias("attempt"), F.coalesce("crowded", F.lit(False)).alias("crowded"))
     taken = found.select("kind", F.col("value").alias("new"))
-    for _ in range(limit):
+    rounds = 0
+    while True:
+        rounds += 1
         made = cut(now.mapInPandas(make, "kind string, value string, attempt int, crowded boolean, new string"))
         free = made.where("NOT crowded")
         real = free.join(taken, ["kind", "new"], "left_semi").select("kind", "value")
@@ -365,7 +403,11 @@ def tries(found: DataFrame, key: bytes, limit: int = 16) -> DataFrame:
         if again.isEmpty():
             return made.where("attempt > 0").select("kind", "value", "attempt")
         now = made.join(again.withColumn("bad", F.lit(1)), ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt"), "crowded")
-    raise RuntimeError(f"surrogates still collide after {limit} attempts")
+        if rounds % limit == 0:  # spaces without an assignment count as crowded; larger ones go on
+            spaces = placed.join(again, ["kind", "value"], "left_semi").select("space").distinct()
+            given_up = placed.join(spaces, "space", "left_semi").select("kind", "value", F.lit(True).alias("late"))
+            late = F.coalesce("late", F.lit(False))
+            now = now.join(given_up, ["kind", "value"], "left").select("kind", "value", F.when(late, 0).otherwise(F.col("attempt")).alias("attempt"), (F.col("crowded") | late).alias("crowded"))
 
 
 #: The setting that holds the secret key of op4_pii.
