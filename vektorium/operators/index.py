@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..schema import BLOCK_SIZE, DIM, INDEX_VERSION, TOP_K
 from ..sources.records import require_at_least
-from .kmeans import MAX_CENTROIDS, assign, rounded
+from . import cells
+from .kmeans import MAX_CENTROIDS, assign, centroid_matrix, rounded
 from .ranges import numbered
 from .tree import Balls, balls
 
@@ -23,7 +23,7 @@ from .tree import Balls, balls
 MEMBER_BLOCK = 4_096
 #: Centroids from which on their balls are searched.
 TREE_FROM = 1_024
-BLOCKS = "block_id long, cluster_id int, n int, rows binary, vectors binary, labels binary, nearest array<bigint>"
+BLOCKS = cells.BLOCKS
 
 
 def sizes(members: DataFrame) -> DataFrame:
@@ -62,29 +62,15 @@ def build(points: DataFrame, centroids: DataFrame) -> tuple[DataFrame, DataFrame
 def packed(members: DataFrame, clusters: DataFrame, block: int = MEMBER_BLOCK, dims: int = DIM) -> tuple[DataFrame, DataFrame]:
     """(clusters, blocks): members as rows of binary arrays, and clusters with what search needs to find and prune them.
 
-    A cluster's members are dealt to blocks of about ``block`` by hash, as many as it needs, so that a hot
-    cluster is many rows. Blocks (block_id, cluster_id, n, rows, vectors, labels, nearest) hold row ids in
-    order, int16 vectors by dimension, and the TOP_K least squared distances to the rounded centroid;
+    A cluster's members are cut into cells of about ``block`` neighbours (cells.packed()), so that a hot
+    cluster is many rows and a search reads those whose box is near. ``nearest`` holds distances to the rounded centroid;
     clusters get ``first_block``, ``n_blocks`` and ``nearest``, the TOP_K least of all their blocks.
     """
-    counted = clusters.select("cluster_id", "ci", F.ceil(F.col("n") / block).cast("int").alias("n_blocks"))
-    # a row a cluster, so one ordered window will do
-    placed = counted.withColumn("first_block", F.coalesce(F.sum("n_blocks").over(Window.orderBy("cluster_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-    dealt = members.select("row_id", "v", "label", "cluster_id").join(F.broadcast(placed.where("n_blocks > 0")), "cluster_id")
-    dealt = dealt.withColumn("block_id", F.col("first_block") + F.pmod(F.xxhash64("row_id"), F.col("n_blocks")))
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row_id", kind="stable")
-        v = np.array(rows["v"].tolist(), np.int64).reshape(-1, dims)
-        gap = v - np.array(rows["ci"].iloc[0], np.int64)
-        near = np.sort((gap * gap).sum(axis=1))[:TOP_K].tolist()
-        return pd.DataFrame({
-            "block_id": [rows["block_id"].iloc[0]], "cluster_id": [rows["cluster_id"].iloc[0]], "n": [len(rows)], "rows": [rows["row_id"].to_numpy(np.int64).tobytes()],
-            "vectors": [np.ascontiguousarray(v.T).astype(np.int16).tobytes()], "labels": [rows["label"].to_numpy(np.int8).tobytes()], "nearest": [near],
-        })
-
-    blocks = dealt.select("block_id", "cluster_id", "row_id", "v", "label", "ci").groupBy("block_id").applyInPandas(pack, BLOCKS)
-    return placed.drop("ci"), blocks
+    ids, ci = centroid_matrix(clusters, "ci")
+    places, blocks = cells.packed(members, block, dims, (ids, ci.astype(np.int64)))
+    # a row a cluster, of which centroid_matrix() has checked that there are MAX_CENTROIDS at most
+    placed = clusters.select("cluster_id").join(F.broadcast(places), "cluster_id", "left")
+    return placed.select("cluster_id", F.coalesce("first_block", F.lit(0)).cast("long").alias("first_block"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks")), blocks
 
 
 def unpacked(blocks: DataFrame, dims: int = DIM) -> DataFrame:
@@ -145,6 +131,7 @@ class Index:
         self.members = unpacked(blocks)
         self.lists = cluster_lists(self.clusters)
         self.sent = spark.sparkContext.broadcast(self.lists)
+        self.boxes = spark.sparkContext.broadcast(cells.boxes(blocks))
 
     def keep(self) -> Index:
         """Holds the blocks in the executors from their first use on, in memory as far as it goes and else on their disks; a lost executor's are read again. Small sets of queries then travel to them."""
@@ -156,6 +143,7 @@ class Index:
         if self.kept:
             self.blocks.unpersist()
         self.sent.destroy()
+        self.boxes.destroy()
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 

@@ -17,7 +17,7 @@ APPROVED_BELOW = 3
 MAX_BODY = 4096
 
 #: Of the stored index' layout.
-INDEX_VERSION = 3
+INDEX_VERSION = 4
 
 #: Merchant categories and their risk, fixed values; any other category has DEFAULT_RISK.
 RISK = {
