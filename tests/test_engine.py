@@ -105,6 +105,23 @@ def entries(*approved):
     return {"entries": [{"request": PAYLOAD, "expected_approved": x} for x in approved], "stats": {"total": len(approved)}}
 
 
+def test_evaluation_lines_are_not_read_whole(spark, tmp_path):
+    """A file of an object a line is read in splits, and its entries keep their places over all of them."""
+    one = '{"entries":[{"expected_approved":%s},{"expected_approved":false}]}'
+    (tmp_path / "a b.json").write_text("\r\n".join(one % ("true" if k % 3 else "false") for k in range(400)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = requests.read_evaluation(spark, str(tmp_path))
+        plan = found.groupBy("expected_approved").count()._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "transform" not in plan
+        rows = found.orderBy("entry").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["entry"] for r in rows] == list(range(800)) and len({r["entry_id"] for r in rows}) == 800
+    assert [r["expected_approved"] for r in rows[::2]] == [k % 3 > 0 for k in range(400)]
+
+
 def test_evaluation_files(spark, tmp_path):
     """Objects over many lines, several objects a file, several files; ids are unique over all of them."""
     (tmp_path / "a.json").write_text(json.dumps(entries(True, False, True), indent=2))

@@ -50,14 +50,17 @@ def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
     a hash of both, joins answers to it. A file that holds more than JSON can be read as, an object
     without entries included, fails.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("value")).where("value != ''")
-    # a file is an object, or a line each is one; a whole file as one object may not have anything after it
-    whole = whole.withColumn("objects", F.transform(F.split("value", "\\r?\\n"), lambda x: F.trim(x)))
-    lines = F.filter("objects", lambda x: x != "")
-    by_line = F.forall(lines, lambda x: F.get_json_object(x, "$.entries").isNotNull())
-    texts = F.when(by_line, lines).otherwise(F.array("value"))
-    objects = whole.select("file", F.posexplode(texts).alias("object", "text"))
-    parsed = objects.select("file", "object", F.from_json("text", EVALUATION, {"mode": "FAILFAST"}).alias("o"))
+    # a line each is an object, or a file is one, which alone is read as a whole
+    def texts(start: Column, line: Column, **options) -> DataFrame:
+        read = spark.read.text(path, **options)
+        return read.select(F.col("_metadata.file_path").alias("file"), F.struct(start.alias("start"), line.alias("line")).alias("object"), F.trim(F.regexp_replace("value", "\\r$", "")).alias("text")).where("text != ''")
+
+    lines = texts(F.col("_metadata.file_block_start"), F.monotonically_increasing_id(), lineSep="\n")
+    whole = [r["file"] for r in lines.where(F.get_json_object("text", "$.entries").isNull()).select("file").distinct().collect()]
+    if whole:
+        zero = F.lit(0).cast("long")
+        lines = lines.where(~F.col("file").isin(whole)).union(texts(zero, zero, wholetext=True).where(F.col("file").isin(whole)))
+    parsed = lines.select("file", "object", F.from_json("text", EVALUATION, {"mode": "FAILFAST"}).alias("o"))
     checked = parsed.select("file", "object", F.when(F.col("o.entries").isNotNull(), F.col("o.entries")).otherwise(F.raise_error(F.lit("an evaluation object needs entries"))).alias("entries"))
     before = F.coalesce(F.sum(F.size("entries")).over(Window.partitionBy("file").orderBy("object").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = checked.withColumn("before", before).select("file", "before", F.posexplode("entries").alias("at", "e"))
