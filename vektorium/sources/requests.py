@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,12 +37,21 @@ def status(method: Column, path: Column, size: Column, parsed_ok: Column) -> Col
     )
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use refers to it, also in a filter that Spark pushes below the columns it is made of."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def route(requests: DataFrame, raw: str = "raw") -> DataFrame:
     """Each request with its parts, the parsed body and a status."""
-    parts = parse_http(F.col(raw))
-    routed = requests.withColumns(parts)
-    routed = routed.withColumn("request", parse_body(F.col("body")))
-    return routed.withColumn("status", status(F.col("method"), F.col("path"), F.octet_length(raw), is_valid(F.col("request"))))
+
+    def routed(text: Column) -> Column:
+        parts = parse_http(text)
+        told = F.struct(*(c.alias(name) for name, c in parts.items()), parse_body(parts["body"]).alias("request"))
+        names = [*parts, "request"]
+        return once(told, lambda p: F.struct(*(p[c].alias(c) for c in names), status(p["method"], p["path"], F.octet_length(text), is_valid(p["request"])).alias("status")))
+
+    return requests.withColumn("__routed", once(F.col(raw), routed)).select(*requests.columns, "__routed.*")
 
 
 def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
