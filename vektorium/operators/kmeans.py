@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,12 +17,15 @@ from pyspark.sql import functions as F
 from ..schema import DIM
 from ..sources.records import require_at_least
 from ..storage import stored, temporary
+from .cells import matrix
 from .ranges import at_total, numbered
 
 #: Centroids that are collected and broadcast at most.
 MAX_CENTROIDS = 65_536
 #: Points whose distances to all centroids are in memory at once.
 BLOCK = 2_048
+#: Distances that _least() has in memory at once, about: few enough for a core's cache.
+CELLS = 131_072
 
 _MASK = (1 << 64) - 1
 
@@ -84,6 +88,26 @@ def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+def _least(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each point's nearest centre, the first of several, and its squared distance.
+
+    Small whole numbers, as quantised vectors are, give exact sums in any order, so that one product of matrices
+    tells all distances; others are summed as in _distances().
+    """
+    at, least = np.zeros(len(points), np.int64), np.zeros(len(points))
+    top = max(np.abs(points).max(initial=0), np.abs(centres).max(initial=0))
+    exact = 4 * centres.shape[1] * top * top < 1 << 53 and not (centres % 1).any() and not (points % 1).any()
+    lengths, flat = (centres * centres).sum(axis=1), np.ascontiguousarray(-2 * centres.T)
+    rows = max(64, CELLS // max(1, len(centres)))
+    for lo in range(0, len(points), rows):
+        p = points[lo : lo + rows]
+        dist = p @ flat + lengths if exact else _distances(p, centres)
+        best = dist.argmin(axis=1)
+        at[lo : lo + rows] = best
+        least[lo : lo + rows] = dist[np.arange(len(p)), best] + ((p * p).sum(axis=1) if exact else 0)
+    return at, least
+
+
 def nearest(centroids: DataFrame, v: Column, column: str = "c", count: int | None = None) -> Column:
     """An array of (cluster_id, d) of the ``count`` nearest centroids, all if None, nearest first; ties go to the lower id."""
     spark = centroids.sparkSession
@@ -110,8 +134,16 @@ def nearest(centroids: DataFrame, v: Column, column: str = "c", count: int | Non
 
 def assign(points: DataFrame, centroids: DataFrame, column: str = "c") -> DataFrame:
     """points with ``cluster_id``, the nearest centroid, and ``d``, its squared distance. No shuffle."""
-    best = points.withColumn("near", F.get(nearest(centroids, F.col("v"), column, 1), F.lit(0)))
-    return best.withColumns({"cluster_id": F.col("near.cluster_id"), "d": F.col("near.d")}).drop("near")
+    held = points.sparkSession.sparkContext.broadcast(centroid_matrix(centroids, column))
+
+    @F.arrow_udf("struct<cluster_id:int,d:double>")
+    def best(v: pa.Array) -> pa.Array:
+        ids, centres = held.value
+        at, d = _least(matrix(v, centres.shape[1]).astype(np.float64), centres)
+        return pa.StructArray.from_arrays([pa.array(ids[at]), pa.array(d)], ["cluster_id", "d"])
+
+    near = points.withColumn("near", best("v"))
+    return near.withColumns({"cluster_id": F.col("near.cluster_id"), "d": F.col("near.d")}).drop("near")
 
 
 def _means(assigned: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
@@ -242,25 +274,38 @@ def _draw(seed: int, turn: int) -> Column:
     return F.pmod(F.xxhash64("row_id", F.lit(seed).cast("long"), F.lit(turn).cast("long")), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def seed_parallel(points: DataFrame, k: int, seed: int, rounds: int = 5, factor: int = 2) -> DataFrame:
+def _nearer(held: DataFrame, known: int, new: list[list[int]], work: Accumulator | None = None) -> DataFrame:
+    """held (row_id, v, at, w) after new candidates, numbered on from those known: which of them all is nearest, the first of several, and its squared distance."""
+    sent = held.sparkSession.sparkContext.broadcast(np.array(new, np.float64))
+
+    @F.arrow_udf("struct<at:int,w:bigint>")
+    def nearer(v: pa.Array, at: pa.Array, w: pa.Array) -> pa.Array:
+        best, d = _least(matrix(v, sent.value.shape[1]).astype(np.float64), sent.value)
+        at, w, d = at.to_numpy(), w.to_numpy(), d.astype(np.int64)
+        if work:
+            work.add(len(d) * len(sent.value))
+        return pa.StructArray.from_arrays([pa.array(np.where(d < w, best + known, at).astype(np.int32)), pa.array(np.minimum(d, w))], ["at", "w"])
+
+    return held.select("row_id", "v", nearer("v", "at", "w").alias("near")).select("row_id", "v", "near.*")
+
+
+def seed_parallel(points: DataFrame, k: int, seed: int, rounds: int = 5, factor: int = 2, work: Accumulator | None = None) -> DataFrame:
     """(cluster_id, c): k-means|| over all points (row_id, v): rounds of oversampling, then k-means++ on the few candidates.
 
     The point of the smallest draw is the first candidate. In every round each point becomes one
     with a probability of factor * k times its share of the summed squared distances to the candidates
-    so far, by its own draw; distances are kept between rounds, and only new candidates are
-    compared. Candidates, some factor * k a round, are weighted by the points nearest to them;
-    nothing but they and sums reaches the driver. Fewer different points than k give as many centroids.
+    so far, by its own draw; the nearest candidate and its distance are kept between rounds, and a point
+    is compared with a candidate once. Candidates, some factor * k a round, are weighted by the points nearest to them;
+    nothing but they and sums reaches the driver. Fewer different points than k give as many centroids. ``work`` sums the distances computed.
     """
     spark = points.sparkSession
     with temporary(spark):
         first = points.select("row_id", "v").orderBy(_draw(seed, 0), "row_id").limit(1).collect()
         if not first:
             raise ValueError("no points to choose centroids from")
-        candidates, new, held = [r["v"] for r in first], [r["v"] for r in first], points.select("row_id", "v", F.lit(1 << 62).alias("w"))
+        candidates, new, held = [], [r["v"] for r in first], points.select("row_id", "v", F.lit(-1).alias("at"), F.lit(1 << 62).alias("w"))
         for turn in range(1, rounds + 1):
-            found = _frame(spark, np.arange(len(new)), np.array(new, np.float64))
-            near = distance_weights(held.select("row_id", "v", F.col("w").alias("before")), found)
-            held = stored(near.select("row_id", "v", F.least("before", "w").alias("w")))
+            held, candidates, new = stored(_nearer(held, len(candidates), new, work)), candidates + new, []
             total = held.agg(F.sum("w").alias("t")).first()["t"]
             if not total:
                 break
@@ -268,11 +313,11 @@ def seed_parallel(points: DataFrame, k: int, seed: int, rounds: int = 5, factor:
             new = [r["v"] for r in chosen]
             if len(candidates) + len(new) > MAX_CENTROIDS:
                 raise ValueError(f"more than {MAX_CENTROIDS} candidates; take fewer rounds or a smaller factor")
-            candidates += new
             if not new:
                 break
-        every = _frame(spark, np.arange(len(candidates)), np.array(candidates, np.float64))
-        weights = {r["cluster_id"]: r["n"] for r in assign(points.select("row_id", "v"), every).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if new:
+            held, candidates = _nearer(held, len(candidates), new, work), candidates + new
+        weights = {r["at"]: r["n"] for r in held.groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = _plus_plus(np.array(candidates, np.float64), np.array([weights.get(i, 0) for i in range(len(candidates))], np.float64), k, Lcg(seed))
     return _frame(spark, np.arange(len(chosen)), np.array(candidates, np.float64)[chosen])
 
