@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,25 +19,54 @@ DOCUMENT_SLOTS, SLOTS = 2, (1 << 14, 1 << 22)
 CROWD_KEYS, CROWD, HEADS = 2, 4, 1
 #: Sets of so many tokens have a parity of two words.
 WIDE = 64
-PLACE = ("doc", "sub", "pos")
+#: Bits of a place that hold a line's position in its text, where places are single numbers.
+POSITION_BITS = 31
 #: Bits of a token's key that hold its hash, below its rarity class.
 HASH_BITS = 56
 
 
-def tokens(line: Column) -> Column:
-    """A line's tokens. Splitting at single spaces is the quick way, open to lines without other blanks or empty parts."""
-    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
-    for blank in ("  ", "\t", "\x0b", "\x0c", "\r"):
-        odd = odd | F.contains(line, F.lit(blank))
-    return F.when(odd, word_array(line)).otherwise(F.split(line, " "))
+class Places(NamedTuple):
+    """Where a line stands, as one orderable value: a number where ids are near each other and none is shared, else a struct.
 
+    Numbers keep the aggregations over places on fixed buffers, which need no sort. base: the least id, None for structs.
+    """
 
-def _words(text: Column) -> Column:
-    """A text's tokens, empty parts among them. Splitting at single spaces is the quick way, open to texts without other blanks than line feeds."""
+    base: int | None
+
+    @classmethod
+    def over(cls, least: int | None, greatest: int | None, shared: bool) -> Places:
+        near = least is not None and greatest - least < 1 << 63 - POSITION_BITS
+        return cls(least if near and not shared else None)
+
+    def of(self, doc: Column, sub: Column, pos: Column) -> Column:
+        if self.base is None:
+            return F.struct(doc.alias("doc"), sub.alias("sub"), pos.alias("pos"))
+        return F.shiftleft(doc - F.lit(self.base).cast("long"), POSITION_BITS).bitwiseOR(pos.cast("long"))
+
+    def parts(self, at: Column) -> list[Column]:
+        """doc, sub and pos of a place."""
+        if self.base is None:
+            return [at["doc"].alias("doc"), at["sub"].alias("sub"), at["pos"].alias("pos")]
+        pos = at.bitwiseAND(F.lit((1 << POSITION_BITS) - 1).cast("long")).cast("int")
+        return [(F.shiftright(at, POSITION_BITS) + F.lit(self.base).cast("long")).alias("doc"), F.lit(0).cast("long").alias("sub"), pos.alias("pos")]
+
+
+def _other_blanks(text: Column) -> Column:
+    """Whether a text has blanks other than spaces and line feeds. Each is one byte, which a scan finds without comparing parts."""
     odd = F.lit(False)
     for blank in ("\t", "\x0b", "\x0c", "\r"):
         odd = odd | F.contains(text, F.lit(blank))
-    return F.when(odd, F.split(text, "[ \\t-\\r]+")).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "))
+    return odd
+
+
+def tokens(line: Column) -> Column:
+    """A line's tokens. Splitting at single spaces is the quick way, open to lines without other blanks; empty parts go after it."""
+    return F.when(_other_blanks(line), word_array(line)).otherwise(F.array_remove(F.split(line, " "), ""))
+
+
+def _words(text: Column) -> Column:
+    """A text's tokens, empty parts among them. Splitting at single spaces is the quick way, open to texts without other blanks than line feeds."""
+    return F.when(_other_blanks(text), F.split(text, "[ \\t-\\r]+")).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "))
 
 
 def _slot(h: Column, slots: int) -> Column:
@@ -68,9 +100,10 @@ def _least_overlap(n: Column) -> Column:
     return F.floor((n * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR).cast("int")
 
 
-def exploded(docs: DataFrame) -> DataFrame:
-    """(doc, sub, pos, line) for each line."""
-    return docs.select("doc", "sub", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+def exploded(docs: DataFrame, places: Places) -> DataFrame:
+    """(at, line) for each line."""
+    lines = docs.select("doc", "sub", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.select(places.of(F.col("doc"), F.col("sub"), F.col("pos")).alias("at"), "line")
 
 
 def _parity(keys: Column) -> Column:
@@ -90,30 +123,32 @@ def _differing(x: str, y: str) -> Column:
     return F.when(F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) >= WIDE, both).otherwise(F.bit_count(p))
 
 
-def first_lines(docs: DataFrame, slots: int) -> DataFrame:
+def first_lines(docs: DataFrame, slots: int, places: Places) -> DataFrame:
     """A row for each different line with a token: where it is first, its number of tokens, its prefix, its set's parity and its keys for crowds()."""
     # the classes come in after the lines are made: a generator would copy them with each line
     some = (F.col("line") >= "!") | (F.btrim("line", F.lit(BLANK)) != "")
-    per_line = exploded(docs).where(some).withColumn("classes", rarity(docs, "text", slots).scalar())
-    per_line = per_line.select(*PLACE, F.xxhash64("line").alias("h"), F.hash("line").alias("g"), token_keys(F.col("line"), F.col("classes"), slots).alias("keys"))
+    per_line = exploded(docs, places).where(some).withColumn("classes", rarity(docs, "text", slots).scalar())
+    per_line = per_line.select("at", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), token_keys(F.col("line"), F.col("classes"), slots).alias("keys"))
     n = F.size("keys")
     shaped = per_line.select(
-        *PLACE, "h", "g",
-        F.struct(
-            n.alias("n"),
-            F.slice("keys", 1, n - _least_overlap(n) + 1).alias("prefix"),
-            _parity(F.col("keys")).alias("p"),
-            F.when(n >= WIDE, _parity(F.filter("keys", lambda x: x.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long")).alias("q"),
-        ).alias("s"),
+        "at", "h", "g", n.alias("n"),
+        F.slice("keys", 1, n - _least_overlap(n) + 1).alias("prefix"),
+        _parity(F.col("keys")).alias("p"),
+        F.when(n >= WIDE, _parity(F.filter("keys", lambda x: x.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long")).alias("q"),
     )
-    firsts = shaped.groupBy("h", "g").agg(F.min(F.struct(*PLACE)).alias("at"), F.first("s").alias("s"), F.count(F.lit(1)).alias("copies"))
-    least = lambda r: F.array_min(F.transform("prefix", lambda t: F.xxhash64(t, F.lit(r))))
-    return firsts.select("h", "g", "at.*", "s.*", "copies").withColumn("least", F.array(*[least(r) for r in range(CROWD_KEYS)]))
+    # what a line's text tells is part of the key, not a first() of the group, which would sort the lines
+    firsts = shaped.groupBy("h", "g", "n", "p", "q", "prefix").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"))
+    return firsts.withColumn("least", F.array(*[_least("prefix", r) for r in range(CROWD_KEYS)]))
+
+
+def _least(prefix: str, r: int) -> Column:
+    """The least of a prefix's tokens by their hash, in the r-th of several orders, each by the hash with other bits turned."""
+    turned = F.lit(int.from_bytes(hashlib.blake2b(b"%d" % r, digest_size=8).digest(), "big", signed=True)).cast("long")
+    return F.array_min(F.transform(prefix, lambda t: F.shiftleft(t, 64 - HASH_BITS).bitwiseXOR(turned)))
 
 
 def _before(x: str, y: str) -> Column:
-    a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
-    return (a("doc") < b("doc")) | ((a("doc") == b("doc")) & (F.struct(a("sub"), a("pos")) < F.struct(b("sub"), b("pos"))))
+    return F.col(f"{x}.at") < F.col(f"{y}.at")
 
 
 def _alike(x: str, y: str) -> Column:
@@ -128,30 +163,30 @@ def _alike(x: str, y: str) -> Column:
 def _position(x: str, y: str) -> Column:
     """The positional filter on two postings of a token, for a pair's first common token: what comes after it in both sets can't be enough."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    i, j = (F.shiftright(f"{side}.at", 1) for side in (x, y))
+    i, j = (F.shiftright(f"{side}.i", 1) for side in (x, y))
     return (NUMERATOR + DENOMINATOR) * (1 + F.least(nx - i, ny - j)) >= NUMERATOR * (nx + ny)
 
 
 def _ends(x: str, y: str) -> list[Column]:
-    return [F.col(f"{side}.{c}").alias(f"{name}{c}") for side, name in ((x, "x"), (y, "y")) for c in PLACE]
+    return [F.col(f"{x}.at").alias("xat"), F.col(f"{y}.at").alias("yat")]
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, places: Places) -> DataFrame:
     """The places of the later lines y of pairs whose token sets are alike, by the words themselves."""
     pairs = cut(pairs)
-    side_of = lambda s: [F.col(f"{s}{c}").alias(c) for c in PLACE]
-    wanted = cut(pairs.select(*side_of("x")).union(pairs.select(*side_of("y"))).distinct().groupBy("doc", "sub").agg(F.collect_list("pos").alias("wanted")))
+    ends = pairs.select(F.col("xat").alias("at")).union(pairs.select(F.col("yat").alias("at"))).select(*places.parts(F.col("at")))
+    wanted = cut(ends.groupBy("doc", "sub").agg(F.collect_set("pos").alias("wanted")))
     side = F.broadcast(wanted) if is_small(wanted, 40 + 4 * F.size("wanted")) else wanted
     held = docs.join(side, ["doc", "sub"]).select("doc", "sub", "wanted", F.split("text", "\n").alias("ls"))
     held = held.select("doc", "sub", F.explode(F.transform("wanted", lambda p: F.struct(p.alias("pos"), F.get("ls", p).alias("line")))).alias("w"))
-    words = held.select("doc", "sub", F.col("w.pos").alias("pos"), F.col("w.line").alias("line"))
-    named = lambda s: words.select(*[F.col(c).alias(f"{s}{c}") for c in PLACE], F.col("line").alias(f"{s}s"))
-    joined = pairs.join(named("x"), [f"x{c}" for c in PLACE]).join(named("y"), [f"y{c}" for c in PLACE])
+    words = held.select(places.of(F.col("doc"), F.col("sub"), F.col("w.pos")).alias("at"), F.col("w.line").alias("line"))
+    named = lambda s: words.select(F.col("at").alias(f"{s}at"), F.col("line").alias(f"{s}s"))
+    joined = pairs.join(named("x"), "xat").join(named("y"), "yat")
     distinct = lambda c: F.array_distinct(tokens(F.col(c)))
-    sets = joined.select(*[f"y{c}" for c in PLACE], distinct("xs").alias("xs"), distinct("ys").alias("ys"))
-    both = F.size(F.array_intersect("xs", "ys"))
-    same = DENOMINATOR * both >= NUMERATOR * (F.size("xs") + F.size("ys") - both)
-    return sets.where(same).select(*side_of("y")).distinct()
+    # in one value, as a filter would make the sets anew wherever it names them
+    alike = lambda s: (NUMERATOR + DENOMINATOR) * F.size(F.array_intersect(s["x"], s["y"])) >= NUMERATOR * (F.size(s["x"]) + F.size(s["y"]))
+    sets = joined.where(let(F.struct(distinct("xs").alias("x"), distinct("ys").alias("y")), alike))
+    return sets.select(F.col("yat").alias("at")).distinct()
 
 
 def crowds(firsts: DataFrame) -> DataFrame:
@@ -161,14 +196,14 @@ def crowds(firsts: DataFrame) -> DataFrame:
     their edits, share most of them. A crowd is the lines with a key in common, and its heads are the
     earliest of each of HEADS groups of them by hash: the cost is in proportion to the crowd.
     """
-    keyed_ = firsts.select(*PLACE, "n", "p", "q", F.explode("least").alias("key"))
-    part = F.pmod(F.xxhash64(*PLACE), F.lit(HEADS))
+    keyed_ = firsts.select("at", "n", "p", "q", F.explode("least").alias("key"))
+    part = F.pmod(F.xxhash64("at"), F.lit(HEADS))
     heads = []
     for k in range(HEADS):  # by min_by alone, which needs no sort
-        own = F.when(part == k, F.col("doc"))
-        heads.append(F.struct(F.min(own).alias("doc"), *[F.min_by(c, own).alias(c) for c in ("sub", "pos", "n", "p", "q")]))
+        own = F.when(part == k, F.col("at"))
+        heads.append(F.struct(F.min(own).alias("at"), *[F.min_by(c, own).alias(c) for c in ("n", "p", "q")]))
     found = keyed_.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *[h.alias(f"h{k}") for k, h in enumerate(heads)]).where(F.col("c") > CROWD)
-    x = cut(found.select("key", F.explode(F.array(*[f"h{k}" for k in range(HEADS)])).alias("x")).select("key", "x.*").where("doc IS NOT NULL"))
+    x = cut(found.select("key", F.explode(F.array(*[f"h{k}" for k in range(HEADS)])).alias("x")).select("key", "x.*").where("at IS NOT NULL"))
     x = (F.broadcast(x) if is_small(x, 64) else x).alias("x")
     stars = keyed_.alias("y").join(x, (F.col("x.key") == F.col("y.key")) & _before("x", "y") & _alike("x", "y"))
     return likeliest(stars.select(*_ends("x", "y"), _differing("x", "y").alias("d")))
@@ -176,33 +211,32 @@ def crowds(firsts: DataFrame) -> DataFrame:
 
 def likeliest(pairs: DataFrame) -> DataFrame:
     """Of each later line's pairs the one whose parities differ least, and how many it had."""
-    return pairs.groupBy(*[f"y{c}" for c in PLACE]).agg(*[F.min_by(f"x{c}", "d").alias(f"x{c}") for c in PLACE], F.count(F.lit(1)).alias("c"))
+    return pairs.groupBy("yat").agg(F.min_by("xat", "d").alias("xat"), F.count(F.lit(1)).alias("c"))
 
 
-def later_matches(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+def later_matches(docs: DataFrame, firsts: DataFrame, places: Places) -> DataFrame:
     """Places of the lines that are alike to a different line with an earlier first place.
 
     Lines of crowds are compared with a few heads first, which finds a match for most members of a
     large group; only lines that this leaves meet all earlier lines with a prefix token in common,
     so that nothing is lost.
     """
-    found = cut(verified(docs, crowds(firsts)))
+    found = cut(verified(docs, crowds(firsts), places))
     settled = found.withColumn("settled", F.lit(True))
-    marked = firsts.join(F.broadcast(settled) if is_small(settled, 40) else settled, list(PLACE), "left")
-    postings = marked.select(*PLACE, "n", "p", "q", F.coalesce("settled", F.lit(False)).cast("int").alias("settled"), F.posexplode("prefix").alias("i", "token"))
-    # at: the token's place in its line from 1, and in the lowest bit whether the line is settled; so both sides read the same exchange
-    postings = postings.select("token", *PLACE, "n", F.shiftleft(F.col("i") + 1, 1).bitwiseOR(F.col("settled")).alias("at"), "p", "q")
+    marked = firsts.join(F.broadcast(settled) if is_small(settled, 40) else settled, "at", "left")
+    postings = marked.select("at", "n", "p", "q", F.coalesce("settled", F.lit(False)).cast("int").alias("settled"), F.posexplode("prefix").alias("i", "token"))
+    # i: the token's place in its line from 1, and in the lowest bit whether the line is settled; so both sides read the same exchange
+    postings = postings.select("token", "at", "n", F.shiftleft(F.col("i") + 1, 1).bitwiseOR(F.col("settled")).alias("i"), "p", "q")
     x, y = postings.alias("x"), postings.alias("y")
-    open_ = F.when(F.col("y.at").bitwiseAND(F.lit(1)) == 1, F.lit(False)).otherwise(_before("x", "y"))
+    open_ = F.when(F.col("y.i").bitwiseAND(F.lit(1)) == 1, F.lit(False)).otherwise(_before("x", "y"))
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & open_ & _position("x", "y") & _alike("x", "y"))
     pairs = cut(pairs.select(*_ends("x", "y"), _differing("x", "y").alias("d")).distinct())
     # the likeliest pair of each line first; all others only of lines for which that was not one
     best = cut(likeliest(pairs))
-    more = cut(verified(docs, best))
-    named = [F.col(c).alias(f"y{c}") for c in PLACE]
-    left = cut(best.where("c > 1").join(more.select(*named), [f"y{c}" for c in PLACE], "left_anti").select(*[f"y{c}" for c in PLACE]))
-    rest = pairs.join(F.broadcast(left) if is_small(left, 40) else left, [f"y{c}" for c in PLACE], "left_semi")
-    return found.union(more).union(verified(docs, rest)).distinct()
+    more = cut(verified(docs, best, places))
+    left = cut(best.where("c > 1").join(more.select(F.col("at").alias("yat")), "yat", "left_anti").select("yat"))
+    rest = pairs.join(F.broadcast(left) if is_small(left, 40) else left, "yat", "left_semi")
+    return found.union(more).union(verified(docs, rest, places)).distinct()
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -215,14 +249,17 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     empty table gives none. Rows of one id with different texts are different documents, rows of one
     id and equal text the same. Texts and lines of any length are read whole.
     """
-    slots = min(SLOTS[1], max(SLOTS[0], 1 << (DOCUMENT_SLOTS * docs.count() + 1).bit_length() - 1))
+    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"), F.max("doc").alias("greatest"), F.coalesce(F.max(F.col("sub") != 0), F.lit(False)).alias("shared")).first()
+    slots = min(SLOTS[1], max(SLOTS[0], 1 << (DOCUMENT_SLOTS * ids["n"] + 1).bit_length() - 1))
+    places = Places.over(ids["least"], ids["greatest"], ids["shared"])
     docs = docs.where("doc IS NOT NULL AND text IS NOT NULL")
-    firsts = stored(first_lines(docs, slots))
-    copied = firsts.where("copies > 1").select("h", "g", *[F.col(c).alias(f"f{c}") for c in PLACE])
-    lines = exploded(docs).select(*PLACE, F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
+    firsts = stored(first_lines(docs, slots, places))
+    copied = firsts.where("copies > 1").select("h", "g", F.col("at").alias("first"))
+    lines = exploded(docs, places).select("at", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
     side = F.broadcast(copied) if is_small(copied, 48) else copied
-    copies = lines.join(side, ["h", "g"]).where(F.struct(*PLACE) != F.struct("fdoc", "fsub", "fpos")).select(*PLACE)
-    removed = cut(copies.union(later_matches(docs, firsts)).groupBy("doc", "sub").agg(F.collect_set("pos").alias("removed")))
+    copies = lines.join(side, ["h", "g"]).where("at != first").select("at")
+    gone = copies.union(later_matches(docs, firsts, places)).select(*places.parts(F.col("at")))
+    removed = cut(gone.groupBy("doc", "sub").agg(F.collect_set("pos").alias("removed")))
     discard(firsts)
     return removed
 
