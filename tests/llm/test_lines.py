@@ -31,3 +31,19 @@ def test_double_blanks_take_no_scan(spark):
     assert [r["t"] for r in df.select(lines.tokens(F.col("line")).alias("t")).collect()] == [["a", "b"], ["a", "b"], [], ["a", "b"]]
     plan = df.select(lines.tokens(F.col("line")))._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(line" in plan and ",   )" not in plan
+
+
+def test_parities_take_no_filter_and_classes_are_no_column(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{j % 97}" for j in range(k, k + 9 * k % 150)) + "\nx y") for k in range(40)], "doc long, text string").withColumn("sub", F.lit(0).cast("long"))
+    firsts = lines.first_lines(docs, 1 << 14, lines.Places(0))
+    plan = firsts._jdf.queryExecution().optimizedPlan().toString()
+    assert " AS classes#" not in plan and "filter(keys" not in plan
+    assert all(bin(r["p"] & (1 << 64) - 1).count("1") % 2 == r["n"] % 2 for r in firsts.select("p", "n").collect())
+
+
+def test_untouched_texts_are_not_split(spark):
+    df = spark.createDataFrame([("a\nb\n", None), ("", None), (None, None), ("é\n\nb", [1])], "text string, removed array<int>")
+    got = [tuple(r["x"]) for r in df.select(lines.without_lines(F.col("text"), F.col("removed")).alias("x")).collect()]
+    assert got == [("a\nb\n", 3, 0), ("", 1, 0), (None, 0, 0), ("é\nb", 3, 1)]
+    plan = df.select(lines.without_lines(F.col("text"), F.col("removed")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan

@@ -74,15 +74,17 @@ def _slot(h: Column, slots: int) -> Column:
 
 
 def rarity(docs: DataFrame, text: str, slots: int) -> DataFrame:
-    """One row with an array of ``slots`` classes, 0 to 127: two for each doubling of a slot's token count over the whole corpus."""
+    """One row (a, m): an array of ``slots`` classes, 0 to 127, two for each doubling of a slot's token count over the whole corpus, and about the middle class of all tokens."""
     spark = docs.sparkSession
-    found = docs.select(F.explode(_words(F.col(text))).alias("w")).where("w != ''").select(_slot(F.xxhash64("w"), slots).alias("s"), F.lit(1).cast("long").alias("n"))
+    found = docs.select(F.explode(_words(F.col(text))).alias("w")).where("w != ''").select(_slot(F.xxhash64("w"), slots).alias("s"))
     every = spark.range(slots).select(F.col("id").cast("int").alias("s"), F.lit(0).cast("long").alias("n"))
-    counts = found.groupBy("s").agg(F.sum("n").alias("n")).union(every).groupBy("s").agg(F.sum("n").alias("n"))
-    classes = counts.select("s", F.least(F.lit(127), F.floor(2 * F.log2(1 + F.col("n")))).cast("tinyint").alias("c"))
+    counts = found.groupBy("s").agg(F.count(F.lit(1)).alias("n")).union(every).groupBy("s").agg(F.sum("n").alias("n"))
+    classes = counts.select("s", "n", F.least(F.lit(127), F.floor(2 * F.log2(1 + F.col("n")))).cast("tinyint").alias("c"))
     # in two steps, so that the last one gets a few rows
-    parts = classes.groupBy(F.shiftright("s", 12).alias("part")).agg(F.sort_array(F.collect_list(F.struct("s", "c"))).alias("a"))
-    return parts.agg(F.sort_array(F.collect_list(F.struct("part", F.col("a.c").alias("c")))).alias("a")).select(F.flatten("a.c").alias("a"))
+    middle = F.percentile("c", 0.5, F.col("n"))
+    parts = classes.groupBy(F.shiftright("s", 12).alias("part")).agg(F.sort_array(F.collect_list(F.struct("s", "c"))).alias("a"), middle.alias("m"), F.sum("n").alias("n"))
+    whole = parts.agg(F.sort_array(F.collect_list(F.struct("part", F.col("a.c").alias("c")))).alias("a"), F.percentile("m", 0.5, F.col("n")).alias("m"))
+    return whole.select(F.flatten("a.c").alias("a"), F.coalesce("m", F.lit(0)).cast("long").alias("m"))
 
 
 def token_keys(line: Column, classes: Column, slots: int) -> Column:
@@ -100,6 +102,12 @@ def _least_overlap(n: Column) -> Column:
     return F.floor((n * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR).cast("int")
 
 
+def _least_overlap_of_shorter(n: Column) -> Column:
+    """ceil(2 t / (1 + t) n): what a set has in common at least with one that is alike and no smaller."""
+    whole = NUMERATOR + DENOMINATOR
+    return F.floor((n * 2 * NUMERATOR + whole - 1) / whole).cast("int")
+
+
 def exploded(docs: DataFrame, places: Places) -> DataFrame:
     """(at, line) for each line."""
     lines = docs.select("doc", "sub", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -107,16 +115,16 @@ def exploded(docs: DataFrame, places: Places) -> DataFrame:
 
 
 def _parity(keys: Column) -> Column:
-    """Which of 64 bits are the low bits of an odd number of members."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    """Which of 64 bits are those of an odd number of members. A member's bit is told by a hash, of which a shift takes the low six bits."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(x))
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
 
 
 def _differing(x: str, y: str) -> Column:
     """Bits in which two sets' parities differ: no more than the members of one set alone.
 
-    Two sets of WIDE tokens are told apart by twice as many bits: q is the parity of the members with
-    another bit, and so p without q that of the rest.
+    Two sets of WIDE tokens are told apart by twice as many bits: q is the parity of the members of
+    the middle rarity class or above, and so p without q that of the rest.
     """
     p, q = (F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}")) for w in ("p", "q"))
     both = F.bit_count(p.bitwiseXOR(q)) + F.bit_count(q)
@@ -127,24 +135,30 @@ def first_lines(docs: DataFrame, slots: int, places: Places) -> DataFrame:
     """A row for each different line with a token: where it is first, its number of tokens, its prefix, its set's parity and its keys for crowds()."""
     # the classes come in after the lines are made: a generator would copy them with each line
     some = (F.col("line") >= "!") | (F.btrim("line", F.lit(BLANK)) != "")
-    per_line = exploded(docs, places).where(some).withColumn("classes", rarity(docs, "text", slots).scalar())
-    per_line = per_line.select("at", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), token_keys(F.col("line"), F.col("classes"), slots).alias("keys"))
-    n = F.size("keys")
-    shaped = per_line.select(
-        "at", "h", "g", n.alias("n"),
-        F.slice("keys", 1, n - _least_overlap(n) + 1).alias("prefix"),
-        _parity(F.col("keys")).alias("p"),
-        F.when(n >= WIDE, _parity(F.filter("keys", lambda x: x.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long")).alias("q"),
-    )
+    classes = cut(rarity(docs, "text", slots))
+    # each by itself and named once, or else the classes would be a column of every line
+    per_line = exploded(docs, places).where(some).withColumn("classes", classes.select("a").scalar())
+    middle = F.shiftleft(classes.select("m").scalar(), HASH_BITS)
+    per_line = per_line.select("at", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), token_keys(F.col("line"), F.col("classes"), slots).alias("keys"), middle.alias("middle"))
+    # the middle key, put among a line's own, tells where its common tokens begin; sorting and slicing take no lambda, which is far dearer
+    n, own = F.size("keys"), F.sort_array(F.array_append("keys", F.col("middle")))
+    per_line = per_line.select("at", "h", "g", n.alias("n"), F.slice("keys", 1, n - _least_overlap(n) + 1).alias("prefix"), "keys", (F.array_position(own, F.col("middle")) - 1).cast("int").alias("rare"))
+    per_line = per_line.select("at", "h", "g", "n", "prefix", F.slice("keys", 1, F.col("rare")).alias("rare"), F.slice("keys", F.col("rare") + 1, F.col("n")).alias("common"))
+    # both are named twice, so that they are made by themselves and not within a lambda's call
+    per_line = per_line.select("at", "h", "g", (F.size("rare") + F.size("common")).alias("n"), "prefix", _parity(F.col("rare")).alias("r"), _parity(F.col("common")).alias("c"))
+    shaped = per_line.select("at", "h", "g", "n", "prefix", F.col("r").bitwiseXOR(F.col("c")).alias("p"), F.when(F.col("n") >= WIDE, F.col("c")).otherwise(F.lit(0).cast("long")).alias("q"))
     # what a line's text tells is part of the key, not a first() of the group, which would sort the lines
     firsts = shaped.groupBy("h", "g", "n", "p", "q", "prefix").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"))
-    return firsts.withColumn("least", F.array(*[_least("prefix", r) for r in range(CROWD_KEYS)]))
+    firsts = firsts.withColumn("hashes", F.transform("prefix", lambda t: F.shiftleft(t, 64 - HASH_BITS)))
+    return firsts.withColumn("least", F.array(*[_least("hashes", r) for r in range(CROWD_KEYS)])).drop("hashes")
 
 
-def _least(prefix: str, r: int) -> Column:
-    """The least of a prefix's tokens by their hash, in the r-th of several orders, each by the hash with other bits turned."""
+def _least(hashes: str, r: int) -> Column:
+    """The least of the hashes in the r-th of several orders: upwards, downwards, then each by the hash with other bits turned."""
+    if r < 2:
+        return F.array_min(hashes) if r == 0 else F.array_max(hashes)
     turned = F.lit(int.from_bytes(hashlib.blake2b(b"%d" % r, digest_size=8).digest(), "big", signed=True)).cast("long")
-    return F.array_min(F.transform(prefix, lambda t: F.shiftleft(t, 64 - HASH_BITS).bitwiseXOR(turned)))
+    return F.array_min(F.transform(hashes, lambda t: t.bitwiseXOR(turned)))
 
 
 def _before(x: str, y: str) -> Column:
@@ -163,7 +177,7 @@ def _alike(x: str, y: str) -> Column:
 def _position(x: str, y: str) -> Column:
     """The positional filter on two postings of a token, for a pair's first common token: what comes after it in both sets can't be enough."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    i, j = (F.shiftright(f"{side}.i", 1) for side in (x, y))
+    i, j = (F.shiftright(f"{side}.i", 2) for side in (x, y))
     return (NUMERATOR + DENOMINATOR) * (1 + F.least(nx - i, ny - j)) >= NUMERATOR * (nx + ny)
 
 
@@ -225,12 +239,17 @@ def later_matches(docs: DataFrame, firsts: DataFrame, places: Places) -> DataFra
     settled = found.withColumn("settled", F.lit(True))
     marked = firsts.join(F.broadcast(settled) if is_small(settled, 40) else settled, "at", "left")
     postings = marked.select("at", "n", "p", "q", F.coalesce("settled", F.lit(False)).cast("int").alias("settled"), F.posexplode("prefix").alias("i", "token"))
-    # i: the token's place in its line from 1, and in the lowest bit whether the line is settled; so both sides read the same exchange
-    postings = postings.select("token", "at", "n", F.shiftleft(F.col("i") + 1, 1).bitwiseOR(F.col("settled")).alias("i"), "p", "q")
+    # i: the token's place in its line from 1, and in the two lowest bits whether it is in the prefix that does if no
+    # shorter line is met, and whether the line is settled; so both sides read the same exchange
+    early = (F.col("i") <= F.col("n") - _least_overlap_of_shorter(F.col("n"))).cast("int")
+    postings = postings.select("token", "at", "n", F.shiftleft(F.col("i") + 1, 2).bitwiseOR(F.shiftleft(early, 1)).bitwiseOR(F.col("settled")).alias("i"), "p", "q")
     x, y = postings.alias("x"), postings.alias("y")
-    open_ = F.when(F.col("y.i").bitwiseAND(F.lit(1)) == 1, F.lit(False)).otherwise(_before("x", "y"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & open_ & _position("x", "y") & _alike("x", "y"))
-    pairs = cut(pairs.select(*_ends("x", "y"), _differing("x", "y").alias("d")).distinct())
+    # x is the shorter line, or the earlier of two of one length; all conditions name both sides, as others would be filters below the exchange
+    reach = F.when(F.col("x.i").bitwiseAND(F.lit(2)) != 0, F.col("x.n")).otherwise(F.lit((1 << 31) - 1)) <= F.col("y.n")
+    once = (F.col("x.n") != F.col("y.n")) | _before("x", "y")
+    open_ = F.when(_before("x", "y"), F.col("y.i")).otherwise(F.col("x.i")).bitwiseAND(F.lit(1)) == 0
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & reach & once & open_ & _position("x", "y") & _alike("x", "y"))
+    pairs = cut(pairs.select(F.least("x.at", "y.at").alias("xat"), F.greatest("x.at", "y.at").alias("yat"), _differing("x", "y").alias("d")).distinct())
     # the likeliest pair of each line first; all others only of lines for which that was not one
     best = cut(likeliest(pairs))
     more = cut(verified(docs, best, places))
@@ -269,14 +288,15 @@ def without_lines(text: Column, removed: Column) -> Column:
 
     def of(ls):
         at = F.sequence(F.lit(0), F.size(ls) - 1)
-        kept = F.array_except(at, F.coalesce(removed, F.array().cast("array<int>")))
-        return F.struct(
-            F.when(removed.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda p: F.get(ls, p)), "\n")).alias("text"),
-            F.size(ls).cast("long").alias("n_lines"),
-            F.when(removed.isNull(), F.lit(0)).otherwise(F.size(removed)).cast("long").alias("n_removed"),
-        )
-
-    return F.when(text.isNull(), F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))).otherwise(let(F.split(text, "\n"), of))
+        kept = F.array_except(at, removed)
+        return F.struct(F.array_join(F.transform(kept, lambda p: F.get(ls, p)), "\n").alias("text"), F.size(ls).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"))
+
+    def whole(n):
+        return F.struct(text.alias("text"), n.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+
+    # a text that keeps all its lines is not split: they are its line feeds and one
+    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.when(text.isNull(), whole(F.lit(0))).when(removed.isNull(), whole(feeds + 1)).otherwise(let(F.split(text, "\n"), of))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
