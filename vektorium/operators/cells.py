@@ -20,7 +20,7 @@ from ..schema import DIM, TOP_K
 SAMPLE, MAX_CELLS = 262_144, 65_536
 #: A cell of more than so many times its size is dealt by hash.
 LARGE = 4
-#: Neighbouring blocks whose common box is met first.
+#: Neighbouring blocks whose common box is looked at first.
 RUN = 64
 BLOCKS = "block_id long, cluster_id int, n int, rows binary, vectors binary, labels binary, nearest array<bigint>, low array<int>, high array<int>"
 
@@ -190,22 +190,30 @@ def most(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_blocks(held: Boxes, q: np.ndarray, owner: np.ndarray, cluster: np.ndarray, cutoff: np.ndarray) -> np.ndarray:
-    """For each query the nearest block of its clusters (cluster[i] is one of query owner[i]), as its place in ``held``; -1 if all are beyond its cutoff."""
-    best, out = np.full(len(q), np.inf), np.full(len(q), -1)
+def first_blocks(held: Boxes, q: np.ndarray, owner: np.ndarray, cluster: np.ndarray, cutoff: np.ndarray, count: int = 1) -> np.ndarray:
+    """For each query the ``count`` nearest blocks of its clusters (cluster[i] is one of query owner[i]), as their places in ``held``, in order; -1 instead of those beyond its cutoff."""
+    best, out = np.full((len(q), count), np.inf), np.full((len(q), count), -1)
     for c in np.unique(cluster):
         at, runs = owner[cluster == c], held.runs_of(c)
         low = least(q[at], held.run_low[runs], held.run_high[runs])
-        for r in range(low.shape[1]):  # boxes of runs overlap, so each that may hold a nearer block is looked into
-            some = np.flatnonzero((low[:, r] < best[at]) & (low[:, r] <= cutoff[at]))
-            if len(some):
-                own, blocks = at[some], held.blocks_of(runs.start + int(r))
+        order = np.argsort(low, axis=1)
+        for turn in range(low.shape[1]):  # a query takes up runs in order until the next one's box is beyond its best blocks; boxes of runs overlap
+            r = order[:, turn]
+            bound = low[np.arange(len(at)), r]
+            some = np.flatnonzero((bound < best[at, -1]) & (bound <= cutoff[at]))
+            if not len(some):
+                break
+            some = some[np.argsort(r[some], kind="stable")]
+            for part in np.split(some, np.flatnonzero(np.diff(r[some])) + 1):
+                own, blocks = at[part], held.blocks_of(runs.start + int(r[part[0]]))
                 d = least(q[own], held.low[blocks], held.high[blocks])
-                near = d.argmin(axis=1)
-                d = d[np.arange(len(own)), near]
-                closer = d < best[own]
-                best[own[closer]], out[own[closer]] = d[closer], near[closer] + blocks.start
-    return out
+                d[d > cutoff[own, None]] = np.inf
+                few = min(count, d.shape[1])
+                near = np.argpartition(d, few - 1, axis=1)[:, :few]
+                d, place = np.concatenate([best[own], np.take_along_axis(d, near, 1)], axis=1), np.concatenate([out[own], near + blocks.start], axis=1)
+                first = np.argsort(d, axis=1, kind="stable")[:, :count]
+                best[own], out[own] = np.take_along_axis(d, first, 1), np.take_along_axis(place, first, 1)
+    return np.where(np.isfinite(best), out, -1)
 
 
 def pairs(held: Boxes, q: np.ndarray, owner: np.ndarray, cluster: np.ndarray, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -112,7 +112,7 @@ def write(clusters: DataFrame, members: DataFrame, path: str, files: int = 64) -
 
 
 class Index:
-    """A written index: ``clusters``, its ``blocks``, by size or as ``buckets`` by block_id, and ``members`` unpacked from them."""
+    """A written index: ``clusters``, its ``blocks``, by size or as ``buckets`` by block_id, and ``members`` unpacked from them, of which there are ``n``."""
 
     def __init__(self, spark: SparkSession, path: str):
         """Opens the index at path if it is of this version and shape, with as many clusters and members as its meta data say; any other raises."""
@@ -120,7 +120,7 @@ class Index:
         if (meta["version"], meta["dim"], meta["block_size"]) != (INDEX_VERSION, DIM, BLOCK_SIZE):
             raise ValueError(f"not an index of version {INDEX_VERSION}: {meta}")
         where = f"{path}/{meta['tables']}"
-        self.spark, self.clusters = spark, spark.read.parquet(f"{where}/clusters")
+        self.spark, self.clusters, self.n = spark, spark.read.parquet(f"{where}/clusters"), meta["n"]
         blocks = spark.read.schema(BLOCKS).parquet(f"{where}/members")
         if (self.clusters.count(), blocks.agg(F.sum("n").alias("n")).first()["n"] or 0) != (meta["k"], meta["n"]):
             raise ValueError(f"an index of other numbers of clusters and members than {meta}")

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.features import request_features, vector
-from ..functions.scalars import verdict_json
+from ..functions.features import request_features
+from ..functions.scalars import quantize_vector, verdict_json
 from ..operators.index import Index
 from ..operators.search import index_adaptive
 from ..schema import FAST_PROBES, FULL_PROBES
-from ..sources.requests import route
-from ..storage import temporary
+from ..sources.requests import route_all
+from ..storage import stored, temporary
 
 REQUESTS = "event_id long, raw string"
 
@@ -25,12 +25,14 @@ def read_requests(spark: SparkSession, path: str, files_per_batch: int = 8) -> D
 
 
 def answer(requests: DataFrame, index: Index, fast: int = FAST_PROBES, full: int = FULL_PROBES) -> DataFrame:
-    """(event_id, status, response): the verdict for a valid scoring request, null for any other."""
-    routed = route(requests)
-    scored = routed.where((F.col("status") == 200) & (F.col("method") == "POST"))
-    queries = scored.select(F.col("event_id").alias("query_id"), vector(request_features(F.col("request"))).alias("q"))
+    """(event_id, status, response): the verdict for a valid scoring request, null for any other. Requests are read and parsed once; their status and features are stored."""
+    asked = (F.col("status") == 200) & (F.col("method") == "POST")
+    routed = route_all(requests).select("event_id", "status", asked.alias("asked"), F.when(asked, F.col("request")).alias("request"))
+    # features are stored before they are quantised, as a function of an array's elements is not compiled, and what it is given neither
+    held = stored(routed.select("event_id", "status", "asked", F.array(*request_features(F.col("request"))).alias("features")))
+    queries = held.where("asked").select(F.col("event_id").alias("query_id"), quantize_vector(F.col("features")).alias("q"))
     votes = index_adaptive(index, queries, fast, full)
-    return routed.select("event_id", "status").join(votes.select(F.col("query_id").alias("event_id"), verdict_json(F.col("votes")).alias("response")), "event_id", "left")
+    return held.select("event_id", "status").join(votes.select(F.col("query_id").alias("event_id"), verdict_json(F.col("votes")).alias("response")), "event_id", "left")
 
 
 def score_stream(requests: DataFrame, index: Index, sink: Callable[[DataFrame, int], None], checkpoint: str, **probes) -> StreamingQuery:
@@ -41,11 +43,7 @@ def score_stream(requests: DataFrame, index: Index, sink: Callable[[DataFrame, i
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        held = batch.persist()
-        try:
-            with temporary(held.sparkSession):
-                sink(answer(held, index, **probes), batch_id)
-        finally:
-            held.unpersist()
+        with temporary(batch.sparkSession):
+            sink(answer(batch, index, **probes), batch_id)
 
     return requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
